@@ -5,22 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillspark.llm import pair_bpe, prefix_hash, rff_quality, zstd_lang
 from quillspark.llm.content_sort import exact_dedup
 from quillspark.llm.simhash import near_dedup
 from quillspark.session import table
 
 
-def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+def tokenizer_file(name: str) -> str:
+    """Where the installed package of public tokenizers has a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    dictionaries = zstd_lang.fit(docs, ~held_out)
+    return zstd_lang.predict(docs, dictionaries, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rff_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_pair_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_prefix_fingerprints": op1_prefix_fingerprints,
+    "op3_language_id": op3_language_id,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_pair_bpe": op8_pair_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
