@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import pair_bpe, prefix_hash, rff_quality, zstd_lang
+from quillspark.llm import entropy_mix, gear_chunks, huffman, pair_bpe, prefix_hash, rff_quality, warc, zstd_lang
 from quillspark.llm.content_sort import exact_dedup
 from quillspark.llm.simhash import near_dedup
+from quillspark.llm.word_cache import WordEncoder
 from quillspark.session import table
 
 
@@ -24,6 +25,10 @@ def op1_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gear_chunks.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
@@ -31,10 +36,20 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_lang.predict(docs, dictionaries, {"doc_id": F.col("doc_id"), "held_out": held_out})
 
 
+def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rff_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("byte_bpe_50k.json")
+    files = huffman.write(table(spark, sf_dir, "documents"), lambda: WordEncoder(path), WordEncoder(path).size, end=2)
+    return huffman.read(files)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,13 +62,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_fingerprints": op1_prefix_fingerprints,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_language_id": op3_language_id,
+    "op4_entropy_mix": op4_entropy_mix,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_huffman_tokens": op6_huffman_tokens,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_pair_bpe": op8_pair_bpe,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -65,4 +88,14 @@ ORACLES: dict[str, str] = {
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n
     """,
+    "op10_warc": r"""
+        WITH p AS (
+          SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages
+        ), f AS (
+          SELECT page_id, n, sha256(h) AS d, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p
+        )
+        SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+        FROM f
+    """,
 }
