@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes: the hash's memory, least and most in a chunk, mean distance of cuts beyond the least, least in a span reported.
-WINDOW, LEAST, MOST, APART, SPAN = 32, 16, 96, 16, 150
+WINDOW, LEAST, MOST, APART, SPAN = 16, 12, 64, 16, 120
 GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint32)
 BELOW = np.uint32((1 << 32) // APART)
 BLOCK = 1 << 20

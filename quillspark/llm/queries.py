@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import entropy_mix, gear_chunks, huffman, pair_bpe, prefix_hash, rff_quality, warc, zstd_lang
 from quillspark.llm.content_sort import exact_dedup
 from quillspark.llm.simhash import near_dedup
-from quillspark.llm.word_cache import WordEncoder
+from quillspark.llm.word_cache import word_encoder
 from quillspark.session import table
 
 
@@ -46,7 +46,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_50k.json")
-    files = huffman.write(table(spark, sf_dir, "documents"), lambda: WordEncoder(path), WordEncoder(path).size, end=2)
+    files = huffman.write(table(spark, sf_dir, "documents"), lambda: word_encoder(path), word_encoder(path).size, end=2)
     return huffman.read(files)
 
 

@@ -8,11 +8,12 @@ to the library whole.
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from quillspark.llm.alphabet import ENDING, LETTER, NUMBER, SIGN, SPACE, UNSAFE, room
+from quillspark.llm.alphabet import ENDING, LETTER, NUMBER, SIGN, SPACE, UNSAFE, Recent
 
 CACHE_WORDS = 300_000
 
@@ -25,13 +26,12 @@ class WordEncoder:
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.marks = re.compile("|".join(map(re.escape, added))) if added else re.compile(r"(?!)")
         self.cut = re.compile(rf"{ENDING}| ?{LETTER}+| ?{NUMBER}+| ?{SIGN}+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(CACHE_WORDS)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         whole = [bool(UNSAFE.search(t) or self.marks.search(t)) for t in texts]
         cut = [[] if w else self.cut.findall(t) for t, w in zip(texts, whole, strict=True)]
-        room(self.known, CACHE_WORDS)
-        new = list(set().union(*cut) - self.known.keys())
+        new = self.known.missing(set().union(*cut))
         for at in range(0, len(new), 5000):
             for w, e in zip(new[at : at + 5000], self.library.encode_batch_fast(new[at : at + 5000], add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
@@ -43,3 +43,9 @@ class WordEncoder:
     @property
     def size(self) -> int:
         return self.library.get_vocab_size(with_added_tokens=True)
+
+
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder a Python worker, so that its words outlive a task."""
+    return WordEncoder(path)
