@@ -40,9 +40,3 @@ class Recent(dict):
             else:
                 out.append(key)
         return out
-
-
-def room(cache: dict, most: int) -> None:
-    """Empty a cache that has grown beyond its bound."""
-    if len(cache) > most:
-        cache.clear()

@@ -11,6 +11,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -19,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspark.llm.alphabet import ENDING, LETTER, NUMBER, SIGN, UNSAFE, byte_alphabet, room
+from quillspark.llm.alphabet import ENDING, LETTER, NUMBER, SIGN, UNSAFE, Recent, byte_alphabet
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 
 class PairBpe:
@@ -47,14 +48,7 @@ class PairBpe:
         self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
         self.cut = re.compile(f"{ENDING}|{LETTER}+|{NUMBER}|{SIGN}+")
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.coded: dict[str, bytes] = {}
-        self.spelt: dict[str, str] = {}
-        for t, i in self.special.items():
-            self._keep(t, [i])
-
-    def _keep(self, word: str, ids: list[int]) -> None:
-        self.coded[word] = np.array(ids, "<u4").tobytes()
-        self.spelt[word] = self.decode(ids)
+        self.known = Recent(CACHE_WORDS)  # word to its ids as bytes, and their tokens
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, as the library does without a decoder."""
@@ -123,21 +117,30 @@ class PairBpe:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Cache the words of a batch that are not known yet."""
-        if len(self.coded) > CACHE_WORDS:
-            room(self.coded, CACHE_WORDS)
-            self.spelt.clear()
-            for t, i in self.special.items():
-                self._keep(t, [i])
-        new = sorted(set().union(*texts) - self.coded.keys())
+        new = sorted(self.known.missing(set().union(*texts)))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for w, ids in zip(part, self.merge(part), strict=True):
-                self._keep(w, ids)
+            plain = [w for w in part if w not in self.special]
+            found = dict(zip(plain, self.merge(plain), strict=True))
+            for w in part:
+                ids = found.get(w) or [self.special[w]]
+                self.known[w] = (np.array(ids, "<u4").tobytes(), self.decode(ids))
+
+    def both(self, words: list[str]) -> tuple[bytes, str]:
+        """Ids of words that are known, as bytes, and the text they decode to."""
+        found = list(map(self.known.__getitem__, words))
+        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
 
     def encode(self, text: str) -> list[int]:
         words = self.words(text)
         self.learn([words])
-        return np.frombuffer(b"".join(map(self.coded.__getitem__, words)), "<u4").tolist()
+        return np.frombuffer(self.both(words)[0], "<u4").tolist()
+
+
+@cache
+def pair_bpe(path: str) -> PairBpe:
+    """One vocabulary a Python worker, so that its words outlive a task."""
+    return PairBpe(path)
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,7 +152,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = PairBpe(path)
+        bpe = pair_bpe(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -157,9 +160,8 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 bpe.learn(texts)
                 out = []
                 for words in texts:
-                    ids = b"".join(map(bpe.coded.__getitem__, words))
-                    spelt = " ".join(map(bpe.spelt.__getitem__, words)).encode()
-                    out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(spelt).hexdigest()))
+                    ids, spelt = bpe.both(words)
+                    out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(spelt.encode()).hexdigest()))
                 n, a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
