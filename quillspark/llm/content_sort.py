@@ -61,17 +61,13 @@ def _splitters(rows: DataFrame, ranges: int) -> tuple[list[Column], list[str]]:
     return out, [h for h, n in seen.items() if n > 1]
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: id_col, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after every run of ``[\\x20\\x09-\\x0D]`` becomes one space; null
-    counts as empty. Rows with a null id sort last, so that they stay only where a group has no other.
-    Of rows that repeat both id and text, exactly one is kept. An empty table gives an empty result.
-    Other columns of df are ignored, whatever their names.
-    """
+def _marked(df: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    """_id, _h, _b, _first (of its run in its range), _lead (o, i, b of the row that stays), _size; whole: and _row."""
     spark = df.sparkSession
     ranges = partitions(spark)
-    rows = df.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_t"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")] if whole else []
+    also = ["_row"] if whole else []
+    rows = df.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_t"), *row)
     rows = rows.withColumn("_h", F.sha2("_t", 256))
     rows = rows.withColumn("_k", F.struct(F.substring("_t", 1, SPLITTER_CHARS).alias("p"), F.col("_h").alias("h"), F.col("_id").isNull().alias("o"), F.col("_id").alias("i")))
     splitters, cut = _splitters(rows, ranges)
@@ -79,7 +75,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     placed = placed.repartition(ranges, "_b")
     sort = Window.partitionBy("_b").orderBy("_t", F.col("_id").asc_nulls_last())
     found = placed.select(
-        "_id", "_h", "_b",
+        "_id", "_h", "_b", *also,
         F.coalesce(F.lag("_t").over(sort) != F.col("_t"), F.lit(True)).alias("_first"),
         F.row_number().over(sort).alias("_n"),
     )
@@ -87,18 +83,34 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     found = found.withColumn("_run", F.max(F.when(F.col("_first"), F.col("_n"))).over(within.rowsBetween(Window.unboundedPreceding, 0)))
     group = Window.partitionBy("_b", "_run")
     lead = F.struct(F.col("_id").isNull().alias("o"), F.col("_id").alias("i"), F.col("_b").alias("b"))
-    found = found.select("_id", "_h", "_b", "_first", F.min(lead).over(group).alias("_lead"), F.count("*").over(group).alias("_size"))
+    found = found.select("_id", "_h", "_b", *also, "_first", F.min(lead).over(group).alias("_lead"), F.count("*").over(group).alias("_size"))
     if cut:
         found, _ = staged(found, "content-sort")
         # One row per cut group: fewer than there are splitters.
-        whole = found.where(F.col("_h").isin(cut)).groupBy("_h").agg(F.min("_lead").alias("_lead2"), F.count("*").alias("_size2"))
-        found = found.join(F.broadcast(whole), "_h", "left").select(
-            "_id", "_h", "_b", "_first", F.coalesce("_lead2", "_lead").alias("_lead"), F.coalesce("_size2", "_size").alias("_size")
+        joint = found.where(F.col("_h").isin(cut)).groupBy("_h").agg(F.min("_lead").alias("_lead2"), F.count("*").alias("_size2"))
+        found = found.join(F.broadcast(joint), "_h", "left").select(
+            "_id", "_h", "_b", *also, "_first", F.coalesce("_lead2", "_lead").alias("_lead"), F.coalesce("_size2", "_size").alias("_size")
         )
-    return found.select(
+    return found.withColumn("_kept", F.col("_first") & (F.col("_b") == F.col("_lead.b")))
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: id_col, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after every run of ``[\\x20\\x09-\\x0D]`` becomes one space; null
+    counts as empty. Rows with a null id sort last, so that they stay only where a group has no other.
+    Of rows that repeat both id and text, exactly one is kept. An empty table gives an empty result.
+    Other columns of df are ignored, whatever their names.
+    """
+    return _marked(df, id_col, text_col, whole=False).select(
         F.col("_id").alias(id_col),
         F.col("_lead.i").alias("keep_id"),
         F.col("_size").cast("long").alias("group_size"),
-        (F.col("_first") & (F.col("_b") == F.col("_lead.b"))).alias("kept"),
+        F.col("_kept").alias("kept"),
         F.col("_h").alias("text_sha256"),
     )
+
+
+def distinct_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that exact_dedup keeps, with all their columns; rows travel with their texts, once."""
+    return _marked(df, id_col, text_col, whole=True).where("_kept").select("_row.*")
