@@ -1,14 +1,570 @@
-"""Registered queries of the engine's own operators, with their oracles."""
+"""Registered queries of the engine's own operators over the fixture tables, with their SQL oracles."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import tables, text as tx
+from quillspark.operators import answers, entities, evaluation, layout, registry, retrieval, sessions
+from quillspark.session import table
+from quillspark.streaming import guard as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+def query(sql: str | None = None) -> Callable:
+    """Register a function under its name, with its oracle if SQL can express it."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Registry ------------------------------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.concat_ws("-", "lang", "source").alias("file_name"), F.sha2("text", 256).alias("file_hash"), F.col("doc_id").alias("seen_at"))
+
+
+@query("""
+    SELECT file_name, doc_id, seen_at FROM (
+      SELECT lang || '-' || source AS file_name, substr(sha256(text), 1, 16) AS doc_id, doc_id AS seen_at,
+             row_number() OVER (PARTITION BY lang, source ORDER BY doc_id DESC) AS n
+      FROM documents) WHERE n = 1
+""")
+def register_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _files(spark, sf_dir).withColumn("doc_id", registry.document_id(F.col("file_hash")))
+    return registry.latest(rows).select("file_name", "doc_id", "seen_at")
+
+
+@query("""
+    WITH f AS (SELECT doc_id AS seen_at, substr(sha256(text), 1, 16) AS doc_id FROM documents),
+    known AS (SELECT doc_id, max(CASE WHEN seen_at % 4 = 0 THEN 'failed' ELSE 'ready' END) AS status FROM f WHERE seen_at % 2 = 0 GROUP BY doc_id)
+    SELECT f.seen_at, f.doc_id, CASE WHEN k.status = 'ready' THEN 'skip' WHEN k.status IS NOT NULL THEN 'redo' ELSE 'new' END AS action
+    FROM f LEFT JOIN known k USING (doc_id)
+""")
+def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of even ids make up the prior registry, every second of them failed."""
+    files = _files(spark, sf_dir)
+    prior = files.where("seen_at % 2 = 0").withColumn("doc_id", registry.document_id(F.col("file_hash")))
+    prior = prior.groupBy("doc_id").agg(F.max(F.when(F.col("seen_at") % 4 == 0, "failed").otherwise("ready")).alias("status"))
+    return registry.decisions(files, prior).select("seen_at", "doc_id", "action")
+
+
+@query("""
+    WITH f AS (SELECT doc_id, substr(sha256(text), 1, 16) || '-' || lang AS chunk_id FROM documents)
+    SELECT DISTINCT chunk_id FROM f WHERE doc_id % 2 = 0 AND chunk_id NOT IN (SELECT chunk_id FROM f WHERE doc_id % 2 = 1)
+""")
+def stale_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("-", registry.document_id(F.sha2("text", 256)), "lang").alias("chunk_id"))
+    return registry.stale(ids.where("doc_id % 2 = 0").select("chunk_id"), ids.where("doc_id % 2 = 1")).distinct()
+
+
+_BY_NAME, _BY_FOLDER = [("ref=", "referred"), ("#", "anchor"), ("page=", "paged")], [("/en/", "english"), ("/fr/", "french"), ("/de/", "german")]
+
+
+@query("""
+    SELECT page_id,
+           CASE WHEN contains(name, 'ref=') THEN 'referred' WHEN contains(name, '#') THEN 'anchor' WHEN contains(name, 'page=') THEN 'paged'
+                WHEN contains(folder, '/en/') THEN 'english' WHEN contains(folder, '/fr/') THEN 'french' WHEN contains(folder, '/de/') THEN 'german'
+                ELSE 'other' END AS content_type
+    FROM (SELECT page_id, regexp_extract(url, '[^/]*$') AS name, regexp_replace(url, '[^/]*$', '') AS folder FROM pages)
+""")
+def content_type_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = tx.content_type(F.regexp_replace("url", "[^/]*$", ""), F.regexp_extract("url", "([^/]*)$", 1), _BY_NAME, _BY_FOLDER, "other")
+    return pages.select("page_id", kind.alias("content_type"))
+
+
+# Text ----------------------------------------------------------------------------------------------
+
+_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '</?(sup|sub|span|b|i|u|em|strong|br)\b[^>]*>', '', 'gi'),
+    '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\*\*([^\n]+?)\*\*', '\1', 'g'), '\*\*', '', 'g'), '[ \t]+', ' ', 'g'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"""
+
+
+@query(f"""
+    SELECT 'page' AS kind, page_id AS id, sha256({_CLEAN.format("html")}) AS clean FROM pages
+    UNION ALL SELECT 'document', doc_id, sha256({_CLEAN.format("text")}) FROM documents
+""")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.sha2(tx.cleaned(F.col("html")), 256).alias("clean"))
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.sha2(tx.cleaned(F.col("text")), 256).alias("clean"))
+    return pages.unionByName(docs)
+
+
+@query(r"""
+    SELECT doc_id, unnest(range(len(s))) AS at, unnest(s) AS sentence
+    FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]|[^.!?\n]+$') AS s FROM documents)
+""")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(tx.sentences(F.col("text"), r".!?\n")).alias("at", "sentence")).select("doc_id", F.col("at").cast("long").alias("at"), "sentence")
+
+
+@query("""
+    SELECT page_id, sha256(left(html, 300)) AS whole, CAST(strlen(html) > 300 AS BOOLEAN) AS cut FROM pages WHERE false
+    UNION ALL SELECT item_id, sha256(text), strlen(text) > 65535 FROM benchmark
+""")
+def byte_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    return items.select(F.col("item_id").alias("page_id"), F.sha2(tx.fit_bytes(F.col("text"), 65535), 256).alias("whole"), (F.octet_length("text") > 65535).alias("cut"))
+
+
+# Layout and chunks ---------------------------------------------------------------------------------
+
+
+def _line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the documents as raw blocks, ten to a page."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return rows.withColumns({"type": F.lit("text"), "page_idx": F.floor(F.col("pos") / 10).cast("int")})
+
+
+@query()
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.chunk(layout.layout(_line_blocks(spark, sf_dir)))
+
+
+@query()
+def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_documents(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"), F.max(F.length("text")).alias("longest"))
+
+
+@query("""
+    WITH b AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)
+    SELECT conv_id, left(string_agg(text, chr(10) ORDER BY turn), 400) AS text FROM b WHERE before < 400 GROUP BY conv_id
+""")
+def bounded_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.assembled(table(spark, sf_dir, "conversations"), 400, kinds=(), id_col="conv_id", order_col="turn")
+
+
+@query("""
+    SELECT r.r_name AS doc_id, CAST(rn AS BIGINT) AS at, path FROM (
+      SELECT r_regionkey, r_name, row_number() OVER (PARTITION BY r_regionkey ORDER BY a, b) AS rn, path FROM (
+        SELECT r_regionkey, r_name, 0 AS a, -1 AS b, '1 ' || r_name AS path FROM region
+        UNION ALL SELECT r_regionkey, r_name, n_nationkey + 1, -1, '1 ' || r_name || ' > 1.' || (n_nationkey + 1) || ' ' || n_name FROM region JOIN nation ON n_regionkey = r_regionkey
+        UNION ALL SELECT r_regionkey, r_name, n_nationkey + 1, s_suppkey, '1 ' || r_name || ' > 1.' || (n_nationkey + 1) || ' ' || n_name || ' > 1.' || (n_nationkey + 1) || '.' || (s_suppkey + 1) || ' ' || s_name
+        FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey)) r
+""")
+def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered headings of regions, their nations and suppliers: the stack must give back the tree."""
+    region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    nations = region.join(nation, F.col("n_regionkey") == F.col("r_regionkey"))
+    suppliers = nations.join(supplier, F.col("s_nationkey") == F.col("n_nationkey"))
+    number = F.concat(F.lit("1."), F.col("n_nationkey") + 1)
+    heads = [
+        region.select("r_name", F.lit(0).alias("a"), F.lit(-1).cast("long").alias("b"), F.concat(F.lit("1 "), "r_name").alias("text")),
+        nations.select("r_name", (F.col("n_nationkey") + 1).alias("a"), F.lit(-1).cast("long").alias("b"), F.concat_ws(" ", number, "n_name").alias("text")),
+        suppliers.select("r_name", (F.col("n_nationkey") + 1).alias("a"), F.col("s_suppkey").alias("b"), F.concat_ws(" ", F.concat_ws(".", number, F.col("s_suppkey") + 1), "s_name").alias("text")),
+    ]
+    rows = heads[0].unionByName(heads[1]).unionByName(heads[2])
+    raw = rows.select(F.col("r_name").alias("doc_id"), F.row_number().over(Window.partitionBy("r_name").orderBy("a", "b")).alias("pos"), F.lit("text").alias("type"), "text", F.lit(2).alias("text_level"), F.lit(0).alias("page_idx"))
+    return layout.layout(raw).select("doc_id", (F.col("seq") + 1).cast("long").alias("at"), tx.section("section_path").alias("path"))
+
+
+def _nation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    row = F.format_string("<tr><td>%s</td><td>%s</td><td>%d</td></tr>", "n_name", "r_name", "n_nationkey")
+    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    return rows.select("r_name", F.concat(F.lit("<table><tr><th>name</th><th>region</th><th>key</th></tr>"), "rows", F.lit("</table>")).alias("html"))
+
+
+@query("""
+    SELECT r_name, string_agg('name=' || n_name || '；region=' || r_name || '；key=' || n_nationkey, chr(10) ORDER BY n_nationkey) AS lines
+    FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
+""")
+def row_linearize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nation_tables(spark, sf_dir).select("r_name", F.array_join(tables.parse("html")["lines"], "\n").alias("lines"))
+
+
+@query("""
+    SELECT r_name, CAST(1 AS INTEGER) AS header_rows, CAST(3 AS INTEGER) AS n_cols, false AS kv,
+           '| name | region | key |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || n_name || ' | ' || r_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS markdown
+    FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
+""")
+def table_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nation_tables(spark, sf_dir).withColumn("t", tables.parse("html")).select("r_name", "t.header_rows", "t.n_cols", "t.kv", "t.markdown")
+
+
+@query("""
+    SELECT o_custkey AS doc_id, o_orderkey AS item, o_orderkey || '：status=' || o_orderstatus || '；priority=' || o_orderpriority || '；' || o_custkey || '（units）〔orders〕' AS text
+    FROM orders
+""")
+def fact_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders unpivoted to facts of their columns, put together again."""
+    orders = table(spark, sf_dir, "orders")
+    cells = F.array(*[F.struct(F.lit(k).alias("column"), c.alias("value")) for k, c in (("status", F.col("o_orderstatus")), ("priority", F.col("o_orderpriority")), ("", F.col("o_custkey").cast("string")))])
+    facts = orders.select(
+        F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("item"), F.lit("orders").alias("section"), F.lit("units").alias("unit"),
+        F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.posexplode(cells).alias("ord", "cell"),
+    ).select("*", "cell.*")
+    return layout.fact_chunks(facts).select("doc_id", "item", "text")
+
+
+# Retrieval -----------------------------------------------------------------------------------------
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every twentieth vector as a query, against all."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("dense"), "label")
+    return rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "dense"), rows
+
+
+_DENSE = """
+    WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 {0}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
+    SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
+"""
+
+
+@query(_DENSE.format(""))
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, rows = _vectors(spark, sf_dir)
+    return retrieval.dense_search(asked, rows, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_DENSE.format("WHERE c.label IN (1, 2)"))
+def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, rows = _vectors(spark, sf_dir)
+    return retrieval.dense_search(asked, rows.where(F.col("label").isin(1, 2)), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The terms of all benchmark items, as queries, and of all documents."""
+    asked = retrieval.term_weights(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "query_id")
+    return asked, retrieval.term_weights(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
+
+
+_TERMS = r"""
+    d AS (SELECT doc_id AS chunk_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS term FROM documents) GROUP BY ALL),
+    q AS (SELECT item_id AS query_id, term, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS term FROM benchmark) GROUP BY ALL),
+    a AS (SELECT query_id, chunk_id, CAST(sum(q.n * d.n) AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY sum(q.n * d.n) DESC, chunk_id) AS rank FROM q JOIN d USING (term) GROUP BY query_id, chunk_id),
+    b AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, chunk_id) AS rank FROM q JOIN d USING (term) GROUP BY query_id, chunk_id)
+"""
+_FUSED = f"""
+    WITH {_TERMS},
+    p AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS part FROM a WHERE rank <= 30 UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) FROM b WHERE rank <= 30),
+    f AS (SELECT query_id, chunk_id, sum(part) AS score FROM p GROUP BY query_id, chunk_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM f)
+"""
+
+
+@query(f"WITH {_TERMS} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM a WHERE rank <= 10")
+def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.term_search(*_terms(spark, sf_dir), 10)
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arms by weight and by the number of common terms, from one join."""
+    asked, held = _terms(spark, sf_dir)
+    both = held.withColumnRenamed("weight", "wd").join(asked.withColumnRenamed("weight", "wq"), "term")
+    scores = both.groupBy("query_id", "chunk_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("weighed"), F.count("*").alias("common"))
+    arms = [retrieval.top(scores.withColumnRenamed(c, "score"), retrieval.rules.CANDIDATES) for c in ("weighed", "common")]
+    return retrieval.fused(*arms, k=20)
+
+
+@query(f"{_FUSED} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""{_FUSED}
+    SELECT query_id, CAST(rank AS INTEGER) AS eid, chunk_id, source AS file_name, lang AS content_type, round(score, 5) AS score, length(text) AS n_chars
+    FROM r JOIN documents ON doc_id = chunk_id WHERE rank <= 8
+""")
+def hybrid_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused hits without a reranker's answer keep their order; joined to their documents they are numbered."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("file_name"), F.col("lang").alias("content_type"), F.lit("").alias("document_title"), F.lit("").alias("source_path"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    whole = _fused(spark, sf_dir).withColumn("doc_id", F.col("chunk_id")).join(rows.select("doc_id", "text"), "doc_id")
+    docs = rows.drop("text")
+    found = retrieval.evidence(retrieval.reranked(whole, asked, scorer=None), docs)
+    return found.select("query_id", "eid", "chunk_id", "file_name", "content_type", F.round("score", 5).alias("score"), F.length("text").cast("long").alias("n_chars"))
+
+
+FLAGSHIP = hybrid_evidence
+
+
+# Entities ------------------------------------------------------------------------------------------
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier")
+    return rows.select(
+        F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("company").alias("type"), F.array(F.concat(F.lit("C"), "s_suppkey", F.lit("Z"))).alias("codes"),
+        F.array(F.concat(F.lit("vendor "), "s_suppkey")).alias("aliases"), F.array(F.concat(F.lit("d"), "s_suppkey")).alias("doc_ids"),
+    )
+
+
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What customers might write: codes (of suppliers, where there are so many), aliases, a name that all share, a generic word."""
+    rows = table(spark, sf_dir, "customer")
+    pick = F.pmod(F.col("c_custkey"), F.lit(4))
+    text = F.when(pick == 0, F.concat(F.lit("C"), "c_custkey", F.lit("Z"))).when(pick == 1, F.concat(F.lit("the vendor "), F.pmod("c_custkey", F.lit(50)))).when(pick == 2, "Supplier").otherwise("公司")
+    return rows.select(F.col("c_custkey").alias("request_id"), text.alias("mention"))
+
+
+@query("""
+    WITH m AS (SELECT DISTINCT 'ABOUT C' || c_custkey || 'Z' AS mention FROM customer)
+    SELECT DISTINCT mention, 's' || s_suppkey AS id FROM m JOIN supplier ON contains(mention, 'C' || s_suppkey || 'Z')
+""")
+def mention_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "customer").select(F.concat(F.lit("ABOUT C"), "c_custkey", F.lit("Z")).alias("mention")).distinct()
+    return entities.by_code(names.withColumn("text", F.col("mention")), _suppliers(spark, sf_dir))
+
+
+_LABELS = "l AS (SELECT 's' || s_suppkey AS id, upper(s_name) AS label FROM supplier UNION ALL SELECT 's' || s_suppkey, 'VENDOR ' || s_suppkey FROM supplier)"
+
+
+@query(f"""
+    WITH m AS (SELECT DISTINCT 'THE VENDOR ' || (c_custkey % 50) AS mention FROM customer UNION SELECT 'SUPPLIER'), {_LABELS},
+    x AS (SELECT mention, id, CASE WHEN contains(mention, label) THEN length(label) ELSE length(mention) END AS n FROM m JOIN l ON contains(mention, label) OR (length(mention) >= 2 AND contains(label, mention)))
+    SELECT DISTINCT mention, id FROM (SELECT *, max(n) OVER (PARTITION BY mention) AS top FROM x) WHERE n = top
+""")
+def mention_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("THE VENDOR "), F.pmod("c_custkey", F.lit(50))).alias("mention")).union(spark.range(1).select(F.lit("SUPPLIER"))).distinct()
+    return entities.by_label(rows.withColumn("text", F.col("mention")), entities.labels(_suppliers(spark, sf_dir)))
+
+
+@query("""
+    WITH m AS (SELECT DISTINCT p_name || ' ' || p_brand AS mention FROM part), l AS (SELECT n_nationkey AS id, 'the ' || p_name AS label FROM nation JOIN part ON p_partkey = n_nationkey),
+    s AS (SELECT mention, id, max(k) AS n FROM (
+      SELECT mention, id, label, unnest(range(1, length(label) + 1)) AS i FROM m, l) a, range(4, 40) t(k) WHERE i + k - 1 <= length(label) AND contains(mention, substr(label, i, k)) GROUP BY mention, id)
+    SELECT mention, CAST(id AS VARCHAR) AS id FROM (SELECT *, max(n) OVER (PARTITION BY mention) AS top FROM s WHERE n >= 4 AND 2 * n >= length(mention)) WHERE n = top
+""")
+def mention_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, nations = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    asked = parts.select(F.concat_ws(" ", "p_name", "p_brand").alias("mention")).distinct().withColumn("text", F.col("mention"))
+    named = parts.join(nations, F.col("p_partkey") == F.col("n_nationkey")).select(F.col("n_nationkey").cast("string").alias("id"), F.concat(F.lit("the "), "p_name").alias("label"))
+    upper = F.upper("label")
+    return entities.by_fuzzy(asked.withColumn("text", F.upper("text")), named.withColumn("label", upper))
+
+
+@query(f"""
+    WITH {_LABELS},
+    c AS (SELECT c_custkey AS request_id, CASE c_custkey % 4 WHEN 0 THEN 'C' || c_custkey || 'Z' WHEN 1 THEN 'the vendor ' || (c_custkey % 50) WHEN 2 THEN 'Supplier' ELSE '公司' END AS mention FROM customer),
+    m AS (SELECT DISTINCT mention, upper(mention) AS t FROM c WHERE mention <> '公司'),
+    code AS (SELECT mention, 's' || s_suppkey AS id FROM m JOIN supplier ON contains(t, 'C' || s_suppkey || 'Z')),
+    lab AS (SELECT mention, id, max(CASE WHEN contains(t, label) THEN length(label) ELSE length(t) END) AS n FROM m JOIN l ON contains(t, label) OR contains(label, t) WHERE mention NOT IN (SELECT mention FROM code) GROUP BY mention, id),
+    hit AS (SELECT * FROM code UNION SELECT mention, id FROM (SELECT *, max(n) OVER (PARTITION BY mention) AS top FROM lab) WHERE n = top),
+    h AS (SELECT mention, count(*) AS k, min(id) AS id FROM hit GROUP BY mention)
+    SELECT request_id, CASE WHEN mention = '公司' THEN 'none' WHEN k = 1 THEN 'confirmed' WHEN k > 1 THEN 'ambiguous' ELSE 'unknown' END AS status,
+           CASE WHEN k = 1 THEN id ELSE '' END AS entity_ids, CAST(CASE WHEN k > 1 THEN k ELSE 0 END AS INTEGER) AS candidates, CASE WHEN k IS NULL AND mention <> '公司' THEN mention ELSE '' END AS unknown
+    FROM c LEFT JOIN h USING (mention)
+""")
+def resolve_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes beyond the suppliers' are unknown: the boilerplate and fuzzy steps do not reach them."""
+    asked = _mentions(spark, sf_dir).select("request_id", F.array("mention").alias("mentions"))
+    found = entities.resolve(asked, _suppliers(spark, sf_dir))
+    return found.select("request_id", "status", F.array_join("entity_ids", ",").alias("entity_ids"), F.size("candidate_ids").alias("candidates"), F.array_join("unknown_mentions", ",").alias("unknown"))
+
+
+@query()
+def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents about their customer, with the customer's group of numbers as code."""
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_custkey")
+    entity = F.struct(F.lit("company").alias("type"), F.concat(F.lit("customer "), key).alias("name"), F.when(F.col("o_orderkey") % 3 == 0, F.array(F.concat(F.lit("g"), F.floor(key / 10)))).otherwise(F.array().cast("array<string>")).alias("codes"), F.array(F.col("o_orderpriority")).alias("aliases"))
+    return entities.merge(orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("file_name"), entity.alias("entity")))
+
+
+# Answers -------------------------------------------------------------------------------------------
+
+_GUARD = answers.Guard(banned=("ation", "onth"), negations=("the",), warnings=("zzzz",), advice="", ends=".!?\n")
+
+
+@query(r"""
+    WITH s AS (SELECT doc_id, unnest(range(len(x))) AS "at", unnest(x) AS s FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]|[^.!?\n]+$') AS x FROM documents)),
+    h AS (SELECT doc_id, "at", string_split(s, 'ation') AS x, string_split(s, 'onth') AS y FROM s),
+    n AS (SELECT doc_id, "at", len(list_filter(range(1, len(x)), lambda i: NOT contains(right(array_to_string(x[1:i], 'ation'), 4), 'the'))) AS first,
+                 len(list_filter(range(1, len(y)), lambda i: NOT contains(right(array_to_string(y[1:i], 'onth'), 4), 'the'))) AS second FROM h)
+    SELECT doc_id, "at", first, second FROM n WHERE first + second > 0
+""")
+def guard_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.posexplode(tx.sentences(F.col("text"), r".!?\n")).alias("at", "sentence"))
+    hits = rows.select("doc_id", F.col("at").cast("long").alias("at"), answers.violations(F.col("sentence"), guard=_GUARD).alias("hits")).where(F.size("hits") > 0)
+    of = lambda w: F.size(F.filter("hits", lambda h: h == w)).cast("long")
+    return hits.select("doc_id", "at", of("ation").alias("first"), of("onth").alias("second"))
+
+
+@query("""
+    SELECT conv_id, turn, 'See [E1]: ' || text || ' [E2], and  . [E1]' AS fixed, '1,2' AS used FROM conversations
+""")
+def citation_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    marked = F.concat(F.lit("See 【E1】: "), "text", F.lit(" [E2], and 【E9】 . [E1]"))
+    fixed = answers.citations(marked, F.array(F.lit(1), F.lit(2), F.lit(3)))
+    return rows.select("conv_id", "turn", fixed["text"].alias("fixed"), F.array_join(fixed["used"].cast("array<string>"), ",").alias("used"))
+
+
+@query("""
+    SELECT event_id, 'said ' || event_type AS body,
+           CASE WHEN event_type IN ('click', 'view') THEN 'answer' ELSE 'answer' END AS kind,
+           CASE WHEN event_type = 'click' THEN CAST(json_extract(props, '$.k') AS VARCHAR) ELSE '' END AS cited, event_type = 'click' AS meta_ok
+    FROM events
+""")
+def meta_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks come with a readable account of what they cite, other events with an unknown kind."""
+    rows = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "click", "answer").otherwise("guess")
+    meta = F.concat(F.lit('note {"kind": "'), kind, F.lit('", "cited": ['), F.get_json_object("props", "$.k"), F.lit(', true, "x"], "notices": []} end'))
+    parts = answers.body_and_meta(F.concat(F.lit("said "), "event_type", F.lit(" <<<META>>> "), meta))
+    found = answers.parsed_meta(parts["meta"], parts["body"])
+    return rows.select("event_id", parts["body"].alias("body"), found.alias("m")).select("event_id", "body", "m.kind", F.array_join(F.col("m.cited").cast("array<string>"), ",").alias("cited"), "m.meta_ok")
+
+
+@query()
+def stream_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as deltas through the live guard's rules, as a batch."""
+    rows = table(spark, sf_dir, "conversations")
+    last = F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id"))
+    deltas = rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.lit("").alias("question"), F.col("text").alias("delta"), last.alias("last"))
+    return live.guarded_batch(deltas, _GUARD)
+
+
+# Conversations -------------------------------------------------------------------------------------
+
+
+@query("""
+    SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS at, role
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6
+""")
+def history_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.last_turns(table(spark, sf_dir, "conversations"), key="conv_id", order="turn").select("conv_id", "turn", "at", "role")
+
+
+@query("""
+    SELECT conv_id, left(arg_min(text, turn), 40) AS title, max(turn) AS updated FROM conversations WHERE role = 'user' GROUP BY conv_id ORDER BY updated DESC, conv_id LIMIT 30
+""")
+def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 30 conversations that went on longest: the listing is the feature."""
+    rows = table(spark, sf_dir, "conversations")
+    ends = rows.where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("updated"))
+    return sessions.listing(sessions.titles(rows, "conv_id", "turn").join(ends, "conv_id"), F.desc("updated"), F.col("conv_id"), limit=30)
+
+
+@query("""
+    SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '用户' ELSE '助手' END || '：' || left(text, 200), chr(10) ORDER BY turn) AS history
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6 GROUP BY conv_id
+""")
+def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.history_text(sessions.last_turns(table(spark, sf_dir, "conversations"), key="conv_id", order="turn"), "conv_id")
+
+
+@query("""
+    SELECT conv_id, turn, string_agg(text, ' ' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS query FROM conversations WHERE role = 'user'
+""")
+def followup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return evaluation.followup_queries(rows, "conv_id", "turn", "text").select("conv_id", "turn", "query")
+
+
+# Evaluation ----------------------------------------------------------------------------------------
+
+
+def _label_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query hits where another vector has its label; labels stand for files, and even ids for quotes."""
+    asked, rows = _vectors(spark, sf_dir)
+    hits = retrieval.dense_search(asked, rows, 10).where("query_id <> chunk_id").join(rows.select("chunk_id", "label"), "chunk_id")
+    hits = hits.select("query_id", "rank", F.col("label").cast("string").alias("file_name"), F.when(F.col("chunk_id") % 2 == 0, "quoted").otherwise("other").alias("plain"))
+    gold = rows.join(asked, F.col("chunk_id") == F.col("query_id")).select("query_id", F.col("label").cast("string").alias("file"), F.lit("quote").alias("quote"))
+    return evaluation.first_ranks(hits, gold)
+
+
+_RANKS = _DENSE.format("").strip().removesuffix("SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10").rstrip() + """,
+    k AS (SELECT q.vec_id AS query_id, q.label, min(CASE WHEN r.chunk_id % 2 = 0 AND c.label = q.label THEN rank END) AS rank, min(CASE WHEN c.label = q.label THEN rank END) AS file_rank
+          FROM v q LEFT JOIN r ON r.query_id = q.vec_id AND r.rank <= 10 AND r.chunk_id <> q.vec_id LEFT JOIN v c ON c.vec_id = r.chunk_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, q.label)
+"""
+_METRICS = """count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END), 4) AS hit_1, round(avg(CASE WHEN rank <= 3 THEN 1 ELSE 0 END), 4) AS hit_3,
+    round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 4) AS hit_5, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 4) AS hit_10, round(sum(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END) / count(*), 4) AS mrr_10"""
+
+
+@query(f"{_RANKS} SELECT query_id, CAST(rank AS INTEGER) AS rank, CAST(file_rank AS INTEGER) AS file_rank FROM k")
+def eval_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _label_ranks(spark, sf_dir)
+
+
+@query(f"{_RANKS} SELECT {_METRICS} FROM k")
+def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _label_ranks(spark, sf_dir).agg(*evaluation.retrieval_metrics())
+
+
+@query(f"""{_RANKS},
+    g AS (SELECT 'chunk' AS level, 'label ' || label AS category, rank FROM k UNION ALL SELECT 'file', 'label ' || label, file_rank FROM k)
+    SELECT level, category, {_METRICS} FROM g GROUP BY level, category UNION ALL SELECT level, 'overall', {_METRICS} FROM g GROUP BY level
+""")
+def eval_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, rows = _vectors(spark, sf_dir)
+    labelled = _label_ranks(spark, sf_dir).join(rows.select(F.col("chunk_id").alias("query_id"), F.concat(F.lit("label "), "label").alias("category")), "query_id")
+    return evaluation.retrieval_summary(labelled.withColumns({"has_gold": F.lit(True), "turn": F.lit(1)}))
+
+
+@query("""
+    SELECT event_type, count(*) AS n, min(value) AS min, list_sort(list(value))[CAST(1 + floor(0.1::DOUBLE * (count(*) - 1)) AS BIGINT)] AS p10, median(value) AS median,
+           list_sort(list(value))[CAST(1 + floor(0.9::DOUBLE * (count(*) - 1)) AS BIGINT)] AS p90, max(value) AS max
+    FROM events GROUP BY event_type
+""")
+def latency_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.distribution_by_rank(table(spark, sf_dir, "events"), "value", ["event_type"]).withColumn("n", F.col("n").cast("long"))
+
+
+def _answer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User messages as answer records: what they are expected to be and were follows from their texts' lengths."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'")
+    size = F.length("text")
+    none = F.array().cast("array<string>")
+    return rows.select(
+        F.col("conv_id").alias("id"), "turn", F.lit("multiturn").alias("category"), F.when(size % 3 == 0, "refuse").otherwise("answer").alias("expect"),
+        F.when(size % 5 == 0, "refuse").otherwise("answer").alias("kind"), (size % 7 != 0).alias("behavior_ok"), F.when(size % 2 == 0, size % 11 != 0).alias("include_ok"),
+        F.when(size % 13 == 0, F.array(F.lit("x"))).otherwise(none).alias("exclude_hits"), none.alias("guard_violations"), F.when(size % 3 == 1, size % 4 != 0).alias("evidence_hit"),
+        F.lit(None).cast("boolean").alias("cited_gold_file"), F.when(size % 17 == 0, "failed").alias("error"),
+    )
+
+
+_RECORDS = """r AS (SELECT conv_id AS id, length(text) AS z FROM conversations WHERE role = 'user')"""
+
+
+@query(f"""WITH {_RECORDS}
+    SELECT round(avg(CASE WHEN z % 7 <> 0 THEN 1 ELSE 0 END), 4) AS behavior_accuracy, round(avg(CASE WHEN z % 3 = 0 THEN CASE WHEN z % 5 = 0 THEN 1 ELSE 0 END END), 4) AS negative_refusal_rate,
+           round(avg(CASE WHEN z % 3 <> 0 THEN CASE WHEN z % 5 = 0 THEN 1 ELSE 0 END END), 4) AS false_refusal_rate, round(avg(CASE WHEN z % 2 = 0 THEN CASE WHEN z % 11 <> 0 THEN 1 ELSE 0 END END), 4) AS must_include_pass_rate,
+           CAST(sum(CASE WHEN z % 13 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS must_not_include_violations, CAST(0 AS BIGINT) AS guard_violations,
+           round(avg(CASE WHEN z % 3 = 1 THEN CASE WHEN z % 4 <> 0 THEN 1 ELSE 0 END END), 4) AS evidence_hit_rate, CAST(NULL AS DOUBLE) AS cited_gold_file_rate, count(*) FILTER (WHERE z % 17 = 0) AS errors
+    FROM r
+""")
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.answer_summary(_answer_records(spark, sf_dir))
+
+
+@query(f"""WITH {_RECORDS}, c AS (SELECT id, bool_and(z % 7 <> 0 AND NOT (z % 2 = 0 AND z % 11 = 0)) AS ok FROM r GROUP BY id)
+    SELECT count(*) FILTER (WHERE ok) AS passed, count(*) AS total FROM c
+""")
+def chains_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.chains_passed(_answer_records(spark, sf_dir))
+
+
+@query(r"""
+    WITH c AS (SELECT source AS file, string_agg(regexp_replace(text, '\s+', '', 'g'), chr(10) ORDER BY doc_id) AS plain FROM documents GROUP BY source),
+    g AS (SELECT item_id, 'src' || (item_id % 25) AS file, regexp_replace(left(text, 70), '\s+', '', 'g') AS q FROM benchmark)
+    SELECT CAST(item_id AS VARCHAR) || '#1' AS tag, 'quote length ' || length(q) AS error FROM g WHERE length(q) > 60 OR length(q) < 4
+    UNION ALL SELECT CAST(item_id AS VARCHAR) || '#1', CASE WHEN plain IS NULL THEN 'no file ' || g.file ELSE 'no quote in ' || g.file END FROM g LEFT JOIN c USING (file) WHERE plain IS NULL OR NOT contains(plain, q)
+""")
+def self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    gold = F.array(F.struct(F.concat(F.lit("src"), F.pmod("item_id", F.lit(25))).alias("file"), F.substring("text", 1, 70).alias("quote")))
+    none = F.array().cast("array<string>")
+    turn = F.struct(F.col("text").alias("q"), F.lit("answer").alias("expect"), gold.alias("gold"), none.alias("must_include"), none.alias("must_not_include"))
+    asked = items.select(F.col("item_id").cast("string").alias("id"), F.lit("knowledge").alias("category"), F.array(turn).alias("turns"), F.lit(None).cast("string").alias("expect"), gold.alias("gold"), none.alias("must_include"), none.alias("must_not_include"))
+    corpus = evaluation.corpus(docs.select("doc_id", F.lit(0).alias("seq"), "text"), docs.select("doc_id", F.col("source").alias("file_name")), tx.normal)
+    return evaluation.self_check(asked, corpus, tx.normal)
