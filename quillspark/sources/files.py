@@ -124,16 +124,16 @@ def eval_items(spark: SparkSession, path: str) -> DataFrame:
             return {}, str(e)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in ("id x, category x, turns x, expect x, gold x, must_include x, must_not_include x, note x").split(", ")]
+        names = ["id", "category", "turns", "expect", "gold", "must_include", "must_not_include", "note"]
         for pdf in batches:
             out = []
             for n, line in zip(pdf["line"], pdf["value"], strict=True):
                 if line.strip():
                     item, error = check(line)
-                    out.append({"line": n, "error": error} | item)
+                    out.append({"line": n, "error": error} | dict.fromkeys(names) | item)
             yield pd.DataFrame(out, columns=["line", "error", *names])
 
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "value")).select((F.col("n") + 1).alias("line"), "value")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "value")).select((F.col("n") + 1).alias("line"), "value")
     return lines.mapInPandas(each, f"line int, error string, {fields.EVAL_ITEM}")
 
 
