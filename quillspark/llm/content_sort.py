@@ -91,7 +91,8 @@ def _marked(df: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame
         found = found.join(F.broadcast(joint), "_h", "left").select(
             "_id", "_h", "_b", *also, "_first", F.coalesce("_lead2", "_lead").alias("_lead"), F.coalesce("_size2", "_size").alias("_size")
         )
-    return found.withColumn("_kept", F.col("_first") & (F.col("_b") == F.col("_lead.b")))
+    # Null-safe: a plain equality would push a null test of the range, and with it the range search, to the scan.
+    return found.withColumn("_kept", F.col("_first") & F.col("_b").eqNullSafe(F.col("_lead.b")))
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
