@@ -156,10 +156,10 @@ def token_counts(ids: DataFrame, vocabulary: int) -> np.ndarray:
     return out
 
 
-def write(df: DataFrame, encoder: Callable[[], Callable[[list[str]], list[bytes]]], vocabulary: int, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(df: DataFrame, encoder: Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]], vocabulary: int, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text (null: empty), append id end, write files in ascending id order; gives their table.
 
-    encoder makes, once a task, a function from texts to bytes of little-endian 32-bit ids. The table has a
+    encoder makes, once a task, a function from texts to all their ids and the count of each. The table has a
     row a file: path, at (order), docs, ids and start (ids of all documents before it). Null ids come first,
     rows that share an id follow by their ids' bytes. Ids of documents are whole numbers.
     """
@@ -168,12 +168,17 @@ def write(df: DataFrame, encoder: Callable[[], Callable[[list[str]], list[bytes]
     kind = df.schema[id_col].dataType.simpleString()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = encoder(), np.array([end], "<u4").tobytes()
+        encode = encoder()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [np.frombuffer(b + tail, "<u4").astype(narrow).tobytes() for b in encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["_id", "ids"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found, counts = encode([t or "" for t in part.column(1).to_pylist()])
+                stops = np.cumsum(counts + 1)
+                flat = np.full(len(found) + len(counts), end, narrow)
+                flat[np.delete(np.arange(len(flat)), stops - 1)] = found
+                places = np.concatenate([[0], stops]).astype(np.int64) * flat.itemsize
+                values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column(0), values.cast(pa.binary())], names=["_id", "ids"])
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(tokenize, f"_id {kind}, ids binary")
     ids, ids_path = staged(rows, "token-ids", "zstd")
