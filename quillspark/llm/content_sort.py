@@ -72,7 +72,7 @@ def _marked(df: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame
     rows = rows.withColumn("_k", F.struct(F.substring("_t", 1, SPLITTER_CHARS).alias("p"), F.col("_h").alias("h"), F.col("_id").isNull().alias("o"), F.col("_id").alias("i")))
     splitters, cut = _splitters(rows, ranges)
     placed = rows.withColumn("_b", range_of(F.col("_k"), splitters)).drop("_k")
-    placed = placed.repartition(ranges, "_b")
+    placed = placed.repartitionById(len(splitters) + 1, F.col("_b").cast("int"))
     sort = Window.partitionBy("_b").orderBy("_t", F.col("_id").asc_nulls_last())
     found = placed.select(
         "_id", "_h", "_b", *also,
