@@ -154,7 +154,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     before = F.when(first, F.lit(len(cuts))).when(F.col("_id").isin(cuts), F.col("_b") - 1)
     places = F.array_compact(F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("c")), F.when(before.isNotNull(), F.struct(before.alias("b"), F.lit(1).alias("c")))))
     dealt = rows.withColumn("_at", F.explode(places)).select("_id", "_t", "_at.b", "_at.c")
-    dealt = dealt.repartition(ranges, "b").sortWithinPartitions("b", "c", F.col("_id").asc_nulls_first(), "_t")
+    dealt = dealt.repartitionById(len(cuts) + 1, F.col("b").cast("int")).sortWithinPartitions("b", "c", F.col("_id").asc_nulls_first(), "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending = None
