@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import fields, rules, text as tx
 from quillspark.functions.lazy import lazy_udf
+from quillspark.session import staged
 
 KEY = Window.partitionBy
 
@@ -40,8 +41,6 @@ def linked_parts(docs: DataFrame) -> DataFrame:
 
     The smallest document id spreads over shared keys until nothing changes.
     """
-    from quillspark.session import staged
-
     keys = docs.select("doc_id", F.explode(F.array_union(F.array(F.concat(F.lit("n:"), "entity.name")), F.transform("entity.codes", lambda c: F.concat(F.lit("c:"), c)))).alias("key"))
     keys, _ = staged(keys.distinct(), "entity-keys")
     parts, _ = staged(docs.select("doc_id", F.col("doc_id").alias("part")), "entity-parts")
@@ -151,9 +150,10 @@ def match(mentions: DataFrame, entities: DataFrame) -> DataFrame:
         lambda left: by_label(shorter(left), named.where("type <> 'document'"), "core"),
         lambda left: by_fuzzy(left, named),
     ]
-    found, left = None, rows
+    left, _ = staged(rows, "mentions")
+    found = None
     for step in steps:
-        some = step(left)
+        some, _ = staged(step(left), "matches")
         left = left.join(some, "mention", "left_anti")
         found = some if found is None else found.unionByName(some)
     return found
