@@ -93,13 +93,13 @@ def _hot(df: DataFrame, id_col: str, text_col: str) -> list[int]:
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """A row per span of at least span bytes whose chunks all occur in another document too.
+    """The spans of texts whose chunks all occur in another document too, in runs of at least span bytes.
 
-    id_col, start_byte, n_bytes, n_chunks, first_id (the smallest id that has its first chunk; where it is
-    the row's own, the span is the copy that stays), copies (most occurrences of one of its chunks),
-    kept (every chunk has its first occurrence here). Removing the spans that are not kept leaves each
-    chunk once. Chunks that repeat inside one document only are not reported. Null and empty texts and null
-    ids have no rows; rows that share an id count as one document.
+    id_col, start_byte, n_bytes, n_chunks, first_id (the smallest id that has one of its chunks), copies (most
+    occurrences of one of its chunks), kept: a run falls into spans whose chunks all have their first
+    occurrence here, which stay, and spans that have none. Removing the spans that are not kept leaves each
+    chunk of the runs once. Chunks that repeat inside one document only are not reported. Null and empty
+    texts and null ids have no rows; rows that share an id count as one document.
 
     Chunks are dealt by digest once, in Spark; hot digests, fewer than HOT, are instead aggregated where
     they are and their few results broadcast.
@@ -118,10 +118,12 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = found.unionByName(warm.join(F.broadcast(whole), ["d1", "d2"]).select(*found.columns))
     pieces = found.select("_id", "start", "n", F.col("f._id").alias("first_id"), (F.struct("_id", "start") == F.col("f")).alias("own"), "copies")
     order = Window.partitionBy("_id").orderBy("start")
-    joined = pieces.withColumn("new", F.coalesce(F.lag(F.col("start") + F.col("n")).over(order) != F.col("start"), F.lit(True)))
-    joined = joined.withColumn("k", F.sum(F.col("new").cast("int")).over(order))
-    spans = joined.groupBy("_id", "k").agg(
+    apart = F.coalesce(F.lag(F.col("start") + F.col("n")).over(order) != F.col("start"), F.lit(True))
+    turns = apart | (F.lag("own").over(order) != F.col("own"))
+    joined = pieces.withColumns({"apart": apart.cast("int"), "turns": turns.cast("int")})
+    joined = joined.withColumns({"run": F.sum("apart").over(order), "part": F.sum("turns").over(order)})
+    joined = joined.withColumn("run_bytes", F.sum("n").over(Window.partitionBy("_id", "run"))).where(F.col("run_bytes") >= span)
+    return joined.groupBy("_id", "part").agg(
         F.min("start").alias("start_byte"), F.sum("n").alias("n_bytes"), F.count("*").alias("n_chunks"),
-        F.min_by("first_id", "start").alias("first_id"), F.max("copies").alias("copies"), F.bool_and("own").alias("kept"),
-    )
-    return spans.where(F.col("n_bytes") >= span).select(F.col("_id").alias(id_col), "start_byte", "n_bytes", "n_chunks", "first_id", "copies", "kept")
+        F.min("first_id").alias("first_id"), F.max("copies").alias("copies"), F.first("own").alias("kept"),
+    ).select(F.col("_id").alias(id_col), "start_byte", "n_bytes", "n_chunks", "first_id", "copies", "kept")
