@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.session import staged
+from quillspark.session import dropped, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     Gives vertex, component (one of its vertices) for every vertex that has a link to another. No
     links give no rows; links with a null end are ignored.
     """
-    edges, _ = staged(links.select("a", "b").where("a <> b").distinct(), "links")
+    edges, path = staged(links.select("a", "b").where("a <> b").distinct(), "links")
     maps = []
     while not edges.isEmpty():
         seed = F.lit(len(maps) + 1)
@@ -34,7 +34,9 @@ def components(links: DataFrame) -> DataFrame:
         maps.append(image)
         moved = edges.join(image.withColumnRenamed("image", "x"), F.col("a") == F.col("vertex")).drop("vertex")
         moved = moved.join(image.withColumnRenamed("image", "y"), F.col("b") == F.col("vertex"))
-        edges, _ = staged(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        before = path
+        edges, path = staged(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        dropped(edges.sparkSession, before)
     if not maps:
         return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
     found = maps[0].withColumnRenamed("image", "component")

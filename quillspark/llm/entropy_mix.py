@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.session import staged
+from quillspark.session import dropped, staged
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Newton stops at this relative error of the constraints; documents in a rounding block, about.
@@ -29,7 +29,7 @@ def words(text: Column) -> Column:
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Adds target to sources (s, source_size, docs), one row a source: weights in turn by code point, null last.
 
-    Filling up from the source that its cap binds first: with the k tightest at their caps, the others
+    The windows without a partition order one row a source, never documents. Filling up from the source that its cap binds first: with the k tightest at their caps, the others
     share the rest by weight; the smallest k at which none is above its cap holds.
     """
     number = F.row_number().over(Window.orderBy(F.col("s").asc_nulls_last())) - 1
@@ -52,7 +52,7 @@ def duals(docs: DataFrame, goal: DataFrame, cap: float = CAP) -> DataFrame:
     """goal with rate, exp(dual) up to cap, by Newton from dual 0; documents (s, size) are summed in every round."""
     # Documents of one source and size have one rate: their sizes, summed once, stand for them.
     mass, _ = staged(docs.where("size > 0").groupBy("s", "size").agg(F.sum("size").alias("m")), "mass")
-    state, _ = staged(goal.withColumn("dual", F.lit(0.0)), "duals")
+    state, path = staged(goal.withColumn("dual", F.lit(0.0)), "duals")
     rate = F.least(F.exp("dual"), F.lit(cap))
     for _ in range(ROUNDS):
         now = mass.join(state.select(F.col("s").alias("_s"), rate.alias("r")), F.col("s").eqNullSafe(F.col("_s")))
@@ -62,7 +62,9 @@ def duals(docs: DataFrame, goal: DataFrame, cap: float = CAP) -> DataFrame:
         gap = F.col("target") - F.col("f")
         step = F.when(F.col("f") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gap / F.col("f"))))
         moved = moved.select(*goal.columns, (F.col("dual") + F.coalesce(step, F.lit(0.0))).alias("dual"), (F.abs(gap) > F.col("target") * PRECISION).alias("off"))
-        state, _ = staged(moved, "duals")
+        before = path
+        state, path = staged(moved, "duals")
+        dropped(docs.sparkSession, before)
         if state.where("off").isEmpty():
             break
     return state.select(*goal.columns, F.round(rate, 9).alias("rate"))
