@@ -87,3 +87,14 @@ CATEGORIES = ["product", "announcement", "risk", "knowledge", "process", "negati
 EXPECTS = ["answer", "refuse", "clarify", "decline_advice", "realtime_notice"]
 HIT_LEVELS, QUOTE_LEAST, QUOTE_MOST = (1, 3, 5, 10), 4, 60
 QUESTION_MOST, TITLE_CHARS, HISTORY_CHARS, HISTORY_TURNS = 500, 40, 200, 3
+
+# Error classes and what a user is told, in order; listings.
+ERRORS = [
+    (("PermissionDeniedError", "AuthenticationError", "RateLimitError"), "大模型服务暂时不可用（账户或额度问题），请稍后再试或联系管理员。"),
+    (("APIConnectionError", "APITimeoutError", "Timeout", "ReadTimeout", "ConnectionError"), "大模型服务连接超时，请稍后重试。"),
+    (("ServerSelectionTimeoutError", "AutoReconnect"), "会话数据库连接失败，请稍后重试。"),
+    (("MilvusException",), "知识库检索服务连接失败，请稍后重试。"),
+]
+OTHER_ERROR = "服务处理出错，请稍后重试。"
+MOST_SESSIONS, MOST_MESSAGES, MOST_TASKS = 30, 200, 50
+EVAL_TOP, EVAL_KEPT = 10, 5

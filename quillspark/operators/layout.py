@@ -154,6 +154,17 @@ def layout(raw: DataFrame) -> DataFrame:
     return cleaned_raw(raw).groupBy("doc_id").applyInPandas(one, fields.BLOCK)
 
 
+def images_to_describe(blocks: DataFrame, captions: DataFrame, images: DataFrame) -> DataFrame:
+    """Image blocks without a caption yet, with what a captioner is told of their place; small and unreadable ones not.
+
+    images: doc_id, img_path, width, height. The context is the caption, else the last two headings above.
+    """
+    rows = blocks.where((F.col("type") == "image") & F.col("img_path").isNotNull()).join(captions.select("doc_id", "img_path"), ["doc_id", "img_path"], "left_anti")
+    rows = rows.join(images, ["doc_id", "img_path"], "left").where(F.greatest("width", "height") >= rules.LEAST_IMAGE_SIDE)
+    above = tx.section(F.reverse(F.slice(F.reverse("section_path"), 1, 2)))
+    return rows.withColumn("about", F.coalesce(F.nullif("caption", F.lit("")), above)).select("doc_id", "seq", "img_path", "about")
+
+
 def described(blocks: DataFrame, captions: DataFrame) -> DataFrame:
     """Images with their descriptions (doc_id, img_path, description); those without one, or with none that
     tells anything, are dropped and the others numbered anew."""

@@ -64,6 +64,47 @@ def node_seconds(events: DataFrame) -> DataFrame:
     return events.withColumn("seconds", F.round(F.col("at").cast("double") - before.cast("double"), 3)).where("seconds is not null")
 
 
-def friendly_error(name: Column, cases: list[tuple[str, str]], other: str) -> Column:
-    """The message of the first case whose class name the error's contains."""
-    return F.coalesce(*[F.when(name.contains(c), F.lit(m)) for c, m in cases], F.lit(other))
+def friendly_error(name: Column, cases: list = rules.ERRORS, other: str = rules.OTHER_ERROR) -> Column:
+    """What a user is told about an error class: the first case that names it."""
+    return F.coalesce(*[F.when(name.isin(list(names)), F.lit(message)) for names, message in cases], F.lit(other))
+
+
+def saved(states: DataFrame, turns: DataFrame) -> DataFrame:
+    """Session rows (session_id, title, focus, pending, created_at, updated_at) after turns (session_id, question,
+    focus, pending, asked_at): the newest turn of each holds; title and creation stay as the first turn made them."""
+    newest = turns.groupBy("session_id").agg(
+        F.max_by(F.struct("focus", "pending"), "asked_at").alias("s"), F.max("asked_at").alias("new_updated"), F.min("asked_at").alias("new_created"),
+        F.substring(F.min_by("question", "asked_at"), 1, rules.TITLE_CHARS).alias("new_title"),
+    )
+    both = states.join(newest, "session_id", "full_outer")
+    fresh = F.col("new_updated").isNotNull()
+    return both.select(
+        "session_id", F.coalesce("title", "new_title").alias("title"), F.when(fresh, F.col("s.focus")).otherwise(F.col("focus")).alias("focus"),
+        F.when(fresh, F.col("s.pending")).otherwise(F.col("pending")).alias("pending"), F.coalesce("created_at", "new_created").alias("created_at"), F.coalesce("new_updated", "updated_at").alias("updated_at"),
+    )
+
+
+def session_listing(states: DataFrame, messages: DataFrame, limit: int = rules.MOST_SESSIONS) -> DataFrame:
+    """The newest sessions; one without a title has its first question's beginning, or none."""
+    rows = listing(states, F.desc("updated_at"), F.col("session_id"), limit=limit).join(titles(messages).withColumnRenamed("title", "first"), "session_id", "left")
+    return rows.select("session_id", F.coalesce(F.nullif("title", F.lit("")), "first", F.lit("")).alias("title"), "updated_at")
+
+
+def task_listing(tasks: DataFrame, most: int = rules.MOST_TASKS, finished: tuple = ("done", "failed")) -> DataFrame:
+    """Tasks (task_id, status, submitted_at) newest first: of those beyond most, the oldest finished ones go.
+
+    One row a task of a short queue, so its windows need no partition.
+    """
+    everything = Window.partitionBy()
+    rows = tasks.withColumns({"_over": F.count("*").over(everything) - most, "_done": F.col("status").isin(*finished)})
+    rows = rows.withColumn("_age", F.row_number().over(Window.partitionBy("_done").orderBy("submitted_at", "task_id")))
+    return rows.where(~(F.col("_done") & (F.col("_age") <= F.col("_over")))).drop("_over", "_done", "_age").orderBy(F.desc("submitted_at"), F.desc("task_id"))
+
+
+def new_id() -> Column:
+    """Twelve hexadecimal digits at random."""
+    return F.substring(F.replace(F.uuid(), F.lit("-")), 1, 12)
+
+
+def run_id(at: Column) -> Column:
+    return F.date_format(at, "yyyyMMdd'T'HHmmss")

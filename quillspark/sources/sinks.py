@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules, text as tx
+from quillspark.session import dropped, staged
 
 
 def index_rows(docs: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -23,10 +24,18 @@ def index_rows(docs: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFr
 
 
 def write_index(rows: DataFrame, path: str) -> int:
-    """Replace the partitions of the documents in rows, in one commit: their stale chunks go with it. Gives their chunk count."""
+    """Replace the partitions of the documents in rows, in one commit: their stale chunks go with it.
+
+    Gives their chunk count, which must be that of rows.
+    """
+    rows, path_of_rows = staged(rows, "index-rows")
     rows.repartition("doc_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
     written = rows.sparkSession.read.parquet(path)
-    return written.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").count()
+    count, due = written.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").count(), rows.count()
+    if count != due:
+        raise ValueError(f"{count} chunks in the index, {due} expected")
+    dropped(rows.sparkSession, path_of_rows)
+    return count
 
 
 def write_eval(records: DataFrame, summary: DataFrame, meta: dict[str, str], path: str) -> None:

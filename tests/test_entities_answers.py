@@ -253,7 +253,7 @@ def test_sessions(spark):
     events = spark.createDataFrame([("t", 0, at(0)), ("t", 1, at(2)), ("t", 2, at(5))], "task_id string, seq int, at timestamp")
     assert [r.seconds for r in sessions.node_seconds(events).orderBy("seq").collect()] == [2.0, 3.0]
     assert sessions.without_sessions(messages, spark.createDataFrame([("s",)], "session_id string")).count() == 0
-    assert spark.range(1).select(sessions.friendly_error(F.lit("ReadTimeout"), [("Timeout", "slow")], "failed")).first()[0] == "slow"
+    assert spark.range(1).select(sessions.friendly_error(F.lit("x"), [(("x",), "slow")], "failed")).first()[0] == "slow"
 
 
 def test_registry(spark):
