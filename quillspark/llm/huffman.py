@@ -187,7 +187,7 @@ def write(df: DataFrame, encoder: Callable[[], Callable[[list[str]], tuple[np.nd
 
     _, cuts = id_borders(df, id_col, ranges)
     folder = new_path(spark, "huffman")
-    placed = ids.withColumn("_b", id_range(F.col("_id"), cuts)).repartition(ranges, "_b").sortWithinPartitions("_b", F.col("_id").asc_nulls_first(), "ids")
+    placed = ids.withColumn("_b", id_range(F.col("_id"), cuts)).repartitionById(len(cuts) + 1, F.col("_b").cast("int")).sortWithinPartitions("_b", F.col("_id").asc_nulls_first(), "ids")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(lengths)
