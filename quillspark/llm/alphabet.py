@@ -1,4 +1,4 @@
-"""What the tokenizer operators share: byte alphabet, character classes, a bounded cache."""
+"""What the tokenizer operators share: byte alphabet and character classes."""
 
 from __future__ import annotations
 
@@ -19,24 +19,3 @@ def byte_alphabet() -> list[str]:
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spare = iter(range(256, 512))
     return [chr(b if b in printable else next(spare)) for b in range(256)]
-
-
-class Recent(dict):
-    """A cache of about most entries: when full, it starts anew and brings back from before what is asked for."""
-
-    def __init__(self, most: int) -> None:
-        super().__init__()
-        self.most, self.before = most, {}
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys that are in neither generation; those of the former one are brought back."""
-        if len(self) > self.most:
-            self.before = dict(self)
-            self.clear()
-        out = []
-        for key in keys - self.keys():
-            if key in self.before:
-                self[key] = self.before[key]
-            else:
-                out.append(key)
-        return out

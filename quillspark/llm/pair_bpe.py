@@ -1,6 +1,6 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-Words are cut and cached; the new words of a batch are merged together. An index maps each pair of
+Words are cut and looked up; the new words of a batch are merged together. An index maps each pair of
 neighbouring symbols to all its positions in the batch; a heap holds the ranks that have positions. The
 lowest rank is applied at all its positions in order, and the lists of the pairs around them follow.
 """
@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspark.llm.alphabet import ENDING, LETTER, NUMBER, SIGN, UNSAFE, Recent, byte_alphabet
+from quillspark.llm.alphabet import ENDING, LETTER, NUMBER, SIGN, UNSAFE, byte_alphabet
+from quillspark.llm.word_table import BLOCK, WordTable, bare_words, codes_of, per_text
 
-#: New words make up nearly all misses at any size, so a small cache does.
-CACHE_WORDS = 120_000
+#: Words merged together through one index.
+TOGETHER = 20_000
 
 
 class PairBpe:
@@ -39,17 +40,22 @@ class PairBpe:
         self.tokens = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
-        self.by_rank: list[tuple[int, int]] = []
+        # Ranks of pairs by both ids in one number, and of each rank the pair and what it makes.
+        self.pairs: dict[int, int] = {}
+        self.by_rank: list[tuple[int, int, int]] = []
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.by_rank.append((vocab[a], vocab[b]))
-            self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.by_rank.append((vocab[a], vocab[b], vocab[a + b]))
+            self.pairs[vocab[a] << 16 | vocab[b]] = rank
+        self.pair_keys = np.array(sorted(self.pairs), np.int64)
+        self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.alphabet = byte_alphabet()
+        self.inside = np.array([vocab[c] for c in self.alphabet], np.int64)
+        self.final = np.array([vocab[c + self.end] for c in self.alphabet], np.int64)
         self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
         self.cut = re.compile(f"{ENDING}|{LETTER}+|{NUMBER}|{SIGN}+")
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known = Recent(CACHE_WORDS)  # word to its ids as bytes, and their tokens
+        self.table = WordTable(self._runs, [np.uint32, np.uint8])
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, as the library does without a decoder."""
@@ -69,73 +75,135 @@ class PairBpe:
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, merged together through one pair occurrence index."""
-        sym: list[int] = []
-        starts = [0]
-        for w in words:
-            spelt = [self.alphabet[b] for b in w.encode()]
-            sym += [self.ids[c] for c in spelt[:-1]] + [self.ids[spelt[-1] + self.end]]
-            starts.append(len(sym))
-        last = {s - 1 for s in starts[1:]}
-        after = [-1 if i in last else i + 1 for i in range(len(sym))]
-        before = [-1 if i - 1 in last else i - 1 for i in range(len(sym))]
-        pairs, where, heap = self.pairs, {}, []
-        for i, j in enumerate(after):
-            if j >= 0 and (known := pairs.get((sym[i], sym[j]))):
-                if known[0] in where:
-                    where[known[0]].append(i)
-                else:
-                    where[known[0]] = [i]
+        if not words:
+            return []
+        raw = [w.encode() for w in words]
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        stops = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        starts = np.concatenate([[0], stops[:-1]])
+        first = self.inside[flat]
+        first[stops - 1] = self.final[flat[stops - 1]]
+        following = np.arange(1, len(flat) + 1)
+        following[stops - 1] = -1
+        leading = np.arange(-1, len(flat) - 1)
+        leading[starts] = -1
+        where = self._index(first, following)
+        sym, after, before, pairs, made_of = first.tolist(), following.tolist(), leading.tolist(), self.pairs, self.by_rank
         heap = sorted(where)
         while heap:
             rank = heappop(heap)
             if rank not in where:
                 continue
-            a, b = self.by_rank[rank]
-            made = pairs[a, b][1]
+            a, b, made = made_of[rank]
             places = sorted(where.pop(rank))
             for k, i in enumerate(places):
                 j = after[i]
-                if sym[i] != a or j < 0 or sym[j] != b:
+                if j < 0 or sym[i] != a or sym[j] != b:
                     continue
                 sym[i], sym[j] = made, -1
                 after[i] = n = after[j]
                 lower = False
                 if n >= 0:
                     before[n] = i
-                for x, y in ((before[i], i), (i, n)):
-                    if x >= 0 and y >= 0 and (known := pairs.get((sym[x], sym[y]))):
-                        if known[0] in where:
-                            where[known[0]].append(x)
+                    new = pairs.get(made << 16 | sym[n])
+                    if new is not None:
+                        if new in where:
+                            where[new].append(i)
                         else:
-                            where[known[0]] = [x]
-                            heappush(heap, known[0])
-                        lower |= known[0] < rank
+                            where[new] = [i]
+                            heappush(heap, new)
+                        lower = new < rank
+                p = before[i]
+                if p >= 0:
+                    new = pairs.get(sym[p] << 16 | made)
+                    if new is not None:
+                        if new in where:
+                            where[new].append(p)
+                        else:
+                            where[new] = [p]
+                            heappush(heap, new)
+                        lower |= new < rank
                 if lower:  # a pair of a lower rank goes first; the other positions wait
                     where.setdefault(rank, []).extend(places[k + 1 :])
                     heappush(heap, rank)
                     break
-        return [[s for s in sym[i:j] if s >= 0] for i, j in zip(starts, starts[1:], strict=False)]
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Cache the words of a batch that are not known yet."""
-        new = sorted(self.known.missing(set().union(*texts)))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            plain = [w for w in part if w not in self.special]
-            found = dict(zip(plain, self.merge(plain), strict=True))
-            for w in part:
-                ids = found.get(w) or [self.special[w]]
-                self.known[w] = (np.array(ids, "<u4").tobytes(), self.decode(ids))
-
-    def both(self, words: list[str]) -> tuple[bytes, str]:
-        """Ids of words that are known, as bytes, and the text they decode to."""
-        found = list(map(self.known.__getitem__, words))
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+        last = np.array(sym)
+        alive = last >= 0
+        ids, ends = last[alive].tolist(), np.cumsum(np.add.reduceat(alive, starts)).tolist()
+        return [ids[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _index(self, sym: np.ndarray, after: np.ndarray) -> dict[int, list[int]]:
+        """Ranks of the pairs that stand side by side, with all their positions in ascending order."""
+        keys = sym[:-1] << 16 | sym[1:]
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        places = np.flatnonzero((after[:-1] >= 0) & (self.pair_keys[at] == keys))
+        ranks = self.pair_ranks[at[places]]
+        order = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[order], places[order].tolist()
+        begin = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]])) if len(ranks) else np.zeros(0, np.int64)
+        return {r: places[i:j] for r, i, j in zip(ranks[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(places)], strict=False)}
+
+    def ids_of(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word; added tokens are their own."""
+        plain = [w for w in words if w not in self.special]
+        found = {}
+        for at in range(0, len(plain), TOGETHER):
+            found |= dict(zip(plain[at : at + TOGETHER], self.merge(plain[at : at + TOGETHER]), strict=True))
+        return [found[w] if w in found else [self.special[w]] for w in words]
+
+    def _runs(self, words: list[str]) -> list[list]:
+        """For the table: ids of words, and the text they decode to with the space that joins it to the next."""
+        ids = self.ids_of(words)
+        return [ids, [f"{self.decode(i)} ".encode() for i in ids]]
+
+    def _one(self, text: str) -> tuple[bytes, bytes]:
+        words = self.words(text)
+        known = sorted(set(words))
+        ids = dict(zip(known, self.ids_of(known), strict=True))
+        every = [i for w in words for i in ids[w]]
+        return np.array(every, "<u4").tobytes(), self.decode(every).encode()
+
+    def _block(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        text, codes, firsts = codes_of([t.lower() for t in texts])
+        begin, end = bare_words(codes, firsts)
+        slot = self.table.find(text, codes, begin, end)
+        if slot is None:
+            return list(map(self._one, texts))
+        out = []
+        for k in range(2):
+            flat, count = self.table.values(slot, k)
+            raw, stop = flat.tobytes(), np.cumsum(per_text(count, begin, firsts)) * flat.itemsize
+            out.append([raw[i:j] for i, j in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)])
+        return [(ids, spelt[:-1]) for ids, spelt in zip(*out, strict=True)]
+
+    def round_trips(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Little-endian 32-bit ids and decoded text in UTF-8 of each text."""
+        out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(texts)
+        group: list[int] = []
+        length = 0
+
+        def flush() -> None:
+            nonlocal group, length
+            for k, found in zip(group, self._block([texts[k] for k in group]) if group else [], strict=True):
+                out[k] = found
+            group, length = [], 0
+
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            # Lower case can double a text's length.
+            if 2 * len(text) > BLOCK or UNSAFE.search(text) or (self.marks and self.marks.search(text)):
+                out[k] = self._one(text)
+                continue
+            if length + 2 * len(text) > BLOCK:
+                flush()
+            group.append(k)
+            length += 2 * len(text)
+        flush()
+        return out
 
     def encode(self, text: str) -> list[int]:
-        words = self.words(text)
-        self.learn([words])
-        return np.frombuffer(self.both(words)[0], "<u4").tolist()
+        return np.frombuffer(self.round_trips([text])[0][0], "<u4").tolist()
 
 
 @cache
@@ -155,14 +223,10 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = pair_bpe(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [bpe.words(t or "") for t in part.column(1).to_pylist()]
-                bpe.learn(texts)
-                out = []
-                for words in texts:
-                    ids, spelt = bpe.both(words)
-                    out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(spelt.encode()).hexdigest()))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = bpe.round_trips([t or "" for t in part.column(1).to_pylist()])
+                out = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(spelt).hexdigest()) for ids, spelt in found]
                 n, a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -1,71 +1,20 @@
 """Byte-level BPE through the tokenizers library, a distinct word at a time.
 
-The library's rule cuts a text into words whose ids do not depend on their neighbours. Here the cuts of
-many texts are found at once, by the classes of characters; a word is known by two prefix hashes of 64
-bits, and looked up, with all others, in a table that lasts as long as the Python worker. Only words that
-are not there go to the library's model. Texts beyond the simple character range, with an apostrophe
-(which may begin a word of its own) or with an added token go to the library whole.
+The library's rule cuts a text into words whose ids do not depend on their neighbours; only words that are
+not in the table go to the library's model. Texts beyond the simple character range, very long ones, or
+with an added token go to the library whole.
 """
 
 from __future__ import annotations
 
-import unicodedata
+import re
 from functools import cache
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
 from quillspark.llm.alphabet import UNSAFE, byte_alphabet
-
-#: Slots of the word table (a power of two), filled to half before it starts anew; code points cut at once.
-SLOTS, BLOCK = 1 << 20, 1 << 20
-LETTER, NUMBER, SIGN, BLANK, OTHER_BLANK, NOTHING = range(6)
-LAST = 0x300  # stands for all signs beyond the simple letters
-
-
-def _classes() -> np.ndarray:
-    """Class of every code point below LAST, by Unicode category; LAST itself is a sign."""
-    out = np.full(LAST + 1, SIGN, np.uint8)
-    for c in range(LAST):
-        kind = unicodedata.category(chr(c))[0]
-        out[c] = LETTER if kind == "L" else NUMBER if kind == "N" else SIGN
-    out[[9, 10, 11, 12, 13, 0x85, 0xA0]] = OTHER_BLANK
-    out[32] = BLANK
-    return out
-
-
-CLASSES = _classes()
-_random = np.random.default_rng(11)
-#: Random values of code points, and powers of an odd base and of its inverse, for two hashes modulo 2**64.
-VALUES = [_random.integers(0, 1 << 64, 0x2060, dtype=np.uint64) for _ in range(2)]
-BASES = [int(b) | 1 for b in _random.integers(0, 1 << 63, 2)]
-
-
-@cache
-def _powers(base: int) -> np.ndarray:
-    out, step = np.ones(BLOCK + 1, np.uint64), 1
-    while step <= BLOCK:
-        out[step : 2 * step] = out[: len(out[step : 2 * step])] * np.uint64(pow(base, step, 1 << 64))
-        step *= 2
-    return out
-
-
-def starts(codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """Where words begin in texts that begin at firsts.
-
-    A blank before letters, numbers or signs belongs to them; of a longer run of white space only its last
-    blank does. A run's last character, before anything else, always begins a word of its own or the next.
-    """
-    kind = CLASSES[np.minimum(codes, LAST)]
-    before = np.concatenate([[NOTHING], kind[:-1]]).astype(np.uint8)
-    before[firsts] = NOTHING
-    after = np.concatenate([kind[1:], [NOTHING]]).astype(np.uint8)
-    after[firsts[1:] - 1] = NOTHING
-    blank = kind >= BLANK
-    word = (before != kind) & (before != BLANK)
-    gap = (before < BLANK) | (before == NOTHING) | (after < BLANK)
-    return np.flatnonzero(np.where(blank, gap, word))
+from quillspark.llm.word_table import BLOCK, WordTable, codes_of, glued_words, per_text
 
 
 class WordEncoder:
@@ -74,81 +23,32 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = regex.compile("|".join(["'", *map(regex.escape, added)]))
-        self.letters = dict(enumerate(byte_alphabet()))
+        self.marks = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.letters = byte_alphabet()
         self.plain = {b: self.letters[b] for b in range(128)}
-        self._clear()
+        self.table = WordTable(self._ids, [np.uint32])
 
     @property
     def size(self) -> int:
         return self.library.get_vocab_size(with_added_tokens=True)
 
-    def _clear(self) -> None:
-        self.used, self.pooled = 0, 0
-        self.keys, self.proofs = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
-        self.at, self.count = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
-        self.pool = np.zeros(4 * SLOTS, np.uint32)
-
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, or the empty one where it belongs."""
-        slot = (keys >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-        open_ = np.flatnonzero((self.keys[slot] != keys) & (self.keys[slot] != 0))
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) % SLOTS
-            held = self.keys[slot[open_]]
-            open_ = open_[(held != keys[open_]) & (held != 0)]
-        return slot
-
-    def _learn(self, words: list[str], keys: np.ndarray, proofs: np.ndarray) -> None:
-        """Put distinct words that are not in the table into it."""
-        model, plain, letters = self.library.model, self.plain, self.letters
-        spelt = [w.translate(plain) if w.isascii() else "".join([letters[b] for b in w.encode()]) for w in words]
-        found = [[t.id for t in model.tokenize(s)] for s in spelt]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum()))
-        while self.pooled + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.pooled : self.pooled + len(flat)] = flat
-        at = self.pooled + np.cumsum(count) - count
-        left = np.arange(len(words))
-        while len(left):  # of words that want one slot, one gets it
-            slot, first = np.unique(self._slots(keys[left]), return_index=True)
-            won = left[first]
-            self.keys[slot], self.proofs[slot], self.at[slot], self.count[slot] = keys[won], proofs[won], at[won], count[won]
-            left = np.delete(left, first)
-        self.pooled += len(flat)
-        self.used += len(words)
+    def _ids(self, words: list[str]) -> list[list]:
+        spelt = [w.translate(self.plain) if w.isascii() else "".join([self.letters[b] for b in w.encode()]) for w in words]
+        return [[[t.id for t in self.library.model.tokenize(s)] for s in spelt]]
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of non-empty texts of at most BLOCK code points together, and their counts."""
-        text = "".join(texts)
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        firsts = np.cumsum(sizes) - sizes
-        begin = starts(codes, firsts)
-        end = np.concatenate([begin[1:], [len(codes)]])
-        hashes = []
-        for values, base in zip(VALUES, BASES, strict=True):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[codes] * _powers(base)[: len(codes)])])
-            hashes.append((sums[end] - sums[begin]) * _powers(pow(base, -1, 1 << 64))[begin])
-        keys, proofs = np.maximum(hashes[0], np.uint64(1)), hashes[1]
-        slot = self._slots(keys)
-        new = np.flatnonzero(self.keys[slot] == 0)
-        if len(new):
-            if self.used + len(new) > SLOTS // 2:
-                self._clear()
-                new = np.arange(len(keys))
-            _, some = np.unique(keys[new], return_index=True)
-            some = new[some]
-            self._learn([text[i:j] for i, j in zip(begin[some].tolist(), end[some].tolist(), strict=True)], keys[some], proofs[some])
-            slot = self._slots(keys)
-        if (self.proofs[slot] != proofs).any():  # two words of one hash: not to be expected
-            found = [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+        text, codes, firsts = codes_of(texts)
+        begin, end = glued_words(codes, firsts)
+        slot = self.table.find(text, codes, begin, end)
+        if slot is None:
+            found = list(map(self._whole, texts))
             return np.concatenate(found), np.array([len(f) for f in found])
-        count = self.count[slot].astype(np.int64)
-        before = np.cumsum(count) - count
-        ids = self.pool[np.repeat(self.at[slot] - before, count) + np.arange(int(count.sum()))]
-        return ids, np.add.reduceat(count, np.searchsorted(begin, firsts))
+        ids, count = self.table.values(slot, 0)
+        return ids, per_text(count, begin, firsts)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and how many each has."""
@@ -166,8 +66,8 @@ class WordEncoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if len(text) > BLOCK or UNSAFE.search(text) or self.whole.search(text):
-                ids = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+            if len(text) > BLOCK or UNSAFE.search(text) or self.marks.search(text):
+                ids = self._whole(text)
                 counts[k] = len(ids)
                 parts.append(([k], ids))
                 continue
