@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: The bounded sample a dictionary is made of: texts of a language, by the hash of their ids, and characters of each.
-SAMPLE_TEXTS, SAMPLE_CHARS = 400, 600
+SAMPLE_TEXTS, SAMPLE_CHARS, PARTS = 400, 600, 32
 #: Levels of texts and of short ones, bytes below which a text is short, bytes that are compressed at once.
 LEVEL, SHORT_LEVEL, SHORT, BLOCK = 3, 12, 200, 1 << 13
 #: Saved bytes to odds, and the score below which a prediction is rejected as too narrow.
@@ -34,7 +34,10 @@ def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "t
     rows = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("l"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t")
     )
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "i", "t"))).where(f"n <= {SAMPLE_TEXTS}")
+    # The first of each part of a language, then of the language: its second task reads no more than PARTS samples.
+    ranked = rows.withColumn("part", F.pmod("h", F.lit(PARTS)))
+    for keys in (["l", "part"], ["l"]):
+        ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "i", "t"))).where(f"n <= {SAMPLE_TEXTS}")
     out: dict[str, list[str]] = {}
     for row in sorted(ranked.select("l", "n", "t").collect()):
         out.setdefault(row.l, []).append(row.t)
