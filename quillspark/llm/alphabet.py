@@ -7,6 +7,8 @@ import re
 #: Texts of these characters alone are cut by re; others go through the tokenizers library's own steps.
 #: All are unchanged by NFC, and Python's and the library's classes agree on them.
 UNSAFE = re.compile("[^\x00-˿‐-‧‰-⁞]")
+#: The same for texts that are put into lower case first: characters whose lower case leaves the range are out too.
+UNSAFE_LOWER = re.compile(f"[^{''.join(re.escape(chr(c)) for c in range(0x300) if not UNSAFE.search(chr(c).lower()))}‐-‧‰-⁞]")
 #: In that range, numbers that are not decimal digits, and Unicode white space.
 OTHER_NUMBERS, SPACE = "²³¹¼½¾", r"\t-\r \x85\xa0"
 LETTER, NUMBER = rf"[^\W\d_{OTHER_NUMBERS}]", rf"[\d{OTHER_NUMBERS}]"

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspark.llm.alphabet import ENDING, LETTER, NUMBER, SIGN, UNSAFE, byte_alphabet
+from quillspark.llm.alphabet import ENDING, LETTER, NUMBER, SIGN, UNSAFE, UNSAFE_LOWER, byte_alphabet
 from quillspark.llm.word_table import BLOCK, WordTable, bare_words, codes_of, per_text
 
 #: Words merged together through one index.
@@ -192,7 +192,7 @@ class PairBpe:
             if not text:
                 continue
             # Lower case can double a text's length.
-            if 2 * len(text) > BLOCK or UNSAFE.search(text) or (self.marks and self.marks.search(text)):
+            if 2 * len(text) > BLOCK or UNSAFE_LOWER.search(text) or (self.marks and self.marks.search(text)):
                 out[k] = self._one(text)
                 continue
             if length + 2 * len(text) > BLOCK:

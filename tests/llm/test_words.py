@@ -10,7 +10,7 @@ from quillspark.llm import word_table  # noqa: E402
 from quillspark.llm.pair_bpe import pair_bpe  # noqa: E402
 from quillspark.llm.word_cache import word_encoder  # noqa: E402
 
-CHARACTERS = "ab é1²!,.' \n\t \x85_stvrelmdSİß“"
+CHARACTERS = "ab é1²!,.' \n\t \x85_stvrelmdSİß“ȺȾK"
 TEXTS = st.lists(st.one_of(st.text(CHARACTERS, max_size=14), st.text(max_size=10), st.sampled_from(["<|endoftext|>x", "a<|startoftext|>"])), max_size=12)
 
 
