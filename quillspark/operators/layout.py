@@ -1,21 +1,24 @@
 """From parsed blocks to layout blocks, chunks and facts; a document is the unit of work.
 
-The folds carry state from block to block, so they run once per document, in its order, inside
-applyInPandas; documents do not depend on each other.
+The folds carry state from block to block, so they run once per document, in its order; documents do not
+depend on each other.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillspark.functions import fields, rules, text as tx
 from quillspark.functions.tables import Table, merged
+from quillspark.session import partitions
 
 STYLES = [(re.compile(p), n) for p, n in rules.HEADING_LEVELS]
 UNIT_LINE = re.compile(rules.UNIT_LINE)
@@ -138,20 +141,39 @@ def layout_blocks(rows: Iterable[dict]) -> list[dict]:
     return out.blocks
 
 
-def records(pdf: pd.DataFrame) -> list[dict]:
-    """Rows as dicts with None for missing values."""
-    return [{k: None if v is pd.NA or (isinstance(v, float) and v != v) else v for k, v in r.items()} for r in pdf.to_dict("records")]
+def each_document(rows: DataFrame, order: str, fold: Callable[[list[dict]], list[dict]], ddl: str) -> DataFrame:
+    """Rows of every document, in its order, through a fold; one exchange by document, then a stream of documents.
 
+    A task holds the rows of one document at a time.
+    """
+    spark = rows.sparkSession
+    shape = spark.createDataFrame([], ddl).schema
+    arrow = to_arrow_schema(shape)
 
-def layout(raw: DataFrame) -> DataFrame:
-    """Layout blocks of every document of raw blocks (doc_id, pos, type, ...)."""
-    columns = [c.split()[0] for c in fields.BLOCK.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+
+        def finished() -> list[dict]:
+            return [r | {"doc_id": key} for r in fold(held)] if held else []
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["doc_id"] != key:
+                    out += finished()
+                    held = []
+                key = row["doc_id"]
+                held.append(row)
+            if len(out) > 2000:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                out = []
+        yield pa.RecordBatch.from_pylist(out + finished(), schema=arrow)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = layout_blocks(records(pdf.sort_values("pos")))
-        return pd.DataFrame([b | {"doc_id": pdf["doc_id"].iloc[0]} for b in found], columns=columns).astype({"level": "Int32", "page_end": "Int32"})
+    return rows.repartition(partitions(spark), "doc_id").sortWithinPartitions("doc_id", order).mapInArrow(run, shape)
 
-    return cleaned_raw(raw).groupBy("doc_id").applyInPandas(one, fields.BLOCK)
+
+def layout(raw: DataFrame) -> DataFrame:
+    """Layout blocks of every document of raw blocks (doc_id, pos, type, ...)."""
+    return each_document(cleaned_raw(raw), "pos", layout_blocks, fields.BLOCK)
 
 
 def images_to_describe(blocks: DataFrame, captions: DataFrame, images: DataFrame) -> DataFrame:
@@ -284,13 +306,7 @@ def packed(blocks: Iterable[dict], **limits: int) -> list[dict]:
 
 def chunk(blocks: DataFrame, **limits: int) -> DataFrame:
     """Chunks of every document of layout blocks."""
-    columns = [c.split()[0] for c in fields.CHUNK.split(", ")]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [b | {"section_path": list(b["section_path"])} for b in records(pdf.sort_values("seq"))]
-        return pd.DataFrame([c | {"doc_id": pdf["doc_id"].iloc[0]} for c in packed(rows, **limits)], columns=columns)
-
-    return blocks.groupBy("doc_id").applyInPandas(one, fields.CHUNK)
+    return each_document(blocks, "seq", lambda rows: packed(rows, **limits), fields.CHUNK)
 
 
 def table_facts(blocks: DataFrame) -> DataFrame:
