@@ -56,7 +56,7 @@ def cuts(text: bytes) -> list[int]:
 
 
 def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, start, n (bytes) and digest (d1, d2) of every chunk of every text."""
+    """_id, hash of the whole text, start, n (bytes) and digest (d1, d2) of every chunk of every text."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,22 +64,23 @@ def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                rows, ends, found = [], [], []
+                rows, wholes, ends, found = [], [], [], []
                 for k, text in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
                     if text:
                         stops = cuts(text)
                         starts = [0, *stops[:-1]]
                         found += [digest(text[i:j]) for i, j in zip(starts, stops, strict=True)]
                         rows.append(np.full(len(stops), k))
+                        wholes.append(np.full(len(stops), xxhash.xxh3_64_intdigest(text), np.uint64))
                         ends.append(np.stack([starts, stops]))
                 if not rows:
                     continue
                 spans, two = np.concatenate(ends, axis=1), np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
-                columns = [part.column(0).take(pa.array(np.concatenate(rows))), pa.array(spans[0]), pa.array((spans[1] - spans[0]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["_id", "start", "n", "d1", "d2"])
+                columns = [part.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(wholes).view(np.int64)), pa.array(spans[0]), pa.array((spans[1] - spans[0]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["_id", "whole", "start", "n", "d1", "d2"])
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    return rows.mapInArrow(run, f"_id {kind}, start bigint, n int, d1 bigint, d2 bigint")
+    return rows.mapInArrow(run, f"_id {kind}, whole bigint, start bigint, n int, d1 bigint, d2 bigint")
 
 
 def _hot(df: DataFrame, id_col: str, text_col: str) -> list[int]:
@@ -99,7 +100,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     occurrences of one of its chunks), kept: a run falls into spans whose chunks all have their first
     occurrence here, which stay, and spans that have none. Removing the spans that are not kept leaves each
     chunk of the runs once. Chunks that repeat inside one document only are not reported. Null and empty
-    texts and null ids have no rows; rows that share an id count as one document.
+    texts and null ids have no rows; rows that share an id count as one document, each of its different texts with
+    its own spans.
 
     Chunks are dealt by digest once, in Spark; hot digests, fewer than HOT, are instead aggregated where
     they are and their few results broadcast.
@@ -116,14 +118,16 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         warm = every.where(F.col("d1").isin(hot))
         whole = warm.groupBy("d1", "d2").agg(first.alias("f"), F.max("_id").alias("top"), F.count("*").alias("copies")).where("f._id <> top")
         found = found.unionByName(warm.join(F.broadcast(whole), ["d1", "d2"]).select(*found.columns))
-    pieces = found.select("_id", "start", "n", F.col("f._id").alias("first_id"), (F.struct("_id", "start") == F.col("f")).alias("own"), "copies")
-    order = Window.partitionBy("_id").orderBy("start")
+    pieces = found.select("_id", "whole", "start", "n", F.col("f._id").alias("first_id"), (F.struct("_id", "start") == F.col("f")).alias("own"), "copies")
+    # Runs go along one text; a row that is there twice has each piece twice.
+    order = Window.partitionBy("_id", "whole").orderBy("start")
+    pieces = pieces.withColumn("twin", F.coalesce(F.lag("start").over(order) == F.col("start"), F.lit(False))).where(~F.col("twin")).drop("twin")
     apart = F.coalesce(F.lag(F.col("start") + F.col("n")).over(order) != F.col("start"), F.lit(True))
     turns = apart | (F.lag("own").over(order) != F.col("own"))
     joined = pieces.withColumns({"apart": apart.cast("int"), "turns": turns.cast("int")})
     joined = joined.withColumns({"run": F.sum("apart").over(order), "part": F.sum("turns").over(order)})
-    joined = joined.withColumn("run_bytes", F.sum("n").over(Window.partitionBy("_id", "run"))).where(F.col("run_bytes") >= span)
-    return joined.groupBy("_id", "part").agg(
+    joined = joined.withColumn("run_bytes", F.sum("n").over(Window.partitionBy("_id", "whole", "run"))).where(F.col("run_bytes") >= span)
+    return joined.groupBy("_id", "whole", "part").agg(
         F.min("start").alias("start_byte"), F.sum("n").alias("n_bytes"), F.count("*").alias("n_chunks"),
         F.min("first_id").alias("first_id"), F.max("copies").alias("copies"), F.first("own").alias("kept"),
     ).select(F.col("_id").alias(id_col), "start_byte", "n_bytes", "n_chunks", "first_id", "copies", "kept")
