@@ -1,11 +1,13 @@
 """SimHash near-dedup by a segment-popcount embedding.
 
-A 64-bit fingerprint is cut into 32 segments of two bits; the vector of their popcounts, two bits a
-segment, again fits 64 bits. Flipping a bit moves one popcount by one, so the Manhattan distance of
-two vectors is at most the Hamming distance of the fingerprints. With at most 3 differing bits, one
-half of the vector (16 segments) is within Manhattan distance 1: equal, or one segment one higher.
-The range join runs on that grid: every fingerprint lies in its cell of each half and probes its
-cell and those one step down. What meets is verified exactly.
+Each 32-bit half of a fingerprint is cut into 16 segments of two bits, and once more, moved by one bit
+round the ring, into 16 others; the popcounts of all 32 segments, two bits each, are one 64-bit number.
+Flipping a bit moves one popcount of either cut by one, so half the Manhattan distance of two vectors is
+at most the Hamming distance of the halves. With at most 3 differing bits, one half has at most one: its
+vectors are equal, or one is a step of one bit below the other. The range join runs on that grid: every
+fingerprint lies in its cell of each half and probes its cell and those one step down. Both cuts together
+leave hardly two halves in one cell, so cells of unlike fingerprints are as rare as equal halves are.
+What meets is verified exactly.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
@@ -23,8 +25,8 @@ from quillspark.llm.skew import join_counted
 from quillspark.session import staged
 
 SEED, MAX_BITS, BLOCK = 42, 3, 1 << 16
-#: Low bit of each two-bit segment of a half.
-LOW_BITS = 0x55555555
+#: Low bit of each two-bit segment of both cuts of a half.
+LOW_BITS = 0x5555555555555555
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -59,18 +61,30 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(run, f"_id {kind}, fp bigint")
 
 
+def _cell(bits: Column) -> Column:
+    """The popcounts of the segments of both cuts of a half (a long below 2**32)."""
+    moved = F.shiftright(bits, 1) + F.shiftleft(bits.bitwiseAND(F.lit(1)), 31)
+    cuts = F.shiftleft(moved, 32).bitwiseOR(bits)
+    upper = F.shiftrightunsigned(cuts, 1)
+    low, high = (x.bitwiseAND(F.lit(LOW_BITS)) for x in (cuts.bitwiseXOR(upper), cuts.bitwiseAND(upper)))
+    return low.bitwiseOR(F.shiftleft(high, 1))
+
+
 def links(prints: DataFrame) -> DataFrame:
     """Pairs (a, b), a <> b, of the distinct fingerprints in column fp that differ in at most MAX_BITS bits."""
-    halves = F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))
-    cells = prints.select("fp", F.posexplode(halves).alias("half", "bits"))
-    # In each two-bit field, its value less its upper bit is its popcount.
-    cells = cells.select("fp", "half", (F.col("bits") - F.shiftright("bits", 1).bitwiseAND(F.lit(LOW_BITS))).alias("cell"))
-    down = [F.when(F.shiftright("cell", 2 * s).bitwiseAND(F.lit(3)) > 0, F.col("cell") - F.lit(1 << 2 * s)) for s in range(16)]
-    probes = cells.select(F.col("fp").alias("a"), "half", F.explode(F.array_compact(F.array("cell", *down))).alias("at"), F.col("cell").alias("own"))
-    homes = cells.select(F.col("fp").alias("b"), "half", F.col("cell").alias("at"))
-    met = probes.join(homes, ["half", "at"])
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
-    return met.where(near & ((F.col("own") != F.col("at")) | (F.col("a") < F.col("b")))).select("a", "b")
+    return met(prints).where(near).select("a", "b")
+
+
+def met(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of fingerprints whose cells meet in a half; b's half is a's, or that with one bit cleared."""
+    halves = F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))
+    split = prints.select("fp", F.posexplode(halves).alias("half", "bits"))
+    down = [F.when(F.shiftright("bits", i).bitwiseAND(F.lit(1)) > 0, F.col("bits") - F.lit(1 << i)) for i in range(32)]
+    probes = split.select(F.col("fp").alias("a"), "half", "bits", F.explode(F.array_compact(F.array("bits", *down))).alias("probe"))
+    probes = probes.select("a", "half", _cell(F.col("probe")).alias("at"), (F.col("probe") != F.col("bits")).alias("below"))
+    homes = split.select(F.col("fp").alias("b"), "half", _cell(F.col("bits")).alias("at"))
+    return probes.join(homes, ["half", "at"]).where(F.col("below") | (F.col("a") < F.col("b")))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
