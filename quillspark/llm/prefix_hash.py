@@ -5,8 +5,8 @@ every position. A span's hash is a difference of two entries, freed of its posit
 compare in constant time, and the longest common extension of two positions is a binary search.
 
 A fingerprint is the hash of the whole text, its length, and two bottom-k sketches of span hashes: of
-spans of LONG code points, and for short texts of SHORT ones. Two fingerprints give the share of spans
-that their texts have in common.
+spans of LONG code points and of SHORT ones. Two fingerprints give the share of spans that their texts have in
+common, of LONG ones where both texts have LONG_FROM code points.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from quillspark.session import partitions
 P = (1 << 31) - 1
 BASES = (1_000_003, 776_531_401)
 BLOCK = 1 << 16
-#: Span lengths and sketch size; texts of LONG_FROM code points have a long sketch, those up to SHORT_TO a short one.
-LONG, SHORT, KEEP, LONG_FROM, SHORT_TO = 16, 4, 64, 64, 256
+#: Span lengths and sketch size; texts of LONG_FROM code points are compared by their LONG spans.
+LONG, SHORT, KEEP, LONG_FROM = 16, 4, 64, 64
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 _p, _31 = np.uint64(P), np.uint64(31)
@@ -108,16 +108,12 @@ class Prefixes:
     def fingerprint(self) -> str:
         """``hash-length-long sketch-short sketch`` in hex."""
         a, b = self.span(0, self.n)
-        long = self.sketch(LONG) if self.n >= LONG_FROM else np.zeros(0, np.uint32)
-        short = self.sketch(SHORT) if self.n <= SHORT_TO else np.zeros(0, np.uint32)
-        return f"{a << 31 | b:016x}-{self.n:x}-{long.astype('>u4').tobytes().hex()}-{short.astype('>u4').tobytes().hex()}"
+        long, short = (self.sketch(width).astype(">u4").tobytes().hex() for width in (LONG, SHORT))
+        return f"{a << 31 | b:016x}-{self.n:x}-{long}-{short}"
 
 
 def likeness(a: str, b: str) -> float:
-    """The share of spans in common (Dice) by two fingerprints, 0 to 1; 1 for equal ones.
-
-    Texts of very different lengths, one below LONG_FROM and one above SHORT_TO, have likeness 0.
-    """
+    """The share of spans in common (Dice) by two fingerprints, 0 to 1; 1 for equal ones, 0 with an empty text."""
     if a == b:
         return 1.0
     (_, n, long_a, short_a), (_, m, long_b, short_b) = a.split("-"), b.split("-")
