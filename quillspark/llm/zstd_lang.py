@@ -2,7 +2,7 @@
 
 Each language has a raw-content zstandard dictionary of text in it, in lower case. A text, in lower case too,
 is compressed in blocks with every dictionary; the language with the smallest total wins. A narrow margin is
-flagged as rejected. Short texts are worth a higher level, whose search finds more of their few matches.
+flagged as rejected.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
-#: The bounded sample a dictionary is made of: texts of a language, by the hash of their ids, and characters of each.
+#: The bounded sample a dictionary is made of: texts of a language, by the hash of their ids, and characters of each,
+#: in a row from a place anywhere in the text that a hash of the id gives.
 SAMPLE_TEXTS, SAMPLE_CHARS, PARTS = 400, 600, 32
-#: Levels of texts and of short ones, bytes below which a text is short, bytes that are compressed at once.
-LEVEL, SHORT_LEVEL, SHORT, BLOCK = 3, 12, 200, 1 << 13
+#: Level, and bytes that are compressed at once.
+LEVEL, BLOCK = 6, 1 << 13
 #: Saved bytes to odds, and the score below which a prediction is rejected as too narrow.
 SHARPNESS, LEAST_SCORE = 0.35, 0.6
 
@@ -29,10 +30,12 @@ SHARPNESS, LEAST_SCORE = 0.35, 0.6
 def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary per language from at most SAMPLE_TEXTS rows of each for which learn holds.
 
-    Null texts and languages teach nothing; ties of the hash go by id. Only the sample reaches the driver.
+    Null texts and languages teach nothing; ties of the hash go by id. Only the sample reaches the driver. Repeated
+    rows may teach twice. An empty table gives no dictionaries; other columns are ignored.
     """
+    begin = F.pmod(F.xxhash64(id_col, F.lit(7)), F.greatest(F.lit(1), F.length(text_col) - SAMPLE_CHARS + 1)) + 1
     rows = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("l"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t")
+        F.col(lang_col).alias("l"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.substring(F.col(text_col), begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("t")
     )
     # The first of each part of a language, then of the language: its second task reads no more than PARTS samples.
     ranked = rows.withColumn("part", F.pmod("h", F.lit(PARTS)))
@@ -47,18 +50,18 @@ def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "t
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.langs = list(dictionaries)
-        self.packers, self.short_packers = ([self._packer(c, level) for c in dictionaries.values()] for level in (LEVEL, SHORT_LEVEL))
+        self.packers = list(map(self._packer, dictionaries.values()))
 
     @staticmethod
-    def _packer(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    def _packer(content: bytes) -> zstandard.ZstdCompressor:
         known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        known.precompute_compress(level=level)
+        known.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def sizes(self, text: str) -> list[int]:
         raw = text.lower().encode("utf-8", "surrogatepass")
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-        return [sum(len(p.compress(b)) for b in blocks) for p in (self.short_packers if len(raw) < SHORT else self.packers)]
+        return [sum(len(p.compress(b)) for b in blocks) for p in self.packers]
 
     def predict(self, text: str | None) -> tuple[str, float, bool, list[int]]:
         """Language, score, rejected, bytes by language. No letter, or no language learnt: ``und`` with score 0."""
@@ -73,7 +76,9 @@ class Classifier:
 def predict(df: DataFrame, dictionaries: dict[str, bytes], carry: dict[str, Column], text_col: str = "text") -> DataFrame:
     """The columns of carry, with lang_pred, score and rejected, for every row and whole text of df.
 
-    Only the text is an input of a prediction. The dictionaries, bounded by fit(), travel with the tasks.
+    Only the text is an input of a prediction. The dictionaries, bounded by fit(), travel with the tasks. Null texts
+    and texts without a letter are ``und``; repeated rows come out alike, an empty table gives no rows, and a very
+    long text is compressed whole, block by block. carry may hold any columns of df but names of the three.
     """
     names = [*carry, "lang_pred", "score", "rejected"]
     kept = df.select(*[c.alias(k) for k, c in carry.items()], F.col(text_col).alias("_text"))
