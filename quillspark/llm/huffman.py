@@ -2,7 +2,7 @@
 
 Code lengths come from global counts by package merge. A file holds the code, then blocks; a block holds
 whole documents in ascending id order, each beginning on a byte, with the bit offset of every CHECK-th id.
-Decoding looks LIMIT bits up in a table, for all stretches between checkpoints of a block at once.
+Decoding looks the longest code's bits up in a table, for all stretches between checkpoints of a block at once.
 
 File: ``QHUF1``, u32 length and zlib of the code lengths (a byte an id), then blocks of
 u32 documents, u32 checkpoints, u64 payload bytes; i64 ids, u8 null marks, u64 id counts, u64 byte
@@ -24,20 +24,23 @@ from quillspark.llm.files import attempt_name, opened
 from quillspark.llm.ranges import id_borders, id_range
 from quillspark.session import dropped, new_path, partitions, staged
 
+#: Bits of the longest code, more where that many ids need them, and ids from one checkpoint to the next.
 MAGIC, LIMIT, CHECK = b"QHUF1", 16, 256
 #: Ids that are coded, written and decoded together.
 GROUP = 1 << 20
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Lengths of an optimal prefix code of at most limit bits for ids with these counts; 0 where a count is 0."""
+    """Lengths of an optimal prefix code for ids with these counts; 0 where a count is 0.
+
+    At most limit bits, or the fewest that give so many ids a code each.
+    """
     lengths = np.zeros(len(counts), np.uint8)
     used = np.flatnonzero(counts)
     if len(used) < 2:
         lengths[used] = 1
         return lengths
-    if len(used) > 1 << limit:
-        raise ValueError(f"{len(used)} ids do not fit codes of {limit} bits")
+    limit = max(limit, (len(used) - 1).bit_length())
     used = used[np.argsort(counts[used], kind="stable")]
     weights = counts[used].astype(np.float64)
     is_leaf, merged = [], np.zeros(0)
@@ -58,16 +61,19 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
 class Code:
     def __init__(self, lengths: np.ndarray) -> None:
         self.lengths = lengths.astype(np.uint64)
+        self.limit = limit = max(LIMIT, int(lengths.max(initial=0)))
+        if limit > 25:
+            raise ValueError("a code of over 25 bits, for over 16 million ids, does not fit the decoder's window")
         order = np.lexsort((np.arange(len(lengths)), lengths))
         order = order[lengths[order] > 0]
         self.codes = np.zeros(len(lengths), np.uint64)
-        table = np.zeros(1 << LIMIT, np.uint32)
+        table = np.zeros(1 << limit, np.uint32)
         code = before = 0
         for i in order.tolist():
             n = int(lengths[i])
             code <<= n - before
             self.codes[i], before = code, n
-            table[code << LIMIT - n : code + 1 << LIMIT - n] = i << 5 | n
+            table[code << limit - n : code + 1 << limit - n] = i << 5 | n
             code += 1
         self.table = table
 
@@ -91,7 +97,9 @@ class Code:
     def decode(self, payload: bytes, checks: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """All ids of documents with counts ids each, every stretch between checkpoints in step."""
         data = np.concatenate([np.frombuffer(payload, np.uint8), np.zeros(4, np.uint8)]).astype(np.uint32)
-        window = data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]
+        # From each byte on, 32 bits: room for 7 bits before a code and 25 of it.
+        window = data[:-3] << np.uint32(24) | data[1:-2] << np.uint32(16) | data[2:-1] << np.uint32(8) | data[3:]
+        spare, mask = 32 - self.limit, np.uint32((1 << self.limit) - 1)
         start = checkpoints(counts)
         total = int(counts.sum())
         length = np.minimum(CHECK, np.repeat(np.cumsum(counts), -(-counts // CHECK)) - start)
@@ -102,7 +110,7 @@ class Code:
         for step in range(int(length[0]) if len(length) else 0):
             n = int(active[step])
             here = at[:n]
-            hit = self.table[window[here >> 3] >> (8 - (here & 7)).astype(np.uint32) & np.uint32(0xFFFF)]
+            hit = self.table[window[here >> 3] >> (spare - (here & 7)).astype(np.uint32) & mask]
             out[to[:n] + step] = hit >> np.uint32(5)
             here += hit & np.uint32(31)
         return out

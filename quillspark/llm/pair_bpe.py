@@ -46,7 +46,7 @@ class PairBpe:
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.by_rank.append((vocab[a], vocab[b], vocab[a + b]))
-            self.pairs[vocab[a] << 16 | vocab[b]] = rank
+            self.pairs[vocab[a] << 32 | vocab[b]] = rank
         self.pair_keys = np.array(sorted(self.pairs), np.int64)
         self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.alphabet = byte_alphabet()
@@ -105,7 +105,7 @@ class PairBpe:
                 lower = False
                 if n >= 0:
                     before[n] = i
-                    new = pairs.get(made << 16 | sym[n])
+                    new = pairs.get(made << 32 | sym[n])
                     if new is not None:
                         if new in where:
                             where[new].append(i)
@@ -115,7 +115,7 @@ class PairBpe:
                         lower = new < rank
                 p = before[i]
                 if p >= 0:
-                    new = pairs.get(sym[p] << 16 | made)
+                    new = pairs.get(sym[p] << 32 | made)
                     if new is not None:
                         if new in where:
                             where[new].append(p)
@@ -134,7 +134,7 @@ class PairBpe:
 
     def _index(self, sym: np.ndarray, after: np.ndarray) -> dict[int, list[int]]:
         """Ranks of the pairs that stand side by side, with all their positions in ascending order."""
-        keys = sym[:-1] << 16 | sym[1:]
+        keys = sym[:-1] << 32 | sym[1:]
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         places = np.flatnonzero((after[:-1] >= 0) & (self.pair_keys[at] == keys))
         ranks = self.pair_ranks[at[places]]
@@ -215,8 +215,10 @@ def pair_bpe(path: str) -> PairBpe:
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, ids_sha256 (ids as little-endian 32-bit integers), decoded_sha256 for every row.
 
-    Null texts are empty: no ids, and the digests of nothing. No row depends on another, so there is no
-    exchange. path is the tokenizer's file on every executor.
+    Null texts are empty: no ids, and the digests of nothing; repeated rows and null ids come out as they went in,
+    an empty table gives no rows, other columns are ignored. No row depends on another, so there is no exchange.
+    A very long text goes word by word, with memory for its distinct words and its ids. path is the tokenizer's
+    file on every executor.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
