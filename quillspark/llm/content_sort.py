@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillspark.session import partitions, staged
 
 #: Rows sampled per range, and characters of a text that a splitter keeps before its digest.
-SAMPLE_PER_RANGE, SPLITTER_CHARS = 64, 256
+SAMPLE_PER_RANGE, SPLITTER_CHARS, SEED = 64, 64, 1
 
 
 def normalised(text: Column) -> Column:
@@ -42,7 +42,7 @@ def _splitters(rows: DataFrame, ranges: int) -> tuple[list[Column], list[str]]:
     share = min(1.0, SAMPLE_PER_RANGE * ranges / max(1, rows.count()))
     if ranges < 2:
         return [], []
-    sample = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    sample = rows.where(F.rand(SEED) < share)  # of rows, whatever ids or texts they repeat; splitters decide no result
     order = Window.orderBy("_k")
     at = sample.select("_k", F.row_number().over(order).alias("_n"), F.count("*").over(Window.partitionBy()).alias("_of"))
     step = F.greatest(F.lit(1), (F.col("_of") / ranges).cast("long"))
@@ -101,7 +101,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Texts are equal when identical after every run of ``[\\x20\\x09-\\x0D]`` becomes one space; null
     counts as empty. Rows with a null id sort last, so that they stay only where a group has no other.
     Of rows that repeat both id and text, exactly one is kept. An empty table gives an empty result.
-    Other columns of df are ignored, whatever their names.
+    Very long texts are sorted and compared whole. Other columns of df are ignored, whatever their names.
     """
     return _marked(df, id_col, text_col, whole=False).select(
         F.col("_id").alias(id_col),
