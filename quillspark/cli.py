@@ -1,7 +1,9 @@
-"""A thin command line: import a folder, show the registry and its entities, search, ask.
+"""A thin command line: import a folder, show the registry and its entities, search, ask, check questions.
 
     python -m quillspark.cli --home HOME ingest FOLDER
     python -m quillspark.cli --home HOME search QUERY [-k 5] [--kind text]
+    python -m quillspark.cli --home HOME ask QUESTION [--session ID]
+    python -m quillspark.cli --home HOME check QUESTIONS.jsonl
 """
 
 from __future__ import annotations
@@ -11,13 +13,14 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import fields, rules
-from quillspark.operators import retrieval
+from quillspark.functions import fields, rules, text as tx
+from quillspark.operators import evaluation, retrieval, sessions
 from quillspark.plans import asking
-from quillspark.session import staged
+from quillspark.session import exists, staged
+from quillspark.sources import files
 from quillspark.streaming import ingest
 
-REGISTRY = "doc_id string, file_name string, content_type string, document_title string, status string, chunk_count int"
+STATE = f"session_id string, focus array<string>, pending struct<options:array<string>,plan:{fields.PLAN}>, asked_at timestamp"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,43 +32,57 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--force", action="store_true")
     one.add_argument("--only")
     commands.add_parser("status")
+    commands.add_parser("entities")
+    commands.add_parser("check").add_argument("items")
     for name in ("search", "ask"):
         one = commands.add_parser(name)
         one.add_argument("text")
         one.add_argument("-k", type=int, default=rules.TOP_K)
         one.add_argument("--kind", action="append")
         one.add_argument("--content-type", action="append")
+    one.add_argument("--session", default="cli")
     return out
 
 
 def known(spark: SparkSession, home: str) -> DataFrame:
-    try:
-        return spark.read.schema(REGISTRY).parquet(f"{home}/registry")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], REGISTRY)
+    return ingest.known_documents(spark, f"{home}/registry")
+
+
+def asked(spark: SparkSession, home: str, question: str, session: str, docs: DataFrame) -> DataFrame:
+    """kind, answer of a question of a session; its messages and the state it leaves are saved."""
+    questions = spark.createDataFrame([("q", session, question)], "request_id string, session_id string, question string")
+    states, messages = f"{home}/states", f"{home}/messages"
+    before = spark.read.schema(STATE).parquet(states) if exists(spark, states) else spark.createDataFrame([], STATE)
+    newest = before.where(F.col("session_id") == session).orderBy(F.desc("asked_at")).limit(1).drop("asked_at")
+    replies, _ = staged(asking.ask(questions, newest, ingest.entities(docs), spark.read.parquet(f"{home}/index"), docs).withColumn("asked_at", F.current_timestamp()), "replies")
+    sessions.turn_messages(replies.select("session_id", "question", "answer", "kind", "asked_at")).write.mode("append").parquet(messages)
+    replies.select("session_id", "focus", "pending", "asked_at").write.mode("append").parquet(states)
+    return replies.select("kind", "answer")
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """The result of a command as a table."""
     docs = known(spark, args.home)
     if args.command == "ingest":
-        rows, path = staged(ingest.import_folder(spark, args.folder, f"{args.home}/index", docs, args.force, args.only), "registry")
-        rows.write.mode("overwrite").parquet(f"{args.home}/registry")
-        return spark.read.parquet(path).orderBy("file_name")
+        rows = ingest.import_folder(spark, args.folder, f"{args.home}/index", docs, args.force, args.only)
+        return ingest.save_registry(rows, f"{args.home}/registry").orderBy("file_name")
     if args.command == "status":
-        return docs.groupBy("status").agg(F.count("*").alias("documents"), F.sum("chunk_count").alias("chunks")).orderBy("status")
+        return docs.groupBy("status").agg(F.count("*").alias("documents"), F.sum("chunk_count").alias("chunks"), F.array_sort(F.collect_set(F.when(F.col("error") != "", F.concat_ws(": ", "file_name", "error")))).alias("errors")).orderBy("status")
+    if args.command == "entities":
+        return ingest.entities(docs).orderBy("id")
     chunks = spark.read.parquet(f"{args.home}/index")
     docs = docs.withColumn("source_path", F.lit(""))
-    text = spark.createDataFrame([(args.text,)], "query string").withColumn("query_id", F.lit("q"))
-    if args.command == "search":
-        queries = text.withColumns({"dense": retrieval.dense_vector("query"), "sparse": retrieval.sparse_vector(F.col("query"))})
-        found = retrieval.search(queries, chunks, docs, args.k, where=retrieval.scalar_filter(args.kind, args.content_type))
-        return found.select("rank", "score", "file_name", "section_path", "page_start", "text").orderBy("rank")
-    questions = text.select(F.col("query_id").alias("request_id"), F.lit("cli").alias("session_id"), F.col("query").alias("question"))
-    state = spark.createDataFrame([], f"session_id string, focus array<string>, pending struct<options:array<string>,plan:{fields.PLAN}>")
-    return asking.ask(questions, state, spark.createDataFrame([], fields.ENTITY), chunks, docs).select("kind", "answer")
+    if args.command == "check":
+        lines = files.eval_items(spark, args.items)
+        bad = lines.where("error is not null").select(F.concat(F.lit("line "), "line").alias("tag"), "error")
+        own = evaluation.corpus(chunks, docs, tx.normal)
+        return bad.unionByName(evaluation.self_check(lines.where("error is null"), own, tx.normal)).orderBy("tag", "error")
+    if args.command == "ask":
+        return asked(spark, args.home, args.text, args.session, docs)
+    text = spark.createDataFrame([("q", args.text)], "query_id string, query string")
+    queries = text.withColumns({"dense": retrieval.dense_vector("query"), "sparse": retrieval.sparse_vector(F.col("query"))})
+    found = retrieval.search(queries, chunks, docs, args.k, where=retrieval.scalar_filter(args.kind, args.content_type))
+    return found.select("rank", "score", "file_name", "section_path", "page_start", "text").orderBy("rank")
 
 
 def main() -> None:

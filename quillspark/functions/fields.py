@@ -10,9 +10,11 @@ BLOCK = (
     "caption string, footnote string, context string, img_path string, derived boolean, absorbed boolean"
 )
 CHUNK = "doc_id string, seq int, kind string, text string, embed_body string, section_path string, page_start int, page_end int, derived boolean, table_html string"
-FACT = "doc_id string, ord int, unit string, section string, page_start int, page_end int, item string, column string, value string"
+FACT = "doc_id string, ord bigint, unit string, section string, page_start int, page_end int, item string, column string, value string"
 ENTITY = "id string, name string, type string, codes array<string>, aliases array<string>, doc_ids array<string>"
 PLAN = "struct<standalone_query:string,entity_mentions:array<string>>"
 GOLD = "array<struct<file:string,quote:string>>"
 TURN = f"struct<q:string,expect:string,gold:{GOLD},must_include:array<string>,must_not_include:array<string>>"
 EVAL_ITEM = f"id string, category string, turns array<{TURN}>, expect string, gold {GOLD}, must_include array<string>, must_not_include array<string>, note string"
+RECOGNISED = "type string, name string, codes array<string>, aliases array<string>"
+REGISTRY = f"doc_id string, file_name string, content_type string, document_title string, status string, chunk_count int, entity struct<{RECOGNISED.replace(' ', ':').replace(',:', ',')}>, error string"

@@ -40,6 +40,7 @@ HEADER_CELL_MOST, LABEL_CELL_MOST, FIRST_COLUMN = 30, 40, "项目"
 
 # Chunking.
 CHUNK_TARGET, CHUNK_MOST, CHUNK_LEAST, TABLE_MOST = 600, 1000, 200, 3000
+NOTHING = "（无）"
 SUMMARY_MOST, ENTITY_MOST, SUMMARY_PREFIX = 6000, 3000, "（文档摘要）"
 CHUNK_SENTENCE_ENDS = "。！？!?；;\n"
 
@@ -79,7 +80,7 @@ GENERIC = [
 BOILERPLATE = (
     "股份有限公司|有限责任公司|有限公司|交易型开放式指数证券投资基金|证券投资基金|投资基金|联接基金|基金|理财产品|理财计划|理财|产品|那只|那款|这只|这款|的"
 )
-ORDINAL_REPLY, ORDINALS = r"第?\s*([1-4一二三四])\s*(?:个|只|款|项)?[。.！!]?", ("1一", "2二", "3三", "4四")
+ORDINAL_REPLY, ORDINALS = r"第?\s*([1-4一二三四])\s*(?:个|只|款|项)?[。.！!]?", {"1": 0, "2": 1, "3": 2, "4": 3, "一": 0, "二": 1, "三": 2, "四": 3}
 REPLY_NOISE = r"[，。,.！!？?\s]|那只|那个|那款|这只|这个|的|吧|呢|是|就"
 
 # Evaluation.

@@ -39,6 +39,11 @@ class Guard:
         patterns = [*([] if told else map(re.escape, self.banned)), *([self.advice] if self.advice else [])]
         return [m[0] for p in patterns for m in re.finditer(p, sentence) if not self.negated(sentence, m.start())]
 
+    def kept(self, context: str) -> str:
+        """As much of a context as matters for what follows: a word of warning, or an end that may begin one."""
+        longest = max(map(len, self.warnings), default=1)
+        return next((w for w in self.warnings if w in context), context[len(context) - min(len(context), longest - 1) :])
+
     def sentences(self, text: str) -> list[str]:
         return re.findall(rf"[^{self.ends}]*[{self.ends}]|[^{self.ends}]+\Z", text)
 
@@ -60,7 +65,7 @@ class GuardedStream:
 
     def _checked(self, sentence: str) -> str:
         bad = self.guard.violations(sentence, self.context)
-        self.context += sentence
+        self.context = self.guard.kept(self.context + sentence)
         self.hits += bad
         return self.guard.replacement + "\n" * sentence.endswith("\n") if bad else sentence
 
@@ -69,17 +74,12 @@ def violations(sentence: Column, context: Column | None = None, guard: Guard = G
     """Guard.violations over columns, without Python: positions of each phrase, less the negated ones."""
     context = F.lit("") if context is None else F.coalesce(context, F.lit(""))
     told = reduce(lambda a, b: a | b, [t.contains(w) for w in guard.warnings for t in (sentence, context)], F.lit(False))
-    no = "|".join(map(re.escape, guard.negations))
+    # A negation that begins within the window before a match; a negated match is passed over whole.
+    free = "".join(rf"(?<!{re.escape(n)}[\s\S]{{0,{guard.window - len(n)}}})" for n in guard.negations if len(n) <= guard.window)
 
     def occurrences(pattern: str) -> Column:
-        # Pieces between matches give their positions; a match follows each piece but the last.
-        texts = F.regexp_extract_all(sentence, F.lit(f"({pattern})"), 1)
-        pieces = F.split(sentence, pattern, -1)
-        upto = lambda i: F.aggregate(F.sequence(F.lit(0), i), F.lit(""), lambda s, k: F.concat(s, F.when(k > 0, F.get(texts, k - 1)).otherwise(""), F.get(pieces, k)))
-        ends = F.transform(texts, lambda t, i: F.struct(t.alias("t"), upto(i).alias("x")))
-        if no:
-            ends = F.filter(ends, lambda e: ~F.substring(e["x"], -guard.window, guard.window).rlike(no))
-        return F.transform(ends, lambda e: e["t"])
+        found = F.regexp_extract_all(sentence, F.lit(f"(?={pattern}){free}({pattern})|(?:{pattern})"), 1)
+        return F.filter(found, lambda t: t != "")
 
     none = F.array().cast("array<string>")
     parts = [F.when(~told & sentence.contains(b), occurrences(re.escape(b))).otherwise(none) for b in guard.banned]

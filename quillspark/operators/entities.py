@@ -106,17 +106,32 @@ def labels(entities: DataFrame) -> DataFrame:
     return entities.select("id", "type", F.explode(F.concat(F.array("name"), "aliases")).alias("label"))
 
 
+def _lengths(values: DataFrame, column: str) -> list[int]:
+    """Distinct lengths of a column's non-empty strings: no more than the longest has characters."""
+    return sorted(r[0] for r in values.where(F.length(column) > 0).select(F.length(column)).distinct().collect())
+
+
+def within(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """Rows of texts joined with those of parts whose part stands in the text: substrings of the lengths that parts have, in an equi join."""
+    lengths = F.array(*map(F.lit, _lengths(parts, part))).cast("array<int>")
+    starts = lambda n: F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    every = F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.transform(starts(n), lambda i: F.col(text).substr(i, n)))))
+    return texts.withColumn(part, F.explode(every)).join(parts, part)
+
+
 def by_code(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """(mention, id) wherever a mention (mention, text: upper-cased) contains one of an entity's codes."""
-    codes = entities.select("id", F.explode("codes").alias("code"))
-    return mentions.join(codes, F.col("text").contains(F.upper("code"))).select("mention", "id").distinct()
+    codes = entities.select("id", F.explode("codes").alias("c")).select("id", F.upper("c").alias("code"))
+    return within(mentions, "text", codes, "code").select("mention", "id").distinct()
 
 
 def by_label(mentions: DataFrame, named: DataFrame, text: str = "text") -> DataFrame:
     """(mention, id) of the longest matches: a label within the text, or the text, of 2 characters at least, within a label."""
-    label = F.upper("label")
-    inside, around = F.col(text).contains(label), (F.length(text) >= 2) & label.contains(F.col(text))
-    met = mentions.join(named, inside | around).select("mention", "id", F.when(inside, F.length(label)).otherwise(F.length(text)).alias("n"))
+    asked = mentions.select("mention", F.col(text).alias("asked"))
+    known = named.select("id", F.upper("label").alias("known"))
+    inside = within(asked, "asked", known, "known").select("mention", "id", F.length("known").alias("n"))
+    around = within(known, "known", asked.where(F.length("asked") >= 2), "asked").select("mention", "id", F.length("asked").alias("n"))
+    met = inside.unionByName(around)
     return met.withColumn("top", F.max("n").over(KEY("mention"))).where("n = top").select("mention", "id").distinct()
 
 
@@ -137,8 +152,7 @@ def by_fuzzy(mentions: DataFrame, named: DataFrame, least: int = rules.FUZZY_LEA
 def match(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """(mention, id) of distinct mentions: by code, else label, else label without boilerplate, else fuzzily.
 
-    The label steps compare every mention with every label: their sides meet in a nested-loop join, which
-    Spark broadcasts only below its size threshold. Generic and empty mentions match nothing.
+    Every step is an equi join on codes, labels or runs of characters. Generic and empty mentions match nothing.
     """
     rows = mentions.select("mention").distinct().withColumn("text", F.upper(tx.strip(F.col("mention")))).where((F.col("text") != "") & ~F.col("text").isin(rules.GENERIC))
     named = labels(entities)
@@ -167,11 +181,10 @@ def resolve(requests: DataFrame, entities: DataFrame) -> DataFrame:
     rows = requests.select("request_id", F.posexplode_outer("mentions").alias("at", "mention"))
     plain = F.upper(tx.strip(F.col("mention")))
     rows = rows.where(F.col("mention").isNull() | ~plain.isin(rules.GENERIC))
-    order = entities.select("id", F.row_number().over(Window.orderBy("id")).alias("rank"))
-    hits = match(rows.where("mention is not null"), entities).join(order, "id").groupBy("mention").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("ids"))
+    hits = match(rows.where("mention is not null"), entities).groupBy("mention").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     rows = rows.join(hits, "mention", "left").withColumn("n", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")))
     ordered = lambda when, value: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("at", value.alias("v"))))), lambda x: x["v"])
-    ids = F.transform("ids", lambda x: x["id"])
+    ids = F.col("ids")
     all_requests = requests.select("request_id").distinct()
     found = rows.where("mention is not null").groupBy("request_id").agg(
         F.array_distinct(F.flatten(ordered(F.col("n") == 1, ids))).alias("one"), F.array_distinct(F.flatten(ordered(F.col("n") > 1, ids))).alias("many"),
@@ -188,7 +201,7 @@ def pick_option(reply: str, options: list[dict]) -> int | None:
     its words, else the only one with two neighbouring characters of them."""
     plain = (reply or "").strip()
     if m := re.fullmatch(rules.ORDINAL_REPLY, plain):
-        at = next(k for k, signs in enumerate(rules.ORDINALS) if m[1] in signs)
+        at = rules.ORDINALS[m[1]]
         if at < len(options):
             return at
     core = re.sub(rules.REPLY_NOISE, "", plain)

@@ -60,13 +60,16 @@ def distribution(value: str) -> list[Column]:
 
 
 def distribution_by_rank(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """distribution() without gathering a group in one row: ranked rows, then the ones at the wanted places."""
-    rows = rows.where(F.col(value).isNotNull())
+    """distribution() without gathering a group in one row: distinct values with their counts, in order, then the
+    ones at the wanted places. Rows are added up before they are shuffled."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
     order = Window.partitionBy(*keys).orderBy(value)
-    placed = rows.select(*keys, value, (F.row_number().over(order) - 1).alias("k"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    at = lambda q: F.max(F.when(F.col("k") == F.floor(F.lit(q) * (F.col("n") - 1)), F.col(value)))
-    middle = F.avg(F.when(F.col("k").isin(-1) | (F.col("k") == F.floor((F.col("n") - 1) / 2)) | (F.col("k") == F.ceil((F.col("n") - 1) / 2)), F.col(value)))
-    return placed.groupBy(*keys).agg(F.max("n").alias("n"), F.min(value).alias("min"), at(0.1).alias("p10"), middle.alias("median"), at(0.9).alias("p90"), F.max(value).alias("max"))
+    placed = counted.select(*keys, value, "c", F.sum("c").over(order).alias("upto"), F.sum("c").over(Window.partitionBy(*keys)).alias("n"))
+    at = lambda place: F.max(F.when((F.col("upto") - F.col("c") <= place) & (place < F.col("upto")), F.col(value)))
+    last = F.col("n") - 1
+    places = [at(F.floor(F.lit(q) * last)) for q in (0.1, 0.9)]
+    middle = (at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2
+    return placed.groupBy(*keys).agg(F.max("n").alias("n"), F.min(value).alias("min"), places[0].alias("p10"), middle.alias("median"), places[1].alias("p90"), F.max(value).alias("max"))
 
 
 def rate(value: Column) -> Column:
@@ -106,7 +109,8 @@ def cited_gold(gold_files: Column, kind: Column, source_files: Column) -> Column
 
 
 def self_check(items: DataFrame, corpus: DataFrame, normal: object) -> DataFrame:
-    """(tag, error) of every fault of the items against corpus (file, plain); normal: the text normaliser."""
+    """(tag, error) of every fault of the items against corpus (file, plain), any number of rows a file; normal: the text
+    normaliser. A quote, which has no white space once normalised, must stand in one of them."""
     many = F.col("category") == "multiturn"
     numbered = items.groupBy("id").agg(F.count("*").alias("n"))
     repeats = numbered.where("n > 1").select(F.col("id").alias("tag"), F.explode(F.array_repeat(F.lit("id repeated"), F.col("n").cast("int") - 1)).alias("error"))
@@ -115,10 +119,10 @@ def self_check(items: DataFrame, corpus: DataFrame, normal: object) -> DataFrame
     rows = turns(items).withColumn("tag", F.concat_ws("#", "id", "turn"))
     missing = rows.where("expect is null").select("tag", F.lit("no expect").alias("error"))
     bare = rows.where((F.col("expect") == "answer") & (F.size("gold") == 0) & (F.col("category") != "compliance")).select("tag", F.lit("no gold").alias("error"))
-    gold = rows.select("tag", F.explode("gold").alias("g")).select("tag", "g.file", "g.quote").withColumn("plain_quote", normal(F.col("quote")))
-    held = gold.join(corpus, "file", "left")
-    length = held.where(~F.length("plain_quote").between(rules.QUOTE_LEAST, rules.QUOTE_MOST)).select("tag", F.concat(F.lit("quote length "), F.length("plain_quote")).alias("error"))
-    absent = F.when(F.col("plain").isNull(), F.concat(F.lit("no file "), "file")).when(~F.col("plain").contains(F.col("plain_quote")), F.concat(F.lit("no quote in "), "file"))
+    gold = rows.select("tag", F.posexplode("gold").alias("at", "g")).select("tag", "at", "g.file", normal(F.col("g.quote")).alias("plain_quote"))
+    length = gold.where(~F.length("plain_quote").between(rules.QUOTE_LEAST, rules.QUOTE_MOST)).select("tag", F.concat(F.lit("quote length "), F.length("plain_quote")).alias("error"))
+    held = gold.join(corpus, "file", "left").groupBy("tag", "at", "file").agg(F.count("plain").alias("n"), F.bool_or(F.col("plain").contains(F.col("plain_quote"))).alias("held"))
+    absent = F.when(F.col("n") == 0, F.concat(F.lit("no file "), "file")).when(~F.col("held"), F.concat(F.lit("no quote in "), "file"))
     lost = held.select("tag", absent.alias("error")).where("error is not null")
     out = repeats
     for more in (shape, missing, bare, length, lost):
@@ -127,7 +131,5 @@ def self_check(items: DataFrame, corpus: DataFrame, normal: object) -> DataFrame
 
 
 def corpus(chunks: DataFrame, docs: DataFrame, normal: object) -> DataFrame:
-    """(file, plain): the normalised texts of a file's chunks, by lines."""
-    rows = chunks.join(docs.select("doc_id", F.col("file_name").alias("file")), "doc_id").withColumn("plain", normal(F.col("text")))
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "seq", "plain"))), lambda x: x["plain"])
-    return rows.groupBy("file").agg(F.array_join(parts, "\n").alias("plain"))
+    """(file, plain): the normalised text of each of a file's chunks."""
+    return chunks.join(docs.select("doc_id", F.col("file_name").alias("file")), "doc_id").select("file", normal(F.col("text")).alias("plain"))

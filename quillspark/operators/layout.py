@@ -321,7 +321,7 @@ def table_facts(blocks: DataFrame) -> DataFrame:
             for r in pdf.itertuples():
                 table = Table(r.table_html)
                 for k, (item, column, value) in enumerate(table.facts()):
-                    out.append((r.doc_id, r.seq * 100_000 + k, r.context or table.unit, r.section, r.page, r.last, item, column, value))
+                    out.append((r.doc_id, (int(r.seq) << 32) + k, r.context or table.unit, r.section, r.page, r.last, item, column, value))
             yield pd.DataFrame(out, columns=columns)
 
     return rows.mapInPandas(each, fields.FACT)

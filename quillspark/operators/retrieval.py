@@ -5,11 +5,13 @@ Everything runs for a table of queries at once; every order is total (score, the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +34,12 @@ def term_weights(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def sparse_vector(text: Column) -> Column:
     """map<int,float> of hashed terms and their counts; a text without terms gets one vanishing weight."""
-    hashed = F.transform(terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(1 << 31)).cast("int"))
-    counts = F.map_from_entries(F.transform(F.array_distinct(hashed), lambda h: F.struct(h, F.size(F.filter(hashed, lambda x: x == h)).cast("float"))))
-    return F.when(F.size(hashed) > 0, counts).otherwise(F.create_map(F.lit(0), F.lit(1e-6).cast("float")))
+    return _counts(F.transform(terms(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(1 << 31)).cast("int")))
+
+
+@lazy_udf("map<int,float>")
+def _counts(hashed: pd.Series) -> pd.Series:
+    return hashed.map(lambda h: dict(zip(*(x.tolist() for x in np.unique(h, return_counts=True)), strict=True)) if len(h) else {0: 1e-6})
 
 
 @lazy_udf("array<float>")
@@ -71,51 +76,120 @@ def top(scored: DataFrame, k: int, group: str = "query_id", score: str = "score"
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+class _Best:
+    """The k best rows of each of n queries, by score, then key."""
+
+    def __init__(self, n: int, k: int, least: float) -> None:
+        self.k, self.least = k, np.full(n, least)
+        self.keys, self.scores = [np.zeros(0, object)] * n, [np.zeros(0)] * n
+
+    def add(self, keys: np.ndarray, scores: np.ndarray) -> None:
+        """keys of rows, and their scores, a column a query."""
+        hit = scores >= self.least
+        for n in np.flatnonzero(hit.any(axis=0)).tolist():
+            rows = np.flatnonzero(hit[:, n])
+            some, names = np.concatenate([self.scores[n], scores[rows, n]]), np.concatenate([self.keys[n], keys[rows]])
+            order = np.lexsort((names, -some))[: self.k]
+            self.scores[n], self.keys[n] = some[order], names[order]
+            if len(order) == self.k:
+                self.least[n] = max(self.least[n], some[order[-1]])
+
+
+def _searched(ids: pa.Array, rows: DataFrame, kind: str, scorer: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]], k: int, least: float) -> DataFrame:
+    """query_id, chunk_id, score: each task's k best rows of each query; scorer gives blocks of rows (from, scores)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, key_type = _Best(len(ids), k, least), None
+        for batch in batches:
+            key_type = batch.schema.field(0).type
+            keys = np.array(batch.column(0).to_pylist(), object)
+            for at, scores in scorer(batch):
+                best.add(keys[at : at + len(scores)], scores)
+        for n in range(len(ids)):
+            if size := len(best.keys[n]):
+                yield pa.RecordBatch.from_arrays([pa.repeat(ids[n], size), pa.array(best.keys[n].tolist(), key_type), pa.array(best.scores[n])], names=["query_id", "chunk_id", "score"])
+
+    return rows.mapInArrow(run, f"query_id {kind}, chunk_id {rows.schema[0].dataType.simpleString()}, score double")
+
+
+def _blocks(queries: DataFrame, block: int) -> list[DataFrame]:
+    count = -(-queries.select("query_id").distinct().count() // block)
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == n) if count > 1 else queries for n in range(max(1, count))]
+
+
 def dense_search(queries: DataFrame, chunks: DataFrame, k: int = rules.CANDIDATES, block: int = 2048) -> DataFrame:
-    """query_id, chunk_id, score, rank by inner product of unit vectors, for a stated set of queries.
+    """query_id, chunk_id, score, rank by inner product of unit vectors: exact, for a stated set of queries. Rows
+    without a vector take no part.
 
-    Queries go in blocks of about block rows, which travel with the tasks. Each task scores its rows against
-    a block by one matrix product and keeps its k best of each query, so that what is shuffled is at most k
-    rows a query and task.
+    Queries go in blocks of about block rows, which travel with the tasks; each block reads the chunks once. Each
+    task scores its rows against a block by one matrix product and keeps its k best of each query, so that what is
+    shuffled is at most k rows a query and task.
     """
-    blocks = -(-queries.count() // block)
-    parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else queries for n in range(max(1, blocks))]
-    return top(reduce(DataFrame.unionByName, [_block_scores(p, chunks, k) for p in parts]), k)
-
-
-def _block_scores(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    asked = queries.select("query_id", "dense").collect()
-    ids, vectors = [q.query_id for q in asked], np.array([q.dense for q in asked], np.float64)
-    kinds = (queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString())
-
-    def score(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        keys, best = [np.zeros(0, object)] * len(ids), [np.zeros(0)] * len(ids)
-        for pdf in batches:
-            if not len(pdf) or not ids:
-                continue
-            products = np.stack(pdf["dense"].to_numpy()).astype(np.float64) @ vectors.T
-            own = pdf["chunk_id"].to_numpy()
-            for n in range(len(ids)):
-                some, names = np.concatenate([best[n], products[:, n]]), np.concatenate([keys[n], own])
-                order = np.lexsort((names, -some))[:k]
-                best[n], keys[n] = some[order], names[order]
-        for query, names, scores in zip(ids, keys, best, strict=True):
-            if len(names):
-                yield pd.DataFrame({"query_id": query, "chunk_id": names, "score": scores})
-
-    return chunks.select("chunk_id", "dense").mapInPandas(score, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def scores(part: DataFrame) -> DataFrame:
+        asked = part.where("dense is not null").select("query_id", "dense").toArrow()
+        vectors = np.array(asked.column("dense").to_pylist(), np.float64)
+
+        def products(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+            rows = batch.column(1)
+            if len(vectors) and len(rows):
+                yield 0, rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1) @ vectors.T
+
+        return _searched(asked.column("query_id").combine_chunks(), chunks.where("dense is not null").select("chunk_id", "dense"), kind, products, k, -np.inf)
+
+    return top(reduce(DataFrame.unionByName, map(scores, _blocks(queries, block))), k)
 
 
 def sparse_search(queries: DataFrame, chunks: DataFrame, k: int = rules.CANDIDATES) -> DataFrame:
     """query_id, chunk_id, score, rank by inner product of the maps of term weights in column sparse."""
     asked = queries.select("query_id", F.explode("sparse").alias("term", "weight"))
-    return term_search(asked, chunks.select("chunk_id", F.explode("sparse").alias("term", "weight")), k)
+    return term_search(asked, chunks.select("chunk_id", F.map_keys("sparse").alias("terms"), F.map_values("sparse").alias("weights")), k)
 
 
-def term_search(asked: DataFrame, held: DataFrame, k: int = rules.CANDIDATES) -> DataFrame:
-    """The same from long form (query_id or chunk_id, term, weight): an equi join on the term, which is the inverted index."""
-    both = held.select("chunk_id", "term", F.col("weight").cast("double").alias("wd")).join(asked.select("query_id", "term", F.col("weight").cast("double").alias("wq")), "term")
-    return top(both.groupBy("query_id", "chunk_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")), k)
+def term_search(asked: DataFrame, held: DataFrame, k: int = rules.CANDIDATES, block: int = 2048, common: bool = False) -> DataFrame:
+    """query_id, chunk_id, score, rank by the sum over common terms of both weights; without any a pair does not count.
+
+    asked: query_id, term, weight, a stated set of queries; held: chunk_id, terms (array, repeats add up) and
+    weights (array; missing: 1 each). With common the score is the number of distinct common terms. The terms of
+    a block of queries travel with the tasks as an inverted index; chunks are scored where they are.
+    """
+    kind = asked.schema["query_id"].dataType.simpleString()
+    rows = held.select("chunk_id", "terms", *(["weights"] if "weights" in held.columns else []))
+
+    def scores(part: DataFrame) -> DataFrame:
+        listed = part.select("query_id", "term", F.col("weight").cast("double").alias("weight")).toArrow().combine_chunks()
+        ids, terms_of = (listed.column(c).combine_chunks().dictionary_encode() for c in ("query_id", "term"))
+        order = np.argsort(terms_of.indices.to_numpy(), kind="stable")
+        query = ids.indices.to_numpy()[order].astype(np.int64)
+        weight = listed.column("weight").to_numpy()[order]
+        words, n = terms_of.dictionary, len(ids.dictionary)
+        size = np.bincount(terms_of.indices.to_numpy(), minlength=len(words))
+        begin = np.cumsum(size) - size
+        at_once = max(1, (1 << 22) // max(1, n))
+
+        def sums(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+            lists = batch.column(1)
+            stops = lists.offsets.to_numpy()
+            term = pc.index_in(lists.values, value_set=words).to_numpy(zero_copy_only=False)
+            own = batch.column(2).values.to_numpy(zero_copy_only=False).astype(np.float64) if batch.num_columns > 2 else np.ones(len(term))
+            for at in range(0, batch.num_rows, at_once):
+                to = min(at + at_once, batch.num_rows)
+                i, j = int(stops[at]), int(stops[to])
+                row = np.repeat(np.arange(to - at), np.diff(stops[at : to + 1]))
+                known = ~np.isnan(term[i:j].astype(np.float64))
+                place = row[known] * len(words) + term[i:j][known].astype(np.int64)
+                places, back = np.unique(place, return_inverse=True)
+                total = np.bincount(back, weights=own[i:j][known], minlength=len(places))
+                row, t = places // max(1, len(words)), places % max(1, len(words))
+                each = np.repeat(np.arange(len(places)), size[t])
+                hit = np.arange(len(each)) - np.repeat(np.cumsum(size[t]) - size[t], size[t]) + np.repeat(begin[t], size[t])
+                value = np.ones(len(hit)) if common else weight[hit] * total[each]
+                yield at, np.bincount(row[each] * n + query[hit], weights=value, minlength=(to - at) * n).reshape(to - at, n)
+
+        return _searched(ids.dictionary, rows, kind, sums if n else (lambda _: iter(())), k, np.nextafter(0, 1))
+
+    return top(reduce(DataFrame.unionByName, map(scores, _blocks(asked, block))), k)
 
 
 def fused(*arms: DataFrame, k: int = rules.FUSED, constant: int = rules.RRF_K) -> DataFrame:
@@ -142,11 +216,10 @@ def search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = rule
     return with_documents(hits.join(pool.drop("dense", "sparse"), "chunk_id"), docs).withColumn("score", F.round("score", 5))
 
 
-@lazy_udf("double")
-def overlap(query: pd.Series, text: pd.Series) -> pd.Series:
+def overlap(query: Column, text: Column) -> Column:
     """Share of the query's words that the text has: the offline stand-in for a reranker."""
-    sets = [(set((q or "").lower().split()), set((t or "").lower().split())) for q, t in zip(query, text, strict=True)]
-    return pd.Series([len(q & t) / len(q) if q else 0.0 for q, t in sets])
+    asked, held = (terms(F.coalesce(c, F.lit(""))) for c in (query, text))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, held)), F.size(F.array_distinct(asked))), F.lit(0.0))
 
 
 def reranked(hits: DataFrame, queries: DataFrame, scorer: Callable[[Column, Column], Column] | None = overlap, k: int = rules.FINAL, chars: int = rules.RERANK_CHARS) -> DataFrame:

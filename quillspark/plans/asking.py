@@ -1,7 +1,7 @@
 """Questions to answers, a table at a time: plan, resolve, retrieve, generate, guard, cite, remember.
 
-The models are functions of columns: ``planner(question, history)`` gives a model's JSON, ``generator(prompt,
-question)`` its raw output, ``embed(text)`` a vector and ``scorer(query, text)`` a reranker's score. The
+The models are functions of columns: ``planner(question, history, focus)`` gives a model's JSON, focus being the
+names of what the session is about, ``generator(prompt, question)`` its raw output, ``embed(text)`` a vector and ``scorer(query, text)`` a reranker's score. The
 defaults need no model: questions stand for themselves, mentions are the labels and codes they contain, and
 the answer is the first sentence of the first evidence.
 """
@@ -34,7 +34,7 @@ def accepted(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dictionary_mentions(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """(request_id, mentions): labels of two characters at least, and codes, that a question contains; longest first."""
     words = ent.labels(entities).select("label").unionByName(entities.select(F.explode("codes").alias("label"))).where(F.length("label") >= 2).distinct()
-    met = questions.join(words, F.upper("question").contains(F.upper("label")))
+    met = ent.within(questions.withColumn("_text", F.upper("question")), "_text", words.withColumn("_label", F.upper("label")), "_label")
     order = F.sort_array(F.collect_list(F.struct((-F.length("label")).alias("n"), "label")))
     return met.groupBy("request_id").agg(F.transform(order, lambda x: x["label"]).alias("mentions"))
 
@@ -49,6 +49,18 @@ def clarified(questions: DataFrame, state: DataFrame, entities: DataFrame) -> Da
     return picked.select("request_id", chosen["id"].alias("entity_id"), sessions.clarified_query(chosen["name"], F.col("before")).alias("standalone_query"))
 
 
+def focus_names(state: DataFrame, entities: DataFrame) -> DataFrame:
+    """(session_id, focus_names): names of the entities in focus, in order; those that are gone are passed over."""
+    rows = state.select("session_id", F.posexplode("focus").alias("at", "id")).join(entities.select("id", "name"), "id")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"])
+    return rows.groupBy("session_id").agg(F.array_join(names, "、").alias("focus_names"))
+
+
+def plan_prompt(question: Column, history: Column, focus: Column) -> Column:
+    """What a planning model reads of a question."""
+    return F.concat(F.lit("对话历史：\n"), history, F.lit("\n\n当前焦点对象："), focus, F.lit("\n\n当前问题："), question)
+
+
 def scoped_hits(queries: DataFrame, scope: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Fused hits of queries whose scope (query_id, doc_id) names their documents: only those chunks are scored."""
     rows = scope.join(chunks, "doc_id").join(queries.select("query_id", F.col("dense").alias("qd"), F.col("sparse").alias("qs")), "query_id")
@@ -72,7 +84,7 @@ def ask(
     chunks: DataFrame,
     docs: DataFrame,
     history: DataFrame | None = None,
-    planner: Callable[[Column, Column], Column] | None = None,
+    planner: Callable[[Column, Column, Column], Column] | None = None,
     generator: Callable[[Column, Column], Column] = extractive,
     embed: Callable[[Column], Column] = retrieval.dense_vector,
     scorer: Callable[[Column, Column], Column] | None = retrieval.overlap,
@@ -89,7 +101,10 @@ def ask(
     rest = questions.join(chosen, "request_id", "left_anti")
     if planner:
         told = rest.join(history, "session_id", "left") if history is not None else rest.withColumn("history", F.lit(None).cast("string"))
-        planned = told.withColumn("p", answers.parsed_plan(planner(F.col("question"), F.coalesce("history", F.lit("（无）"))), F.col("question"))).select("request_id", F.col("p.standalone_query").alias("standalone_query"), F.col("p.entity_mentions").alias("mentions"))
+        told = told.join(focus_names(state, entities), "session_id", "left")
+        nothing = F.lit(rules.NOTHING)
+        said = planner(F.col("question"), F.coalesce("history", nothing), F.coalesce("focus_names", nothing))
+        planned = told.withColumn("p", answers.parsed_plan(said, F.col("question"))).select("request_id", F.col("p.standalone_query").alias("standalone_query"), F.col("p.entity_mentions").alias("mentions"))
     else:
         planned = rest.join(dictionary_mentions(rest, entities), "request_id", "left").select("request_id", F.col("question").alias("standalone_query"), F.coalesce("mentions", _strings()).alias("mentions"))
     found = ent.resolve(planned.select("request_id", "mentions"), entities).join(planned, "request_id")

@@ -237,13 +237,13 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_DENSE.format("WHERE c.label IN (1, 2)"))
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, rows = _vectors(spark, sf_dir)
-    return retrieval.dense_search(asked, rows.where(F.col("label").isin(1, 2)), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.dense_search(asked, rows.withColumn("kind", F.col("label")).where(retrieval.scalar_filter(kinds=[1, 2])), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The terms of all benchmark items, as queries, and of all documents."""
     asked = retrieval.term_weights(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "query_id")
-    return asked, retrieval.term_weights(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
+    return asked, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), retrieval.terms(F.coalesce("text", F.lit(""))).alias("terms"))
 
 
 _TERMS = r"""
@@ -252,12 +252,6 @@ _TERMS = r"""
     a AS (SELECT query_id, chunk_id, CAST(sum(q.n * d.n) AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY sum(q.n * d.n) DESC, chunk_id) AS rank FROM q JOIN d USING (term) GROUP BY query_id, chunk_id),
     b AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, chunk_id) AS rank FROM q JOIN d USING (term) GROUP BY query_id, chunk_id)
 """
-_FUSED = f"""
-    WITH {_TERMS},
-    p AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS part FROM a WHERE rank <= 30 UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) FROM b WHERE rank <= 30),
-    f AS (SELECT query_id, chunk_id, sum(part) AS score FROM p GROUP BY query_id, chunk_id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM f)
-"""
 
 
 @query(f"WITH {_TERMS} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM a WHERE rank <= 10")
@@ -265,32 +259,63 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.term_search(*_terms(spark, sf_dir), 10)
 
 
-def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arms by weight and by the number of common terms, from one join."""
+@query(f"""
+    WITH {_TERMS},
+    p AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS part FROM a WHERE rank <= 30 UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) FROM b WHERE rank <= 30),
+    f AS (SELECT query_id, chunk_id, sum(part) AS score FROM p GROUP BY query_id, chunk_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM f)
+    SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20
+""")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two arms of terms: by weight, and by the number of common terms. hybrid_evidence fuses a dense arm with one of terms."""
     asked, held = _terms(spark, sf_dir)
-    both = held.withColumnRenamed("weight", "wd").join(asked.withColumnRenamed("weight", "wq"), "term")
-    scores = both.groupBy("query_id", "chunk_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("weighed"), F.count("*").alias("common"))
-    arms = [retrieval.top(scores.withColumnRenamed(c, "score"), retrieval.rules.CANDIDATES) for c in ("weighed", "common")]
-    return retrieval.fused(*arms, k=20)
+    arms = [retrieval.term_search(asked, held, common=common) for common in (False, True)]
+    return retrieval.fused(*arms, k=20).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"{_FUSED} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20")
-def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+_HYBRID = f"""
+    WITH {_TERMS},
+    v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    s AS (SELECT item_id AS query_id, doc_id AS chunk_id, list_inner_product(x.e, y.e) AS score
+          FROM benchmark JOIN v x ON x.vec_id = item_id CROSS JOIN documents JOIN v y ON y.vec_id = doc_id),
+    e AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s),
+    p AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS part FROM a WHERE rank <= 30 UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) FROM e WHERE rank <= 30),
+    f AS (SELECT query_id, chunk_id, sum(part) AS score FROM p GROUP BY query_id, chunk_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM f)
+"""
 
 
-@query(f"""{_FUSED}
-    SELECT query_id, CAST(rank AS INTEGER) AS eid, chunk_id, source AS file_name, lang AS content_type, round(score, 5) AS score, length(text) AS n_chars
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries, chunks and their documents: benchmark items ask, a document is a chunk, vectors are those of their number."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("number"), F.col("embedding").alias("dense"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", "text", "lang", F.col("source").alias("file_name"))
+    sided = lambda df, key, text: df.join(vectors, F.col(key) == F.col("number"), "left").drop("number").withColumn("sparse", retrieval.sparse_vector(F.col(text)))
+    chunks = sided(docs.drop("file_name"), "chunk_id", "text").withColumns({"kind": F.lit("text"), "content_type": F.col("lang")})
+    about = docs.select("doc_id", "file_name", F.col("lang").alias("content_type"), F.concat(F.lit("title "), "doc_id").alias("document_title"), F.concat_ws("/", "file_name", "lang").alias("source_path"))
+    return sided(items, "query_id", "query"), chunks, about
+
+
+@query(f"""{_HYBRID}
+    SELECT query_id, CAST(rank AS INTEGER) AS eid, chunk_id, source AS file_name, lang AS content_type, 'title ' || doc_id AS document_title, round(score, 5) AS score, length(text) AS n_chars
     FROM r JOIN documents ON doc_id = chunk_id WHERE rank <= 8
 """)
 def hybrid_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fused hits without a reranker's answer keep their order; joined to their documents they are numbered."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("file_name"), F.col("lang").alias("content_type"), F.lit("").alias("document_title"), F.lit("").alias("source_path"))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    whole = _fused(spark, sf_dir).withColumn("doc_id", F.col("chunk_id")).join(rows.select("doc_id", "text"), "doc_id")
-    docs = rows.drop("text")
-    found = retrieval.evidence(retrieval.reranked(whole, asked, scorer=None), docs)
-    return found.select("query_id", "eid", "chunk_id", "file_name", "content_type", F.round("score", 5).alias("score"), F.length("text").cast("long").alias("n_chars"))
+    """Dense and sparse search, fused, joined to documents; without a reranker's answer their order stays; numbered."""
+    asked, chunks, docs = _index(spark, sf_dir)
+    hits = retrieval.search(asked, chunks, docs, k=8).drop("file_name", "document_title", "source_path")
+    found = retrieval.evidence(retrieval.reranked(hits, asked, scorer=None), docs)
+    return found.select("query_id", "eid", "chunk_id", "file_name", "content_type", "document_title", "score", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(f"""{_HYBRID.replace("FROM documents)", "FROM documents WHERE lang IN ('en', 'fr'))").replace("CROSS JOIN documents JOIN v y", "CROSS JOIN (SELECT doc_id FROM documents WHERE lang IN ('en', 'fr')) JOIN v y")}
+    SELECT query_id, chunk_id, source AS file_name, source || '/' || lang AS source_path, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM r JOIN documents ON doc_id = chunk_id WHERE rank <= 20
+""")
+def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under a filter of scalars, as far as the joined hits."""
+    asked, chunks, docs = _index(spark, sf_dir)
+    hits = retrieval.search(asked, chunks, docs, k=20, where=retrieval.scalar_filter(kinds=["text"], content_types=["en", "fr"]))
+    return hits.select("query_id", "chunk_id", "file_name", "source_path", "score", "rank")
 
 
 FLAGSHIP = hybrid_evidence

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import os
 import tempfile
 import uuid
@@ -44,21 +43,39 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def workspace(spark: SparkSession) -> str:
+    """The one folder of this application below the shared folder that all its staged tables and files go to."""
+    return f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}"
+
+
+def cleaned(spark: SparkSession) -> None:
+    """Delete the workspace: for when all results have been written elsewhere or collected."""
+    dropped(spark, workspace(spark))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/quillspark/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the workspace."""
+    return f"{workspace(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def staged(df: DataFrame, label: str, codec: str = "snappy") -> tuple[DataFrame, str]:
-    """Write df to a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df to a table in the workspace and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def _located(spark: SparkSession, path: str) -> tuple[object, object]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, at = _located(spark, path)
+    return system.exists(at)
+
+
 def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a staged table that no later plan reads."""
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    """Delete a staged table that no later plan reads; one that is gone already is no fault."""
+    system, at = _located(spark, path)
+    system.delete(at, True)

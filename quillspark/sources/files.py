@@ -18,7 +18,7 @@ SEPARATOR = re.compile(r"\s*:?-{3,}:?\s*\Z")
 
 
 def scan(spark: SparkSession, root: str, only: str | None = None, extensions: list[str] = rules.EXTENSIONS) -> DataFrame:
-    """Files under root in order of path: path, folder, file_name, file_ext, file_hash, content.
+    """Files under root, in no order: path, folder, file_name, file_ext, file_hash, content.
 
     Of the types taken in, whatever their case; names that begin with a skipped prefix are passed over, and
     with only all names that do not contain it. Spark's reader hides names that begin with ``_`` as well.
@@ -32,7 +32,7 @@ def scan(spark: SparkSession, root: str, only: str | None = None, extensions: li
     base = re.sub(r"^[a-z0-9]+:/*", "/", root.rstrip("/"))
     local = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
     folder = F.regexp_replace(F.substring(local, len(base) + 2, 1 << 20), r"/?[^/]*$", "")
-    return rows.where(keep).select("path", folder.alias("folder"), name.alias("file_name"), ext.alias("file_ext"), F.sha2("content", 256).alias("file_hash"), "content").orderBy("path")
+    return rows.where(keep).select("path", folder.alias("folder"), name.alias("file_name"), ext.alias("file_ext"), F.sha2("content", 256).alias("file_hash"), "content")
 
 
 def markdown_blocks(text: str) -> Iterator[dict]:
@@ -69,12 +69,21 @@ def markdown_blocks(text: str) -> Iterator[dict]:
 
 
 def parsed(files: DataFrame, parser: Callable[[bytes], Iterator[dict]]) -> DataFrame:
-    """Raw blocks (D2) of files (doc_id, content) by a parser of their bytes: the place for an outer parser."""
+    """Raw blocks (D2) of files (doc_id, content) by a parser of their bytes: the place for an outer parser.
+
+    A file that the parser fails on gives one block of type ``error`` with what it said, and no others.
+    """
     names = [c.split()[0] for c in fields.RAW_BLOCK.split(", ")]
 
+    def blocks(content: bytes) -> list[dict]:
+        try:
+            return [dict(b) for b in parser(content)]
+        except Exception as e:  # noqa: BLE001  whatever an outer parser raises concerns this file alone
+            return [{"type": "error", "text": f"{type(e).__name__}: {e}"}]
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [b | {"doc_id": d, "pos": k} for d, content in zip(pdf["doc_id"], pdf["content"], strict=True) for k, b in enumerate(parser(content))]
+            rows = [b | {"doc_id": d, "pos": k} for d, content in zip(pdf["doc_id"], pdf["content"], strict=True) for k, b in enumerate(blocks(content))]
             yield pd.DataFrame(rows, columns=names).astype({"text_level": "Int32", "page_idx": "Int32"}).astype(object).where(lambda x: x.notna(), None)
 
     return files.select("doc_id", "content").mapInPandas(each, fields.RAW_BLOCK)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules, text as tx
-from quillspark.session import dropped, staged
+from quillspark.session import dropped, exists, staged
 
 
 def index_rows(docs: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -23,18 +23,36 @@ def index_rows(docs: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFr
     )
 
 
-def write_index(rows: DataFrame, path: str) -> int:
-    """Replace the partitions of the documents in rows, in one commit: their stale chunks go with it.
+def _part(doc_id: str = "doc_id") -> Column:
+    """The partition of a document: one of 256, by a hash of its id."""
+    return F.concat(F.lit("p"), F.substring(F.md5(doc_id), 1, 2))
 
-    Gives their chunk count, which must be that of rows.
+
+def write_index(rows: DataFrame, path: str, gone: DataFrame | None = None) -> int:
+    """Replace the chunks of the documents in rows, and drop those of the documents gone (doc_id), in one commit.
+
+    Only the partitions of these documents are read and rewritten. Gives the chunk count of rows' documents, which
+    must be that of rows.
     """
-    rows, path_of_rows = staged(rows, "index-rows")
-    rows.repartition("doc_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
-    written = rows.sparkSession.read.parquet(path)
-    count, due = written.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").count(), rows.count()
+    spark = rows.sparkSession
+    rows, path_of_rows = staged(rows.withColumn("part", _part()), "index-rows")
+    ids = rows.select("doc_id") if gone is None else rows.select("doc_id").unionByName(gone.select("doc_id"))
+    ids, path_of_ids = staged(ids.distinct().withColumn("part", _part()), "index-ids")
+    whole, path_of_whole = rows, None
+    if exists(spark, path):
+        touched = spark.read.schema(rows.schema).parquet(path).join(ids.select("part").distinct(), "part", "left_semi")
+        whole, path_of_whole = staged(rows.unionByName(touched.join(ids.select("doc_id"), "doc_id", "left_anti").select(*rows.columns)), "index-whole")
+        # A partition that nothing is left in is not overwritten: at most 256 names.
+        for r in touched.select("part").distinct().join(whole.select("part").distinct(), "part", "left_anti").collect():
+            dropped(spark, f"{path}/part={r.part}")
+    whole.repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    due = rows.count()
+    count = spark.read.schema(rows.schema).parquet(path).join(rows.select("doc_id").distinct(), "doc_id", "left_semi").count() if exists(spark, path) else 0
+    for used in (path_of_rows, path_of_ids, path_of_whole):
+        if used:
+            dropped(spark, used)
     if count != due:
         raise ValueError(f"{count} chunks in the index, {due} expected")
-    dropped(rows.sparkSession, path_of_rows)
     return count
 
 

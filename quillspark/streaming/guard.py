@@ -13,53 +13,72 @@ from quillspark.functions import rules
 from quillspark.operators.answers import Guard, GuardedStream
 
 MARK = rules.META_MARK
-STATE = "raw string, fed int, context string, waiting string, hits array<string>"
+STATE = "tail string, done boolean, context string, waiting string"
+#: Milliseconds without a delta after which a stream that never ended is forgotten.
+ABANDONED = 3_600_000
+SHOWN = ["session_id", "seq", "shown", "hits"]
 
 
-def step(state: tuple, delta: str, last: bool, guard: Guard) -> tuple[tuple, str]:
-    """The state after a delta and the text that may be shown.
+def step(state: tuple, delta: str, last: bool, guard: Guard) -> tuple[tuple, str, list[str]]:
+    """The state after a delta, the text that may be shown and the hits in it.
 
     As many characters as the separator has are held back until it cannot begin there; what follows it
-    is kept but never shown.
+    is never shown. The state holds that tail, the open sentence and as much context as still matters.
     """
-    raw, fed, context, waiting, hits = state
-    raw += delta
-    body, mark, _ = raw.partition(MARK)
+    tail, done, context, waiting = state
+    if done:
+        return state, "", []
+    text = tail + delta
+    body, mark, _ = text.partition(MARK)
     done = bool(mark) or last
-    upto = len(body) if done else max(len(raw) - len(MARK), fed)
-    stream = GuardedStream(guard, context, waiting, list(hits))
-    shown = stream.take(body[fed:upto], last=done) if upto > fed or (done and stream.waiting) else ""
-    return (raw, upto, stream.context, stream.waiting, stream.hits), shown
+    upto = len(body) if done else max(len(text) - len(MARK), 0)
+    stream = GuardedStream(guard, context, waiting)
+    shown = stream.take(body[:upto], last=done) if upto or (done and waiting) else ""
+    return ("" if done else text[upto:], done, stream.context, stream.waiting), shown, stream.hits
+
+
+def begun(question: str | None, guard: Guard) -> tuple:
+    return "", False, guard.kept(question or ""), ""
+
+
+def _stepped(rows: pd.DataFrame, now: tuple, guard: Guard) -> tuple[pd.DataFrame, tuple]:
+    out = []
+    for r in rows.itertuples():
+        now, shown, hits = step(now, r.delta or "", bool(r.last), guard)
+        out.append((r.session_id, r.seq, shown, hits))
+    return pd.DataFrame(out, columns=SHOWN), now
 
 
 def guarded_stream(deltas: DataFrame, guard: Guard = Guard()) -> DataFrame:
-    """Deltas (session_id, seq, question, delta, last) as rows (session_id, seq, shown, hits), whatever batches they come in."""
+    """Deltas (session_id, seq, question, delta, last) as rows (session_id, seq, shown, hits), whatever batches they come in.
+
+    The state of a session ends with its last delta, or when nothing has come for long.
+    """
 
     def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values("seq")
-        now = tuple(state.get) if state.exists else ("", 0, rows["question"].iloc[0] or "", "", [])
-        out = []
-        for r in rows.itertuples():
-            before = len(now[4])
-            now, shown = step(now, r.delta or "", bool(r.last), guard)
-            out.append((key[0], r.seq, shown, list(now[4][before:])))
-        state.update(now)
-        yield pd.DataFrame(out, columns=["session_id", "seq", "shown", "hits"])
+        found, now = _stepped(rows, tuple(state.get) if state.exists else begun(rows["question"].iloc[0], guard), guard)
+        if rows["last"].fillna(False).astype(bool).any():
+            if state.exists:
+                state.remove()
+        else:
+            state.update(now)
+            state.setTimeoutDuration(ABANDONED)
+        yield found
 
     kind = deltas.schema["session_id"].dataType.simpleString()
-    return deltas.groupBy("session_id").applyInPandasWithState(each, f"session_id {kind}, seq bigint, shown string, hits array<string>", STATE, "append", GroupStateTimeout.NoTimeout)
+    return deltas.groupBy("session_id").applyInPandasWithState(each, f"session_id {kind}, seq bigint, shown string, hits array<string>", STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def guarded_batch(deltas: DataFrame, guard: Guard = Guard()) -> DataFrame:
     """The same over a table of deltas."""
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        now, out = ("", 0, pdf.sort_values("seq")["question"].iloc[0] or "", "", []), []
-        for r in pdf.sort_values("seq").itertuples():
-            before = len(now[4])
-            now, shown = step(now, r.delta or "", bool(r.last), guard)
-            out.append((r.session_id, r.seq, shown, list(now[4][before:])))
-        return pd.DataFrame(out, columns=["session_id", "seq", "shown", "hits"])
+        rows = pdf.sort_values("seq")
+        return _stepped(rows, begun(rows["question"].iloc[0], guard), guard)[0]
 
     kind = deltas.schema["session_id"].dataType.simpleString()
     return deltas.groupBy("session_id").applyInPandas(each, f"session_id {kind}, seq bigint, shown string, hits array<string>")

@@ -1,17 +1,32 @@
-"""Import of a folder of Markdown files, whole or as a file stream that takes what has come since."""
+"""Import of a folder of files, whole or as a file stream that takes what has come since.
+
+Models are functions of columns: ``summarise(text, title, content_type)`` gives a summary, ``recognise(text,
+title, content_type)`` a model's JSON about the document's entity, ``embed(text)`` a vector. Without them a
+document has no summary and stands for itself. A file that cannot be parsed fails alone.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import rules, text as tx
-from quillspark.operators import layout, registry, retrieval
+from quillspark.functions import fields, rules, text as tx
+from quillspark.operators import entities as ent, layout, registry, retrieval
+from quillspark.session import exists, staged
 from quillspark.sources import files, sinks
 
 
+@dataclass(frozen=True)
+class Models:
+    parse: Callable[[DataFrame], DataFrame] = files.markdown
+    embed: Callable[[Column], Column] = retrieval.dense_vector
+    summarise: Callable[[Column, Column, Column], Column] | None = None
+    recognise: Callable[[Column, Column, Column], Column] | None = None
+
+
 def documents(scanned: DataFrame, known: DataFrame, force: bool = False) -> DataFrame:
     """Registry rows of scanned files with their action."""
     decided = registry.decisions(scanned.drop("content"), known, force)
@@ -19,40 +34,99 @@ def documents(scanned: DataFrame, known: DataFrame, force: bool = False) -> Data
     return decided.withColumns({"content_type": tx.content_type(F.col("folder"), F.col("file_name")), "document_title": tx.title(stem), "status": F.lit("running")})
 
 
-def indexed(docs: DataFrame, scanned: DataFrame, parse: Callable[[DataFrame], DataFrame] = files.markdown, embed: Callable = retrieval.dense_vector) -> DataFrame:
-    """Index rows of documents to be imported, one per distinct content."""
+def recognised(work: DataFrame, raw: DataFrame, chunks: DataFrame, models: Models) -> DataFrame:
+    """doc_id, entity of documents: what the recogniser says and the text bears out; else the document itself."""
+    read = work.select("doc_id", "document_title", "content_type").join(layout.entity_input(raw, chunks), "doc_id", "left")
+    said = models.recognise(F.col("text"), F.col("document_title"), F.col("content_type")) if models.recognise else F.lit(None).cast("string")
+    told = read.withColumn("e", F.from_json(said, fields.RECOGNISED))
+    return told.select("doc_id", ent.grounded(F.col("e.type"), F.col("e.name"), F.col("e.codes"), F.col("e.aliases"), F.col("text"), F.col("document_title")).alias("entity"))
+
+
+def summaries(work: DataFrame, chunks: DataFrame, models: Models) -> DataFrame:
+    """doc_id, summary of the documents that have text; blank without a model."""
+    read = layout.assembled(chunks, rules.SUMMARY_MOST).join(work.select("doc_id", "document_title", "content_type"), "doc_id")
+    said = models.summarise(F.col("text"), F.col("document_title"), F.col("content_type")) if models.summarise else F.lit("")
+    return read.select("doc_id", tx.strip(F.coalesce(said, F.lit(""))).alias("summary"))
+
+
+def indexed(docs: DataFrame, scanned: DataFrame, models: Models = Models()) -> tuple[DataFrame, DataFrame]:
+    """Index rows of documents to be imported, one per distinct content, and (doc_id, entity, error) of each."""
     work = docs.where("action <> 'skip'").dropDuplicates(["doc_id"])
-    raw = parse(work.join(scanned.select("path", "content"), "path").select("doc_id", "content"))
-    blocks = layout.layout(raw)
-    chunks = layout.all_chunks(work, layout.chunk(blocks), layout.table_facts(blocks), work.select("doc_id", F.lit("").alias("summary")))
-    titled = chunks.join(work.select("doc_id", "content_type", "document_title"), "doc_id")
-    body = tx.embed_text(F.col("document_title"), F.col("content_type"), F.col("section_path"), F.col("embed_body"))
-    vectors = titled.select("doc_id", "seq", embed(body).alias("dense"), retrieval.sparse_vector(body).alias("sparse"))
-    return sinks.index_rows(work, chunks.drop("embed_body", "table_html"), vectors)
-
-
-def import_folder(spark: SparkSession, root: str, index_path: str, known: DataFrame, force: bool = False, only: str | None = None) -> DataFrame:
-    """Import what is new under root; gives the registry with the imported documents ready."""
-    scanned = files.scan(spark, root, only)
-    docs = documents(scanned, known, force)
-    rows = indexed(docs, scanned)
-    sinks.write_index(rows, index_path)
-    counts = spark.read.parquet(index_path).groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
-    done = docs.where("action <> 'skip'").dropDuplicates(["doc_id"]).join(counts, "doc_id", "left")
-    columns = ["doc_id", "file_name", "content_type", "document_title", "status", "chunk_count"]
-    done = done.withColumns({"status": F.lit("ready"), "chunk_count": F.coalesce("chunk_count", F.lit(0))}).select(*columns)
-    return registry.updated(registry.without_replaced(known, docs), done)
-
-
-def import_stream(spark: SparkSession, root: str, index_path: str, checkpoint: str) -> object:
-    """A query that indexes the Markdown files under root that no run before has seen, then ends."""
+    raw, _ = staged(models.parse(work.join(scanned.select("path", "content"), "path").select("doc_id", "content")), "raw-blocks")
+    errors = raw.where("type = 'error'").groupBy("doc_id").agg(F.min("text").alias("error"))
+    good = work.join(errors, "doc_id", "left_anti")
+    raw = raw.join(errors, "doc_id", "left_anti")
+    blocks, _ = staged(layout.layout(raw), "blocks")
+    body, _ = staged(layout.chunk(blocks), "chunks")
+    chunks = layout.all_chunks(good, body, layout.table_facts(blocks), summaries(good, body, models))
+    titled = chunks.join(good.select("doc_id", "content_type", "document_title"), "doc_id")
+    text = tx.embed_text(F.col("document_title"), F.col("content_type"), F.col("section_path"), F.col("embed_body"))
+    vectors = titled.select("doc_id", "seq", models.embed(text).alias("dense"), retrieval.sparse_vector(text).alias("sparse"))
+    about = recognised(good, raw, body, models).withColumn("error", F.lit(""))
+    about = about.unionByName(errors.select("doc_id", F.lit(None).cast(about.schema["entity"].dataType).alias("entity"), "error"))
+    return sinks.index_rows(good, chunks.drop("embed_body", "table_html"), vectors), about
+
+
+def imported(scanned: DataFrame, index_path: str, known: DataFrame, force: bool = False, models: Models = Models()) -> tuple[DataFrame, DataFrame]:
+    """Import what is new among scanned files: the registry with them ready or failed, and the files with their actions.
+
+    A new version of a file replaces the documents of the same name, chunks and all.
+    """
+    spark = scanned.sparkSession
+    docs, _ = staged(documents(scanned, known, force), "decisions")
+    kept = registry.without_replaced(known, docs)
+    rows, about = indexed(docs, scanned, models)
+    about, _ = staged(about, "about")
+    sinks.write_index(rows, index_path, known.select("doc_id").join(kept.select("doc_id"), "doc_id", "left_anti"))
+    done = docs.where("action <> 'skip'").dropDuplicates(["doc_id"]).join(about, "doc_id")
+    if exists(spark, index_path) and done.where("error = ''").limit(1).count():
+        counts = spark.read.parquet(index_path).join(done.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
+    else:
+        counts = spark.createDataFrame([], "doc_id string, chunk_count int")
+    done = done.join(counts, "doc_id", "left")
+    status = F.when(F.col("error") == "", "ready").otherwise("failed")
+    values = done.withColumns({"status": status, "chunk_count": F.coalesce("chunk_count", F.lit(0))})
+    columns = [c for c in ("doc_id", "file_name", "content_type", "document_title", "status", "chunk_count", "entity", "error") if c in known.columns]
+    return registry.updated(kept, values.select(*columns)), docs
+
+
+def import_folder(spark: SparkSession, root: str, index_path: str, known: DataFrame, force: bool = False, only: str | None = None, models: Models = Models()) -> DataFrame:
+    """Import what is new under root; gives the registry with the imported documents ready or failed."""
+    return imported(files.scan(spark, root, only), index_path, known, force, models)[0]
+
+
+def known_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The registry at path; empty where there is none yet."""
+    return spark.read.schema(fields.REGISTRY).parquet(path) if exists(spark, path) else spark.createDataFrame([], fields.REGISTRY)
+
+
+def save_registry(rows: DataFrame, path: str) -> DataFrame:
+    """Write the registry anew; rows may have been read from path."""
+    rows, _ = staged(rows, "registry")
+    rows.write.mode("overwrite").parquet(path)
+    return rows
+
+
+def entities(known: DataFrame) -> DataFrame:
+    """Merged entities of the ready documents of a registry."""
+    return ent.merge(known.where("status = 'ready'").select("doc_id", "file_name", "entity"))
+
+
+def import_stream(spark: SparkSession, root: str, index_path: str, checkpoint: str, registry_path: str | None = None, models: Models = Models()) -> object:
+    """A query that imports the files under root that no run before has seen, then ends.
+
+    With a registry, ready contents are skipped, files of known names replace what was there, and the registry is
+    written after each batch. A batch that is run again finds its documents ready and changes nothing.
+    """
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").load(root)
 
     def batch(rows: DataFrame, _: int) -> None:
         name = F.element_at(F.split("path", "/"), -1)
         ext = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
         seen = rows.withColumns({"file_name": name, "file_ext": ext, "folder": F.lit(""), "file_hash": F.sha2("content", 256)}).where(ext.isin(rules.EXTENSIONS))
-        docs = documents(seen, spark.createDataFrame([], "doc_id string, status string"))
-        sinks.write_index(indexed(docs, seen), index_path)
+        known = known_documents(rows.sparkSession, registry_path) if registry_path else spark.createDataFrame([], fields.REGISTRY)
+        now, _ = imported(seen, index_path, known, models=models)
+        if registry_path:
+            save_registry(now, registry_path)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

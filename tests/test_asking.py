@@ -28,7 +28,15 @@ def test_ask(spark, tmp_path):
     assert cli.run(spark, cli.parser().parse_args(["--home", home, "status"])).first().documents == 3
     found = cli.run(spark, cli.parser().parse_args(["--home", home, "search", "华夏债券 托管费"])).first()
     assert found.file_name == "华夏债券.md" and found.rank == 1
-    assert cli.run(spark, cli.parser().parse_args(["--home", home, "ask", "华夏债券 托管费"])).first().kind == "answer"
+    for n in (1, 2):
+        assert cli.run(spark, cli.parser().parse_args(["--home", home, "ask", "华夏债券 托管费", "--session", "t"])).first().kind == "answer"
+        assert spark.read.parquet(f"{home}/messages").where("session_id = 't'").count() == 2 * n
+    assert spark.read.schema(cli.STATE).parquet(f"{home}/states").where("focus = array('华夏债券')").count() == 2
+    assert [r.id for r in cli.run(spark, cli.parser().parse_args(["--home", home, "entities"])).collect()] == sorted(docs)
+    questions = tmp_path / "q.jsonl"
+    questions.write_text('{"id": "a", "category": "risk", "turns": [{"q": "费"}], "expect": "answer", "gold": [{"file": "华夏债券.md", "quote": "托管费 为 0.10%"}]}\n{"id": "b", "category": "risk", "turns": [{"q": "费"}], "expect": "answer", "gold": [{"file": "华夏债券.md", "quote": "管理费 为 9%"}]}\n')
+    faults = cli.run(spark, cli.parser().parse_args(["--home", home, "check", str(questions)])).collect()
+    assert [(r.tag, r.error) for r in faults] == [("b#1", "no quote in 华夏债券.md")]
 
     ids = {k: v.doc_id for k, v in docs.items()}
     entities = spark.createDataFrame(
@@ -56,10 +64,18 @@ def test_ask(spark, tmp_path):
     unsafe = lambda prompt, question: F.lit("稳赚不赔。放心[E9]。")
     reply = asking.ask(good.where("request_id = 'r1'"), state, entities, chunks, registry, generator=unsafe).first()
     assert reply.answer == rules.GUARD_REPLACEMENT + "放心。" and reply.guard_hits == ["稳赚不赔", "稳赚"]
-    plan = lambda question, history: F.lit('{"standalone_query": "茅台 净利润", "entity_mentions": ["600519"]}')
+    plan = lambda question, history, focus: F.lit('{"standalone_query": "茅台 净利润", "entity_mentions": ["600519"]}')
     reply = asking.ask(good.where("request_id = 'r3'"), state, entities, chunks, registry, planner=plan).first()
     assert reply.focus == ["600519"] and reply.plan.entity_mentions == ["600519"]
 
+    # The planner is told what the session is about.
+    about = lambda question, history, focus: F.to_json(F.struct(F.concat(focus, F.lit("的费用")).alias("standalone_query"), F.array(focus).alias("entity_mentions")))
+    lost = spark.createDataFrame([("s1", ["gone", "600519"], None)], STATE)
+    reply = asking.ask(good.where("request_id = 'r1'"), lost, entities, chunks, registry, planner=about).first()
+    assert reply.plan.standalone_query == "贵州茅台酒股份有限公司的费用" and reply.focus == ["600519"]
+    reply = asking.ask(good.where("request_id = 'r3'"), state, entities, chunks, registry, planner=about).first()
+    assert reply.plan.standalone_query == "（无）的费用"
+
     gold = [("茅台 季度报告.md", "营业收入 为 539")]
     items = spark.createDataFrame([("i1", "risk", [("茅台 营业收入", "answer", gold, ["539"], ["净利润"])], None, [], [], [], ""), ("i2", "risk", [("无", "refuse", [], [], [])], None, [], [], [], "")], fields.EVAL_ITEM)
     turns = evaluation.turns(items).withColumn("request_id", F.when(F.col("id") == "i1", "r1").otherwise("lost"))
