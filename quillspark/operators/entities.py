@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import fields, rules, text as tx
 from quillspark.functions.lazy import lazy_udf
+from quillspark.operators.components import components
 from quillspark.session import staged
 
 KEY = Window.partitionBy
@@ -39,21 +40,12 @@ def grounded(type_: Column, name: Column, codes: Column, aliases: Column, text:
 def linked_parts(docs: DataFrame) -> DataFrame:
     """doc_id and part: documents that share names or codes, however indirectly, share a part.
 
-    The smallest document id spreads over shared keys until nothing changes.
+    Only names and codes are vertices; a name without codes is a part of its own.
     """
-    keys = docs.select("doc_id", F.explode(F.array_union(F.array(F.concat(F.lit("n:"), "entity.name")), F.transform("entity.codes", lambda c: F.concat(F.lit("c:"), c)))).alias("key"))
-    keys, _ = staged(keys.distinct(), "entity-keys")
-    parts, _ = staged(docs.select("doc_id", F.col("doc_id").alias("part")), "entity-parts")
-    while True:
-        by_key = keys.join(parts, "doc_id").groupBy("key").agg(F.min("part").alias("low"))
-        lower = keys.join(by_key, "key").groupBy("doc_id").agg(F.min("low").alias("low"))
-        # A part's own smallest id takes what its members have found: chains shorten by doubling.
-        moved = parts.join(lower, "doc_id").select("doc_id", "part", F.least("part", "low").alias("low"))
-        best = moved.groupBy("part").agg(F.min("low").alias("best"))
-        new, _ = staged(moved.join(best, "part").select("doc_id", F.col("best").alias("part"), (F.col("best") < F.col("part")).alias("changed")), "entity-parts")
-        parts = new.select("doc_id", "part")
-        if new.where("changed").isEmpty():
-            return parts
+    rows = docs.select("doc_id", F.concat(F.lit("n:"), "entity.name").alias("own"), "entity.codes")
+    links = rows.select(F.col("own").alias("a"), F.explode(F.transform("codes", lambda c: F.concat(F.lit("c:"), c))).alias("b")).distinct()
+    parts, _ = staged(components(links), "entity-parts")
+    return rows.join(parts, rows["own"] == parts["vertex"], "left").select("doc_id", F.coalesce("component", "own").alias("part"))
 
 
 def merge(docs: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def without_sessions(rows: DataFrame, deleted: DataFrame, key: str = "session_id
 def node_seconds(events: DataFrame) -> DataFrame:
     """Seconds from the end of a task's node before (or its submission, seq 0) to the end of each node."""
     before = F.lag("at").over(Window.partitionBy("task_id").orderBy("seq"))
-    return events.withColumn("seconds", F.round(F.col("at").cast("double") - before.cast("double"), 3)).where("seconds is not null")
+    return events.withColumn("seconds", F.round((F.unix_micros("at") - F.unix_micros(before)) / 1_000_000, 3)).where("seconds is not null")
 
 
 def friendly_error(name: Column, cases: list = rules.ERRORS, other: str = rules.OTHER_ERROR) -> Column:

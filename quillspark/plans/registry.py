@@ -112,12 +112,11 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT page_id, sha256(left(html, 300)) AS whole, CAST(strlen(html) > 300 AS BOOLEAN) AS cut FROM pages WHERE false
-    UNION ALL SELECT item_id, sha256(text), strlen(text) > 65535 FROM benchmark
+    SELECT page_id, sha256(left(html, CAST(list_max([i for i in range(0, 1001) if strlen(left(html, i)) <= 1000]) AS BIGINT))) AS whole, strlen(html) > 1000 AS cut FROM pages
 """)
 def byte_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark")
-    return items.select(F.col("item_id").alias("page_id"), F.sha2(tx.fit_bytes(F.col("text"), 65535), 256).alias("whole"), (F.octet_length("text") > 65535).alias("cut"))
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.sha2(tx.fit_bytes(F.col("html"), 1000), 256).alias("whole"), (F.octet_length("html") > 1000).alias("cut"))
 
 
 # Layout and chunks ---------------------------------------------------------------------------------

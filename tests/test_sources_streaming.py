@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import fields, rules
 from quillspark.operators import answers
-from quillspark.plans import registry
+from quillspark.plans import catalogue, registry
 from quillspark.sources import files, sinks
 from quillspark.streaming import guard as live
 from quillspark.streaming import ingest
@@ -212,11 +212,11 @@ def test_queries_match_their_oracles(spark):
     for name in os.listdir(folder):
         con.execute(f"create view {name.removesuffix('.parquet')} as select * from read_parquet('{folder}/{name}')")
     plain = lambda rows: sorted(str(tuple(rows_ if not hasattr(rows_, "asDict") else rows_)) for rows_ in rows)
-    for name, run in registry.QUERIES.items():
+    for name, run in catalogue.QUERIES.items():
         df = run(spark, folder)
         rows = df.select(*sorted(df.columns)).collect()
-        if name in registry.ORACLES:
-            found = con.execute(registry.ORACLES[name])
+        if name in catalogue.ORACLES:
+            found = con.execute(catalogue.ORACLES[name])
             columns = [c[0] for c in found.description]
             order = sorted(range(len(columns)), key=columns.__getitem__)
             assert sorted(df.columns) == sorted(columns), name
