@@ -1,10 +1,13 @@
 """Mixing sources to target weights by entropy balancing.
 
 The mix closest to the corpus in relative entropy, token by token, that meets a token constraint for each
-source has exponentially tilted document rates exp(lambda of the source), no rate above a cap. Newton
-iterations solve the convex dual; each sums over all documents in Spark and moves one dual per source.
-Rates then become copies: documents fold in descending size within blocks of a source, each carrying its
-rounding error to the next, smaller one, so that a block ends within about its smallest document.
+source has exponentially tilted document rates: a document's base rate times exp(dual of its source), none
+above a cap. Newton iterations solve the convex dual; each sums over all documents in Spark and moves one dual
+per source, inside a bracket, since a document that reaches the cap bends its source's sum. Where all base
+rates are equal, as without a column of them, a source's documents share one rate, target / source size, and
+the iterations only confirm it. Rates then become copies: documents fold in descending size within blocks of a
+source, each carrying its rounding error to the next, smaller one, so that a block ends within about its
+smallest document.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from quillspark.session import dropped, staged
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Newton stops at this relative error of the constraints; documents in a rounding block, about.
-PRECISION, ROUNDS, BLOCK = 1e-10, 60, 4096
+#: FAR is where no dual is.
+PRECISION, ROUNDS, BLOCK, FAR = 1e-10, 60, 4096, 60.0
 
 
 def words(text: Column) -> Column:
@@ -48,37 +52,50 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     return rows.select("s", "source_size", "docs", F.least("top", F.coalesce(F.col("level") * F.col("w"), F.col("top"))).alias("target"))
 
 
+def _rate(cap: float) -> Column:
+    return F.least(F.col("base") * F.exp("dual"), F.lit(cap))
+
+
 def duals(docs: DataFrame, goal: DataFrame, cap: float = CAP) -> DataFrame:
-    """goal with rate, exp(dual) up to cap, by Newton from dual 0; documents (s, size) are summed in every round."""
-    # Documents of one source and size have one rate: their sizes, summed once, stand for them.
-    mass, _ = staged(docs.where("size > 0").groupBy("s", "size").agg(F.sum("size").alias("m")), "mass")
-    state, path = staged(goal.withColumn("dual", F.lit(0.0)), "duals")
-    rate = F.least(F.exp("dual"), F.lit(cap))
+    """goal with dual, by Newton from 0, of documents (s, size, base): their rates base * exp(dual), up to cap, meet the targets.
+
+    Documents without words or with base 0 do not count. A target beyond what the caps allow is met as far as they do.
+    """
+    # Documents of one source and base rate have one rate: their sizes, summed once, stand for them.
+    mass, _ = staged(docs.where("size > 0 and base > 0").groupBy("s", "base").agg(F.sum("size").alias("m")), "mass")
+    begin = goal.withColumns({"dual": F.lit(0.0), "low": F.lit(-FAR), "high": F.lit(FAR)})
+    state, path = staged(begin, "duals")
     for _ in range(ROUNDS):
-        now = mass.join(state.select(F.col("s").alias("_s"), rate.alias("r")), F.col("s").eqNullSafe(F.col("_s")))
+        now = mass.join(state.select(F.col("s").alias("_s"), "dual"), F.col("s").eqNullSafe(F.col("_s")))
         # Whole masses of one rate are summed before they are weighed: sums do not depend on their order.
-        taken = now.groupBy("s", "r").agg(F.sum("m").alias("m")).select(F.col("s").alias("_s"), (F.col("m") * F.col("r")).alias("f"))
+        now = now.select("s", _rate(cap).alias("r"), "m").groupBy("s", "r").agg(F.sum("m").alias("m"))
+        taken = now.groupBy(F.col("s").alias("_s")).agg(F.sum(F.col("m") * F.col("r")).alias("f"), F.sum(F.when(F.col("r") < cap, F.col("m") * F.col("r"))).alias("slope"))
         moved = state.join(taken, F.col("s").eqNullSafe(F.col("_s")), "left").drop("_s")
         gap = F.col("target") - F.col("f")
-        step = F.when(F.col("f") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gap / F.col("f"))))
-        moved = moved.select(*goal.columns, (F.col("dual") + F.coalesce(step, F.lit(0.0))).alias("dual"), (F.abs(gap) > F.col("target") * PRECISION).alias("off"))
+        moved = moved.withColumns({"low": F.when(gap > 0, F.col("dual")).otherwise(F.col("low")), "high": F.when(gap < 0, F.col("dual")).otherwise(F.col("high"))})
+        next_dual = F.col("dual") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gap / F.col("slope")))
+        middle = (F.col("low") + F.col("high")) / 2
+        inside = (next_dual > F.col("low")) & (next_dual < F.col("high"))
+        # With all at the cap only a way down is left.
+        off = F.coalesce((F.abs(gap) > F.col("target") * PRECISION) & (F.col("slope").isNotNull() | (gap < 0)), F.lit(False))
+        dual = F.when(~off, F.col("dual")).when(inside, next_dual).otherwise(middle)
         before = path
-        state, path = staged(moved, "duals")
+        state, path = staged(moved.select(*goal.columns, dual.alias("dual"), "low", "high", off.alias("off")), "duals")
         dropped(docs.sparkSession, before)
         if state.where("off").isEmpty():
             break
-    return state.select(*goal.columns, F.round(rate, 9).alias("rate"))
+    return state.select(*goal.columns, "dual")
 
 
 def _round(block: pd.DataFrame) -> pd.DataFrame:
     block = block.sort_values(["size", "h", "_id"], ascending=[False, True, True], kind="stable")
-    rate = float(block["rate"].iloc[0])
-    low, carried, copies = floor(rate), 0.0, []
-    high = low if rate == low else low + 1
-    for size in block["size"].tolist():
+    carried, copies = 0.0, []
+    for size, rate in zip(block["size"].tolist(), block["rate"].tolist(), strict=True):
         if size == 0:
             copies.append(floor(rate + 0.5))
             continue
+        low = floor(rate)
+        high = low if rate == low else low + 1
         due = rate * size + carried
         n = min(max(floor(due / size + 0.5), low), high)
         carried = due - n * size
@@ -86,20 +103,24 @@ def _round(block: pd.DataFrame) -> pd.DataFrame:
     return block.assign(copies=copies)[["_id", "s", "size", "copies"]]
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+def mix(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, base_col: str | None = None
+) -> DataFrame:
     """id_col, size, source_size, target, taken and copies for every row of df.
 
-    size counts the words of the text (null: 0); a null source is a source. copies is 0, 1 or up to cap; a
-    text without words gets the copies of its source's rounded rate and takes nothing. Rows that repeat an
-    id are rounded as rows of their own. An empty table gives no rows; one without words has targets 0.
+    size counts the words of the whole text (null: 0); a null source is a source. base_col, if any, has rates that
+    the mix shall stay close to, 0 or more (null: 1); without it all are 1. copies is 0, 1 or up to cap; a text
+    without words gets the copies of its rounded rate and takes nothing. Rows that repeat an id are rounded as
+    rows of their own. An empty table gives no rows; one without words has targets 0. Other columns are ignored.
     Reruns agree: sums are of whole numbers, and rows of a block are ordered by size, hash and id.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    docs, _ = staged(df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("s"), words(F.col(text_col)).alias("size")), "sizes")
+    base = F.coalesce(F.greatest(F.col(base_col).cast("double"), F.lit(0.0)), F.lit(1.0)) if base_col else F.lit(1.0)
+    docs, _ = staged(df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("s"), words(F.col(text_col)).alias("size"), base.alias("base")), "sizes")
     sources = docs.groupBy("s").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     goal, _ = staged(duals(docs, targets(sources, weights, share, cap), cap), "rates")
-    of = goal.select(F.col("s").alias("_s"), "rate", F.ceil(F.col("docs") / BLOCK).alias("blocks"))
-    rated = docs.join(of, F.col("s").eqNullSafe(F.col("_s"))).withColumn("h", F.xxhash64("_id", "size"))
+    of = goal.select(F.col("s").alias("_s"), "dual", F.ceil(F.col("docs") / BLOCK).alias("blocks"))
+    rated = docs.join(of, F.col("s").eqNullSafe(F.col("_s"))).withColumns({"h": F.xxhash64("_id", "size"), "rate": F.round(_rate(cap), 9)})
     rated = rated.withColumn("block", F.pmod("h", "blocks"))
     copied = rated.select("_id", "s", "size", "rate", "h", "block").groupBy("s", "block").applyInPandas(_round, f"_id {kind}, s string, size bigint, copies int")
     out = copied.join(goal.withColumnRenamed("s", "_s"), F.col("s").eqNullSafe(F.col("_s")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from quillspark.llm import content_sort, entropy_mix, gear_chunks, huffman, pair_bpe, prefix_hash, rff_quality, simhash, warc, zstd_lang  # noqa: E402
-from quillspark.llm.components import components  # noqa: E402
+from quillspark.operators.components import components  # noqa: E402
 from quillspark.llm.word_cache import word_encoder  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
