@@ -40,7 +40,6 @@ HEADER_CELL_MOST, LABEL_CELL_MOST, FIRST_COLUMN = 30, 40, "项目"
 
 # Chunking.
 CHUNK_TARGET, CHUNK_MOST, CHUNK_LEAST, TABLE_MOST = 600, 1000, 200, 3000
-NOTHING = "（无）"
 SUMMARY_MOST, ENTITY_MOST, SUMMARY_PREFIX = 6000, 3000, "（文档摘要）"
 CHUNK_SENTENCE_ENDS = "。！？!?；;\n"
 
@@ -70,6 +69,10 @@ NOTICES = {
 }
 CLARIFY_HEAD, CLARIFY_TAIL = "知识库中有多个可能的对象，请问您指的是哪一个？", "请回复序号或名称。"
 
+# What a planning model reads, and what stands for nothing in it.
+NOTHING = "（无）"
+PLAN_TEMPLATE = "对话历史：\n{history}\n\n当前焦点对象：{focus}\n\n当前问题：{question}"
+
 # Entities.
 ENTITY_TYPES = ["company", "fund", "wealth_product", "document"]
 MOST_ALIASES, FUZZY_LEAST = 8, 4

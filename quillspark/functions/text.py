@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 from functools import reduce
@@ -117,3 +118,9 @@ def hit_list(col: Column, pairs: dict[str, str]) -> Column:
     """Texts of the names in an array column, in its order; unknown names are left out."""
     table = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
     return F.filter(F.transform(col, lambda n: F.try_element_at(table, n)), lambda t: t.isNotNull())
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with its ``{name}`` places filled by columns, null as empty; an unknown name is an error."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.coalesce(values[p].cast("string"), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)])

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -187,6 +187,12 @@ def images_to_describe(blocks: DataFrame, captions: DataFrame, images: DataFrame
     return rows.withColumn("about", F.coalesce(F.nullif("caption", F.lit("")), above)).select("doc_id", "seq", "img_path", "about")
 
 
+def captioned(wanted: DataFrame, contents: DataFrame, captioner: Callable[[Column, Column], Column]) -> DataFrame:
+    """doc_id, img_path, description of images_to_describe() by a captioner of their bytes (doc_id, img_path, content) and place."""
+    told = wanted.dropDuplicates(["doc_id", "img_path"]).join(contents, ["doc_id", "img_path"])
+    return told.select("doc_id", "img_path", captioner(F.col("content"), F.col("about")).alias("description"))
+
+
 def described(blocks: DataFrame, captions: DataFrame) -> DataFrame:
     """Images with their descriptions (doc_id, img_path, description); those without one, or with none that
     tells anything, are dropped and the others numbered anew."""

@@ -58,7 +58,7 @@ def focus_names(state: DataFrame, entities: DataFrame) -> DataFrame:
 
 def plan_prompt(question: Column, history: Column, focus: Column) -> Column:
     """What a planning model reads of a question."""
-    return F.concat(F.lit("对话历史：\n"), history, F.lit("\n\n当前焦点对象："), focus, F.lit("\n\n当前问题："), question)
+    return tx.filled(rules.PLAN_TEMPLATE, history=history, focus=focus, question=question)
 
 
 def scoped_hits(queries: DataFrame, scope: DataFrame, chunks: DataFrame, k: int) -> DataFrame:

@@ -123,6 +123,12 @@ def image_size(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([image_side(c) or (None, None) for c in content], columns=["width", "height"]).astype("Int32")
 
 
+def templates(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The text files of a folder by their names without ending: prompts as data, for functions.text.filled()."""
+    rows = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"))
+    return {r["name"].removesuffix(".txt"): r["value"] for r in rows.collect()}
+
+
 def eval_items(spark: SparkSession, path: str) -> DataFrame:
     """Questions of a JSONL file with their line number and error, null where the line is good."""
 

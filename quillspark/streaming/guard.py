@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,6 +49,22 @@ def _stepped(rows: pd.DataFrame, now: tuple, guard: Guard) -> tuple[pd.DataFrame
     return pd.DataFrame(out, columns=SHOWN), now
 
 
+def chat_deltas(prompts: DataFrame, chat: Callable[[str], Iterable[str]]) -> DataFrame:
+    """Deltas (session_id, seq, question, delta, last) of a streaming model's answers to prompts (session_id, question, prompt).
+
+    Works on a table and on a stream of prompts; an answer of nothing is one empty delta.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                parts = list(chat(r.prompt)) or [""]
+                yield pd.DataFrame({"session_id": r.session_id, "seq": range(len(parts)), "question": r.question, "delta": parts, "last": [False] * (len(parts) - 1) + [True]})
+
+    kind = prompts.schema["session_id"].dataType.simpleString()
+    return prompts.select("session_id", "question", "prompt").mapInPandas(each, f"session_id {kind}, seq bigint, question string, delta string, last boolean")
+
+
 def guarded_stream(deltas: DataFrame, guard: Guard = Guard()) -> DataFrame:
     """Deltas (session_id, seq, question, delta, last) as rows (session_id, seq, shown, hits), whatever batches they come in.
 

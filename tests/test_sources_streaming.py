@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import fields, rules
+from quillspark.functions import text as tx
 from quillspark.operators import answers
 from quillspark.plans import catalogue, registry
 from quillspark.sources import files, sinks
@@ -193,6 +194,22 @@ def test_guarded_stream_is_the_batch(spark, tmp_path):
     assert key(streamed(spark, tmp_path, rows, live.guarded_stream)) == key(live.guarded_batch(rows))
 
 
+def test_chat_deltas_are_guarded(spark):
+    rows = spark.createDataFrame([("a", "问", "p"), ("b", "问", "")], "session_id string, question string, prompt string")
+    deltas = live.chat_deltas(rows, lambda prompt: DELTAS if prompt else [])
+    assert sorted(map(tuple, deltas.where("session_id = 'a'").collect())) == [("a", k, "问", d, k == len(DELTAS) - 1) for k, d in enumerate(DELTAS)]
+    shown = live.guarded_batch(deltas).groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list("shown")), "").alias("t")).collect()
+    assert {r.session_id: rules.GUARD_REPLACEMENT in r.t for r in shown} == {"a": True, "b": False}
+
+
+def test_templates(spark, tmp_path):
+    (tmp_path / "plan.txt").write_text("Ask {question} of {focus}.\nDone")
+    found = files.templates(spark, str(tmp_path))
+    assert found == {"plan": "Ask {question} of {focus}.\nDone"}
+    row = spark.range(1).select(tx.filled(found["plan"], question=F.lit("why"), focus=F.lit(None).cast("string")).alias("t")).first()
+    assert row.t == "Ask why of .\nDone"
+
+
 def test_session_states(spark, tmp_path):
     turns = [("s", 0, "answer", ["e1"], [], "q0"), ("s", 3, "clarify", [], ["a", "b"], "q1"), ("s", 6, "answer", [], [], "q2")]
     rows = spark.createDataFrame(turns, "session_id string, seq bigint, kind string, entity_ids array<string>, candidate_ids array<string>, standalone_query string")
