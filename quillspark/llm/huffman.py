@@ -169,7 +169,8 @@ def write(df: DataFrame, encoder: Callable[[], Callable[[list[str]], tuple[np.nd
 
     encoder makes, once a task, a function from texts to all their ids and the count of each. The table has a
     row a file: path, at (order), docs, ids and start (ids of all documents before it). Null ids come first,
-    rows that share an id follow by their ids' bytes. Ids of documents are whole numbers.
+    rows that share an id follow by their ids' bytes. Ids of documents are whole numbers. Other columns are ignored; a
+    very long text is one document of its block, whose ids one task holds. An empty table gives no files.
     """
     spark, ranges = df.sparkSession, partitions(df.sparkSession)
     narrow = "<u2" if vocabulary <= 1 << 16 else "<u4"

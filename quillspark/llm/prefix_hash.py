@@ -139,7 +139,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The next document follows by ascending id, after the last the first; rows that share an id follow
     by text; null ids come first; null texts are empty. One exchange deals rows to identifier ranges.
     A range's first rows are also sent to the range before it, so that no order of all rows is needed.
-    A table of one row is its own next; an empty table gives no rows.
+    A table of one row is its own next; an empty table gives no rows. Repeated rows stay rows, each the next of the one
+    before. A very long text costs a task eight bytes a code point. Other columns are ignored. Ids are numbers.
     """
     spark, ranges = df.sparkSession, partitions(df.sparkSession)
     low, cuts = id_borders(df, id_col, ranges)

@@ -155,8 +155,9 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     Labels are learnt only from rows whose crc32 of the id as text, modulo folds, is not 0; of those,
     remainder 1 calibrates. Null ids, labels without a document and null labels teach nothing. Ids, labels
-    and any other column are never inputs of a score. Null texts score as empty ones. Repeated rows score
-    alike. Without labels every score is 0.5; an empty table gives no rows.
+    and any other column are never inputs of a score, whatever their names. Null texts score as empty ones. Repeated
+    rows score alike; a repeated label teaches as often as it is there. Very long texts are taken whole, by one task.
+    Without labels every score is 0.5; an empty table gives no rows.
     """
     kind = df.schema[id_col].dataType.simpleString()
     stats, _ = staged(document_statistics(df, id_col, text_col), "statistics")

@@ -93,7 +93,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Null and wordless texts have fingerprint zero, which links like any other. Rows that share a
     fingerprint are one vertex however many they are; component_id is the smallest id that links
     reach. Null ids are given a component but never name one unless it has no other. An empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored. A very long text is hashed in blocks of shingles by one task.
     """
     docs, _ = staged(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     groups, _ = staged(docs.groupBy("fp").agg(F.min("_id").alias("rep"), F.count("*").alias("n")), "groups")

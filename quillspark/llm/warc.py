@@ -63,7 +63,9 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     Payloads are the html in UTF-8, null: empty. Of equal payloads of at least LEAST bytes, the page with
     the smallest id is a response and the others revisit it; pages that repeat that id are responses too.
     Null ids never are what others revisit unless a group has no other id; then all its pages are responses.
-    Only page keys and digests are shuffled to find equal payloads; pages join just the revisits.
+    Only page keys and digests are shuffled to find equal payloads; pages join just the revisits. Repeated rows are
+    records of their own. A very long page is one record, which one task holds. An empty table gives an empty index;
+    other columns are ignored. Ids are whole numbers.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html_col), F.lit(""))
