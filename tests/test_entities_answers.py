@@ -274,3 +274,37 @@ def test_registry(spark):
     assert [r.c.ok for r in names] == [True, False, False]
     asked = spark.createDataFrame([("问",), (" 　",), ("x" * 501,)], "q string").select(registry.question_check(F.col("q"), 500)["ok"]).collect()
     assert [r[0] for r in asked] == [True, False, False]
+
+
+def test_violations_of_long_sentences(spark):
+    """The column form against the Python form on random sentences, overlapping phrases and one of many matches."""
+    import random
+
+    rng = random.Random(4)
+    guard = answers.Guard(banned=("aa", "aba", "b"), negations=("x", "xyz", "yyyyy"), warnings=("zzzzzz",), advice="a(?:b|c)a", window=4)
+    texts = ["".join(rng.choices("aabbcxyz\n", k=rng.randrange(0, 60))) for _ in range(300)] + ["xaaaaa", "aaa", "yyyyyaa", "b" * 3000 + "x" + "aab" * 1000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", answers.violations(F.col("t"), guard=guard).alias("v")).collect()
+    assert {r.i: r.v for r in rows} == {i: guard.violations(t) for i, t in enumerate(texts)}
+
+
+def test_mentions_by_substrings_are_those_by_comparison(spark):
+    """The equi joins of codes and labels against every pair compared."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("ABC", k=n))
+    known = [(f"e{k}", word(rng.randrange(2, 7)), "fund", [word(rng.randrange(2, 5))], [word(rng.randrange(1, 5))], []) for k in range(25)]
+    asked = sorted({word(rng.randrange(1, 9)) for _ in range(60)})
+    frame = spark.createDataFrame(known, fields.ENTITY)
+    rows = spark.createDataFrame([(m, m) for m in asked], "mention string, text string")
+    codes = {(r.mention, r.id) for r in ent.by_code(rows, frame).collect()}
+    assert codes == {(m, e[0]) for m in asked for e in known if any(c in m for c in e[3])}
+    best = {}
+    for m in asked:
+        for e in known:
+            for label in (e[1], *e[4]):
+                n = len(label) if label in m else len(m) if len(m) >= 2 and m in label else 0
+                if n:
+                    best.setdefault(m, []).append((n, e[0]))
+    want = {(m, i) for m, some in best.items() for n, i in some if n == max(some)[0]}
+    assert {(r.mention, r.id) for r in ent.by_label(rows, ent.labels(frame)).collect()} == want
