@@ -191,8 +191,6 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Layout and tables ---------------------------------------------------------------------------------
 
-_HTML = "<table><tr><th>name</th><th>key</th></tr>{0}</table>"
-
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document a region: furniture, a heading, a paragraph over two pages, a unit line, a table over two pages."""
