@@ -84,7 +84,8 @@ def met(prints: DataFrame) -> DataFrame:
     probes = split.select(F.col("fp").alias("a"), "half", "bits", F.explode(F.array_compact(F.array("bits", *down))).alias("probe"))
     probes = probes.select("a", "half", _cell(F.col("probe")).alias("at"), (F.col("probe") != F.col("bits")).alias("below"))
     homes = split.select(F.col("fp").alias("b"), "half", _cell(F.col("bits")).alias("at"))
-    return probes.join(homes, ["half", "at"]).where(F.col("below") | (F.col("a") < F.col("b")))
+    # Sizes are estimated as if explode made one row of each, 34 times too small here: neither side may be broadcast.
+    return probes.join(homes.hint("merge"), ["half", "at"]).where(F.col("below") | (F.col("a") < F.col("b")))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

@@ -10,6 +10,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 from quillspark.llm import content_sort, huffman, pair_bpe, prefix_hash, simhash, zstd_lang  # noqa: E402
+from quillspark.session import staged  # noqa: E402
 
 
 def test_likeness_at_all_lengths():
@@ -76,6 +77,14 @@ def test_candidates_of_random_fingerprints(spark):
     assert met < 60
 
 
+def test_cells_are_not_broadcast(spark):
+    """Probes are 34 times the fingerprints, which the estimate of their size does not show."""
+    prints, _ = staged(spark.range(0, 20_000, 1, 2).select(F.xxhash64("id").alias("fp")), "test")
+    met = simhash.met(prints)
+    assert met.count() < 60
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_splitters_of_rows_without_ids(spark, monkeypatch):
     """Rows that all lack an id are sampled like any others."""
     df = spark.range(20_000).select(F.lit(None).cast("long").alias("_id"), F.sha2(F.col("id").cast("string"), 256).alias("_h"))
