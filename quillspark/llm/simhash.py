@@ -45,7 +45,23 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
         to = min(n, at + BLOCK)
         spans = zip(starts[at:to].tolist(), ends[at + shingle - 1 : to + shingle - 1].tolist(), strict=True)
         hashes = np.array([digest(flat[i:j], SEED) for i, j in spans], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += _votes(hashes)
+    return _majority(counts, n)
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """SimHash of 64-bit hashes, one vote each; none: zero."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        counts += _votes(hashes[at : at + BLOCK])
+    return _majority(counts, len(hashes))
+
+
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
     return int((np.uint64(1) << np.arange(64, dtype=np.uint64))[counts * 2 > n].sum())
 
 
