@@ -2,8 +2,9 @@
 
 A word's mask has a bit a letter, set where the letter occurs an odd number of times. One inserted or deleted letter
 flips one bit, one replaced letter two at most, so of three bands of the mask one is equal. An edit also leaves the
-first or the last letters alone, which splits large bands: words meet where a band and an end are equal, lengths
-differ by one at most and no more than two bits of the masks differ, and what meets is verified by edit distance.
+first or the last half of the shorter word alone, which splits large bands: words meet where a band and a half are equal
+and lengths differ by one at most; no more than two bits of the masks differ, and what is left is verified by edit
+distance.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from quillspark.session import dropped, staged
 
 #: Letters with a bit of their own, in three bands of 63; rarer ones share these bits.
 BANDS, BITS = 3, 63
-#: Letters of either end that join with a band; two ends fit into the shortest word.
-END = 3
 #: Distinct words that a task counts before it hands them on.
 HELD = 1 << 18
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -87,23 +86,29 @@ def _flip(band: int) -> Callable[[Column, Column], Column]:
     return lambda m, p: F.when(p % BANDS == band, m.bitwiseXOR(bit(p))).otherwise(m)
 
 
-def near_pairs(words: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b, n_a, n_b), a < b, of words (word, n) of at least least code points that one edit parts; each once.
+def near_pairs(words: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b), a < b, of words (word, n) that one edit parts; each once.
 
-    An insertion, deletion or replacement of one code point is an edit. words must not repeat a word.
+    An insertion, deletion or replacement of one code point is an edit. words must not repeat a word. The shorter of
+    two words has size code points: a word meets others of its own size, and those one longer or shorter, by a hash
+    of that size, a band and half of the shorter word at either end.
     """
-    end = min(END, least // 2)
-    rows = _masks(words).select("word", "n", "b0", "b1", "b2", F.char_length("word").alias("size"), F.left("word", F.lit(end)).alias("pre"), F.right("word", F.lit(end)).alias("suf"))
-    rows, _ = staged(rows, "spelling-masks")
-    keys = [F.struct(F.lit(k).alias("k"), F.col(f"b{k // 2}").alias("v"), F.col(("pre", "suf")[k % 2]).alias("e")) for k in range(2 * BANDS)]
-    met = rows.withColumn("key", F.explode(F.array(*keys))).select("*", "key.*").drop("key")
-    side = lambda x: met.select("k", "v", "e", *[F.col(c).alias(f"{c}_{x}") for c in rows.columns])
-    equal = lambda c: F.col(f"{c}_a") == F.col(f"{c}_b")
+    rows, _ = staged(_masks(words).select("word", "n", "b0", "b1", "b2", F.char_length("word").alias("size")), "spelling-masks")
+    end = lambda side, word, size: side(word, F.floor(size / 2).cast("int"))
+    ends = (F.left, F.right)
+    keys = lambda size: [F.struct(F.lit(k).alias("k"), F.xxhash64(size, F.lit(k), f"b{k // 2}", end(ends[k % 2], F.col("word"), size)).alias("key")) for k in range(2 * BANDS)]
+    shorter = rows.select("*", F.inline(F.array(*keys(F.col("size")))))
+    either = rows.select("*", F.inline(F.array(*keys(F.col("size")), *keys(F.col("size") - 1))))
+    side = lambda met, x: met.select("key", *[F.col(c).alias(f"{c}_{x}") for c in [*rows.columns, "k"]])
+    joined = side(shorter, "a").join(side(either, "b").hint("merge"), "key")  # sizes are estimated as if a word made one row
     flips = sum((F.bit_count(F.col(f"b{k}_a").bitwiseXOR(F.col(f"b{k}_b"))) for k in range(BANDS)), F.lit(0))
-    first = F.coalesce(*[F.when(equal(f"b{k // 2}") & equal(("pre", "suf")[k % 2]), F.lit(k)) for k in range(2 * BANDS)])
-    fits = (F.col("word_a") < F.col("word_b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= 1) & (flips <= 2) & (first == F.col("k"))
-    # Sizes are estimated as if explode made one row of each: neither side may be broadcast.
-    return side("a").join(side("b").hint("merge"), ["k", "v", "e"]).where(fits & (F.levenshtein("word_a", "word_b", 1) == 1)).select(F.col("word_a").alias("a"), F.col("word_b").alias("b"), "n_a", "n_b")
+    same = lambda k: (F.col(f"b{k // 2}_a") == F.col(f"b{k // 2}_b")) & (end(ends[k % 2], F.col("word_a"), F.col("size_a")) == end(ends[k % 2], F.col("word_b"), F.col("size_a")))
+    first = F.coalesce(*[F.when(same(k), F.lit(k)) for k in range(2 * BANDS)])
+    longer = F.col("size_b") - F.col("size_a")
+    fits = (flips <= 2) & ((longer == 1) | (longer == 0) & (F.col("word_a") < F.col("word_b"))) & (first == F.col("k_a")) & (F.col("k_a") == F.col("k_b"))
+    found = joined.where(fits & (F.levenshtein("word_a", "word_b", 1) == 1))
+    turned = F.col("word_a") < F.col("word_b")
+    return found.select(*[F.when(turned, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(name) for c, x, y, name in (("word", "a", "b", "a"), ("word", "b", "a", "b"), ("n", "a", "b", "n_a"), ("n", "b", "a", "n_b"))])
 
 
 def group_variants(counts: DataFrame, least: int = 7, least_count: int = 2, ratio: int = 10) -> DataFrame:
@@ -116,7 +121,7 @@ def group_variants(counts: DataFrame, least: int = 7, least_count: int = 2, rati
     """
     size = F.char_length("word")
     words, _ = staged(counts.where(size >= least).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count), "spelling-words")
-    pairs, _ = staged(near_pairs(words, least), "spelling-pairs")
+    pairs, _ = staged(near_pairs(words), "spelling-pairs")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("n_b").alias("m")).unionByName(
         pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("n_a").alias("m"))
     )
