@@ -6,17 +6,20 @@ Everything runs for a table of queries at once; every order is total (score, the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules
 from quillspark.functions.lazy import lazy_udf
+from quillspark.operators.dense_index import PLACES, DenseIndex
+from quillspark.operators.term_index import TermIndex
 
 DIMENSIONS = 256
 
@@ -134,7 +137,7 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int = rules.CANDIDATE
         def products(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             rows = batch.column(1)
             if len(vectors) and len(rows):
-                yield 0, rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1) @ vectors.T
+                yield 0, np.round(rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1) @ vectors.T, PLACES)
 
         return _searched(asked.column("query_id").combine_chunks(), chunks.where("dense is not null").select("chunk_id", "dense"), kind, products, k, -np.inf)
 
@@ -209,11 +212,39 @@ def with_documents(hits: DataFrame, docs: DataFrame, ready_only: bool = False) -
     return hits.join(known.select("doc_id", "file_name", "document_title", "source_path"), "doc_id")
 
 
-def search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = rules.TOP_K, candidates: int = rules.CANDIDATES, where: Column | None = None) -> DataFrame:
-    """Hybrid search of queries (query_id, dense, sparse); scores to five places."""
+@dataclass
+class Indexes:
+    """The stored indexes of both arms below one path."""
+
+    dense: DenseIndex
+    terms: TermIndex
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str) -> Indexes:
+        """Index chunks (chunk_id, dense, sparse, and kind, content_type, doc_id for filters) at path, which must be new."""
+        filters = [c for c in ("kind", "content_type", "doc_id") if c in chunks.columns]
+        weights = chunks.select("chunk_id", F.explode("sparse").alias("term", "weight"))
+        dense = DenseIndex.build(chunks.select("chunk_id", "dense", *filters), f"{path}/dense")
+        return cls(dense, TermIndex.build(weights, chunks.select("chunk_id", *filters), f"{path}/terms"))
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Indexes:
+        return cls(DenseIndex.open(spark, f"{path}/dense"), TermIndex(spark, f"{path}/terms"))
+
+
+def arms(queries: DataFrame, chunks: DataFrame, candidates: int, where: Column | None = None, indexes: Indexes | None = None) -> list[DataFrame]:
+    """Hits of queries (query_id, dense, sparse) by vectors and by terms: from indexes, else by comparing all chunks."""
+    if indexes:
+        asked = queries.select("query_id", F.explode("sparse").alias("term", "weight"))
+        return [indexes.dense.search(queries, candidates, where), indexes.terms.search(asked, candidates, where)]
     pool = chunks if where is None else chunks.where(where)
-    hits = fused(dense_search(queries, pool, candidates), sparse_search(queries, pool, candidates), k=k)
-    return with_documents(hits.join(pool.drop("dense", "sparse"), "chunk_id"), docs).withColumn("score", F.round("score", 5))
+    return [dense_search(queries, pool, candidates), sparse_search(queries, pool, candidates)]
+
+
+def search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = rules.TOP_K, candidates: int = rules.CANDIDATES, where: Column | None = None, indexes: Indexes | None = None) -> DataFrame:
+    """Hybrid search of queries (query_id, dense, sparse); scores to five places. With indexes of the chunks nothing else is scored."""
+    hits = fused(*arms(queries, chunks, candidates, where, indexes), k=k)
+    return with_documents(hits.join(chunks.drop("dense", "sparse"), "chunk_id"), docs).withColumn("score", F.round("score", 5))
 
 
 def overlap(query: Column, text: Column) -> Column:
