@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import fields, rules, text as tx
 from quillspark.functions.lazy import lazy_udf
 from quillspark.operators.components import components
+from quillspark.operators.dictionary import occurrences
 from quillspark.session import staged
 
 KEY = Window.partitionBy
@@ -51,26 +52,65 @@ def linked_parts(docs: DataFrame) -> DataFrame:
 def merge(docs: DataFrame) -> DataFrame:
     """Entities of documents (doc_id, file_name, entity), folded in order of file_name and id.
 
-    A document joins every group that bears its name as the group's first one, or shares a code; groups it
-    connects become one with the earliest. Only documents connected by names or codes can meet, so the fold
-    runs apart for each connected part.
+    A document joins every group that bears its name as the group's first one, or shares a code; groups it connects
+    become one with the earliest. Only documents connected by names or codes can meet, so each connected part is
+    its own job. A part is one group from its first document on, if each later document has the first one's name or
+    a code that an earlier document has: then the order decides nothing but the order of lists, and the part is added
+    up by hashed aggregations, however large. Parts where a document begins a second group are folded, one task a part.
     """
-    rows = docs.where("entity is not null")
-    together = rows.join(linked_parts(rows), "doc_id").select("part", "doc_id", "file_name", "entity.*")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[dict] = []
-        for d in pdf.sort_values(["file_name", "doc_id"]).itertuples():
-            codes, aliases = list(d.codes), list(d.aliases)
-            met = [g for g in groups if g["name"] == d.name or not g["codes"].keys().isdisjoint(codes)]
-            home = met[0] if met else {"name": d.name, "type": d.type, "codes": {}, "aliases": {}, "doc_ids": {}}
-            for part in [*met[1:], {"codes": codes, "aliases": aliases, "doc_ids": [d.doc_id]}]:
-                for k in ("codes", "aliases", "doc_ids"):
-                    home[k] |= dict.fromkeys(part[k])
-            groups = [g for g in groups if all(g is not m for m in met[1:])] + ([] if met else [home])
-        return pd.DataFrame([{"id": min(g["codes"], default=g["name"]), "name": g["name"], "type": g["type"], **{k: list(g[k]) for k in ("codes", "aliases", "doc_ids")}} for g in groups])
-
-    return together.groupBy("part").applyInPandas(fold, fields.ENTITY)
+    rows = docs.where("entity is not null").select("doc_id", "file_name", "entity.*")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({"codes": F.coalesce("codes", none), "aliases": F.coalesce("aliases", none)})
+    together, _ = staged(rows.join(linked_parts(docs.where("entity is not null")), "doc_id"), "entity-documents")
+    folded, _ = staged(begin_again(together), "entity-folds")
+    whole = _added_up(together.join(folded, "part", "left_anti"))
+    return whole.unionByName(together.join(folded, "part", "left_semi").groupBy("part").applyInPandas(folded_part, fields.ENTITY))
+
+
+def begin_again(together: DataFrame) -> DataFrame:
+    """Parts in which a document other than the first has neither the first one's name nor a code of an earlier document."""
+    at = F.struct("file_name", "doc_id", "name", "codes")
+    rows = together.select("part", at.alias("at"), F.explode_outer("codes").alias("code"))
+    earliest = rows.where("code is not null").groupBy("code").agg(F.min("at").alias("first"))
+    linked = rows.join(earliest, "code", "left").groupBy("part", "at").agg(F.bool_or(F.col("first").isNotNull() & (F.struct("first.file_name", "first.doc_id") < F.struct("at.file_name", "at.doc_id"))).alias("linked"))
+    heads = together.groupBy("part").agg(F.min(at).alias("head"))
+    return linked.join(heads, "part").where(~F.col("linked") & (F.col("at") != F.col("head")) & (F.col("at.name") != F.col("head.name"))).select("part").distinct()
+
+
+def _added_up(rows: DataFrame) -> DataFrame:
+    """Each part as one entity: name and type of its first document, lists in order of documents and places in them."""
+    at = F.struct("file_name", "doc_id", "name", "codes", "type")
+    heads = rows.groupBy("part").agg(F.min(at).alias("head"))
+    listed = lambda n, values: F.transform(values, lambda v, i: F.struct(F.lit(n).alias("list"), v.alias("value"), i.alias("i")))
+    every = rows.select("part", "file_name", "doc_id", F.inline(F.concat(listed(0, F.col("codes")), listed(1, F.col("aliases")), listed(2, F.array("doc_id")))))
+    once = every.groupBy("part", "list", "value").agg(F.min(F.struct("file_name", "doc_id", "i")).alias("k"))
+    lists = once.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("list", "k", "value"))).alias("all"))
+    of = lambda n: F.transform(F.filter("all", lambda x: x["list"] == n), lambda x: x["value"])
+    found = heads.join(lists, "part").select(F.col("head.name").alias("name"), F.col("head.type").alias("type"), *[of(n).alias(c) for n, c in enumerate(("codes", "aliases", "doc_ids"))])
+    return found.select(F.coalesce(F.array_min("codes"), "name").alias("id"), "name", "type", "codes", "aliases", "doc_ids")
+
+
+def folded_part(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The groups of one part; names and codes of groups are distinct at any time, so each is looked up."""
+    groups: dict[int, dict] = {}
+    by_name: dict[str, int] = {}
+    by_code: dict[str, int] = {}
+    rows = pdf.assign(codes=pdf["codes"].map(tuple)).sort_values(["file_name", "doc_id", "name", "codes"], kind="stable")
+    for n, d in enumerate(rows.itertuples()):
+        met = sorted({*filter(lambda g: g is not None, map(by_code.get, d.codes)), *([by_name[d.name]] if d.name in by_name else [])})
+        if not met:
+            groups[n] = {"name": d.name, "type": d.type, "codes": {}, "aliases": {}, "doc_ids": {}}
+            by_name[d.name] = n
+        at = met[0] if met else n
+        home = groups[at]
+        absorbed = [groups.pop(g) for g in met[1:]]
+        for g in absorbed:
+            del by_name[g["name"]]
+        for part in [*absorbed, {"codes": d.codes, "aliases": d.aliases, "doc_ids": [d.doc_id]}]:
+            by_code |= dict.fromkeys(part["codes"], at)
+            for k in ("codes", "aliases", "doc_ids"):
+                home[k] |= dict.fromkeys(part[k])
+    return pd.DataFrame([{"id": min(g["codes"], default=g["name"]), "name": g["name"], "type": g["type"], **{k: list(g[k]) for k in ("codes", "aliases", "doc_ids")}} for g in groups.values()])
 
 
 def bare(text: Column) -> Column:
@@ -98,53 +138,49 @@ def labels(entities: DataFrame) -> DataFrame:
     return entities.select("id", "type", F.explode(F.concat(F.array("name"), "aliases")).alias("label"))
 
 
-def _lengths(values: DataFrame, column: str) -> list[int]:
-    """Distinct lengths of a column's non-empty strings: no more than the longest has characters."""
-    return sorted(r[0] for r in values.where(F.length(column) > 0).select(F.length(column)).distinct().collect())
-
-
-def within(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
-    """Rows of texts joined with those of parts whose part stands in the text: substrings of the lengths that parts have, in an equi join."""
-    lengths = F.array(*map(F.lit, _lengths(parts, part))).cast("array<int>")
-    starts = lambda n: F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-    every = F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.transform(starts(n), lambda i: F.col(text).substr(i, n)))))
-    return texts.withColumn(part, F.explode(every)).join(parts, part)
-
-
 def by_code(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """(mention, id) wherever a mention (mention, text: upper-cased) contains one of an entity's codes."""
-    codes = entities.select("id", F.explode("codes").alias("c")).select("id", F.upper("c").alias("code"))
-    return within(mentions, "text", codes, "code").select("mention", "id").distinct()
+    codes, _ = staged(entities.select("id", F.explode("codes").alias("c")).select("id", F.upper("c").alias("code")).distinct(), "codes")
+    found = occurrences(mentions.select("mention", "text"), "text", codes, "code")
+    return found.join(codes, "code").select("mention", "id").distinct()
 
 
 def by_label(mentions: DataFrame, named: DataFrame, text: str = "text") -> DataFrame:
     """(mention, id) of the longest matches: a label within the text, or the text, of 2 characters at least, within a label."""
-    asked = mentions.select("mention", F.col(text).alias("asked"))
-    known = named.select("id", F.upper("label").alias("known"))
-    inside = within(asked, "asked", known, "known").select("mention", "id", F.length("known").alias("n"))
-    around = within(known, "known", asked.where(F.length("asked") >= 2), "asked").select("mention", "id", F.length("asked").alias("n"))
+    asked, _ = staged(mentions.select("mention", F.col(text).alias("asked")), "asked")
+    known, _ = staged(named.select("id", F.upper("label").alias("known")).distinct(), "known")
+    labels_ = known.select("known").distinct()
+    inside = occurrences(asked, "asked", labels_, "known").join(known, "known").select("mention", "id", F.length("known").alias("n"))
+    words = asked.where(F.length("asked") >= 2)
+    around = occurrences(labels_, "known", words, "asked").join(known, "known").join(words, "asked").select("mention", "id", F.length("asked").alias("n"))
     met = inside.unionByName(around)
-    return met.withColumn("top", F.max("n").over(KEY("mention"))).where("n = top").select("mention", "id").distinct()
+    best = met.groupBy("mention", "id").agg(F.max("n").alias("n"))
+    return best.withColumn("top", F.max("n").over(KEY("mention"))).where("n = top").select("mention", "id")
 
 
 def by_fuzzy(mentions: DataFrame, named: DataFrame, least: int = rules.FUZZY_LEAST) -> DataFrame:
     """(mention, id) of the longest common substrings without boilerplate, of least characters and half the mention at least.
 
-    Pairs must share a run of least characters: an equi join on such runs proposes them.
+    A mention and a label fit if and only if the label holds a run of that many characters of the mention; labels are
+    searched for all such runs at once, so that only pairs that fit are ever made.
     """
-    runs = lambda c: F.array_distinct(F.transform(F.when(F.length(c) >= least, F.sequence(F.lit(1), F.length(c) - (least - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, F.lit(least))))
-    left = mentions.withColumn("core", bare(F.col("text"))).where(F.length("core") >= least)
-    right = named.select("id", bare(F.upper("label")).alias("plain"))
-    pairs = left.select("mention", "core", F.explode(runs(F.col("core"))).alias("run")).join(right.select("id", "plain", F.explode(runs(F.col("plain"))).alias("run")), "run")
-    pairs = pairs.select("mention", "core", "id", "plain").distinct().withColumn("n", common_length("core", "plain"))
-    kept = pairs.where((F.col("n") >= least) & (F.col("n") * 2 >= F.length("core")))
-    return kept.withColumn("top", F.max("n").over(KEY("mention"))).where("n = top").select("mention", "id").distinct()
+    core = F.length("core")
+    need = F.greatest(F.lit(least), F.ceil(core / 2).cast("int"))
+    left = mentions.withColumn("core", bare(F.col("text"))).where(core >= least).select("mention", "core")
+    runs = F.transform(F.sequence(F.lit(1), core - need + 1), lambda i: F.substring("core", i, need))
+    left, _ = staged(left.withColumn("run", F.explode(F.array_distinct(runs))), "runs")
+    named = named.select("id", bare(F.upper("label")).alias("plain")).where(F.length("plain") >= least).distinct()
+    named, _ = staged(named, "plain-labels")
+    found, _ = staged(occurrences(named.select("plain").distinct(), "plain", left, "run"), "runs-found")
+    pairs = found.join(left, "run").select("mention", "core", "plain").distinct().withColumn("n", common_length("core", "plain"))
+    best = pairs.join(named, "plain").groupBy("mention", "id").agg(F.max("n").alias("n"))
+    return best.withColumn("top", F.max("n").over(KEY("mention"))).where("n = top").select("mention", "id")
 
 
 def match(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """(mention, id) of distinct mentions: by code, else label, else label without boilerplate, else fuzzily.
 
-    Every step is an equi join on codes, labels or runs of characters. Generic and empty mentions match nothing.
+    Every step searches texts for codes, labels or runs of characters by an automaton. Generic and empty mentions match nothing.
     """
     rows = mentions.select("mention").distinct().withColumn("text", F.upper(tx.strip(F.col("mention")))).where((F.col("text") != "") & ~F.col("text").isin(rules.GENERIC))
     named = labels(entities)
