@@ -17,6 +17,7 @@ from quillspark.functions import rules
 from quillspark.functions import text as tx
 from quillspark.operators import answers, evaluation, registry, retrieval, sessions
 from quillspark.operators import entities as ent
+from quillspark.operators.dictionary import occurrences
 from quillspark.session import staged
 
 
@@ -34,7 +35,8 @@ def accepted(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dictionary_mentions(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """(request_id, mentions): labels of two characters at least, and codes, that a question contains; longest first."""
     words = ent.labels(entities).select("label").unionByName(entities.select(F.explode("codes").alias("label"))).where(F.length("label") >= 2).distinct()
-    met = ent.within(questions.withColumn("_text", F.upper("question")), "_text", words.withColumn("_label", F.upper("label")), "_label")
+    words, _ = staged(words.withColumn("_label", F.upper("label")), "words")
+    met = occurrences(questions.select("request_id", F.upper("question").alias("_text")), "_text", words, "_label").join(words, "_label")
     order = F.sort_array(F.collect_list(F.struct((-F.length("label")).alias("n"), "label")))
     return met.groupBy("request_id").agg(F.transform(order, lambda x: x["label"]).alias("mentions"))
 
@@ -88,6 +90,7 @@ def ask(
     generator: Callable[[Column, Column], Column] = extractive,
     embed: Callable[[Column], Column] = retrieval.dense_vector,
     scorer: Callable[[Column, Column], Column] | None = retrieval.overlap,
+    indexes: retrieval.Indexes | None = None,
 ) -> DataFrame:
     """request_id, session_id, question, kind, answer, notices, guard_hits, evidence, sources, plan, focus, pending.
 
@@ -117,7 +120,7 @@ def ask(
     confirmed = queries.select("query_id", F.posexplode("entity_ids").alias("at", "id"))
     scope = retrieval.documents_of(confirmed.select("query_id", "id"), entities)
     free = queries.join(scope.select("query_id").distinct(), "query_id", "left_anti")
-    hits = scoped_hits(queries, scope, chunks, rules.FUSED).unionByName(retrieval.fused(retrieval.dense_search(free, chunks), retrieval.sparse_search(free, chunks)))
+    hits = scoped_hits(queries, scope, chunks, rules.FUSED).unionByName(retrieval.fused(*retrieval.arms(free, chunks, rules.CANDIDATES, indexes=indexes)))
     hits = retrieval.with_documents(hits.join(chunks.drop("dense", "sparse", "content_type"), "chunk_id"), docs).drop("file_name", "document_title", "source_path")
     numbered = retrieval.evidence(retrieval.reranked(hits, queries, scorer), docs, entities, confirmed)
     fields = ["eid", "kind", "text", "doc_id", "file_name", "document_title", "content_type", "page_start", "page_end", "source_path", "entity_name", "entity_codes", "derived"]

@@ -245,7 +245,7 @@ def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return asked, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), retrieval.terms(F.coalesce("text", F.lit(""))).alias("terms"))
 
 
-_TERMS = r"""
+TERMS = r"""
     d AS (SELECT doc_id AS chunk_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS term FROM documents) GROUP BY ALL),
     q AS (SELECT item_id AS query_id, term, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS term FROM benchmark) GROUP BY ALL),
     a AS (SELECT query_id, chunk_id, CAST(sum(q.n * d.n) AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY sum(q.n * d.n) DESC, chunk_id) AS rank FROM q JOIN d USING (term) GROUP BY query_id, chunk_id),
@@ -253,13 +253,13 @@ _TERMS = r"""
 """
 
 
-@query(f"WITH {_TERMS} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM a WHERE rank <= 10")
+@query(f"WITH {TERMS} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM a WHERE rank <= 10")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.term_search(*_terms(spark, sf_dir), 10)
 
 
 @query(f"""
-    WITH {_TERMS},
+    WITH {TERMS},
     p AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS part FROM a WHERE rank <= 30 UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) FROM b WHERE rank <= 30),
     f AS (SELECT query_id, chunk_id, sum(part) AS score FROM p GROUP BY query_id, chunk_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM f)
@@ -273,7 +273,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HYBRID = f"""
-    WITH {_TERMS},
+    WITH {TERMS},
     v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
     s AS (SELECT item_id AS query_id, doc_id AS chunk_id, list_inner_product(x.e, y.e) AS score
           FROM benchmark JOIN v x ON x.vec_id = item_id CROSS JOIN documents JOIN v y ON y.vec_id = doc_id),

@@ -65,17 +65,18 @@ def staged(df: DataFrame, label: str, codec: str = "snappy") -> tuple[DataFrame,
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def _located(spark: SparkSession, path: str) -> tuple[object, object]:
+def located(spark: SparkSession, path: str) -> tuple[object, object]:
+    """The Hadoop file system of a path, and the path as it knows it."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    system, at = _located(spark, path)
+    system, at = located(spark, path)
     return system.exists(at)
 
 
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a staged table that no later plan reads; one that is gone already is no fault."""
-    system, at = _located(spark, path)
+    system, at = located(spark, path)
     system.delete(at, True)

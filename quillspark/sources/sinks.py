@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules, text as tx
-from quillspark.session import dropped, exists, staged
+from quillspark.session import dropped, staged
+from quillspark.sources.snapshots import Store, part_of
 
 
 def index_rows(docs: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -23,36 +24,37 @@ def index_rows(docs: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFr
     )
 
 
-def _part(doc_id: str = "doc_id") -> Column:
-    """The partition of a document: one of 256, by a hash of its id."""
-    return F.concat(F.lit("p"), F.substring(F.md5(doc_id), 1, 2))
+def staged_index(rows: DataFrame, store: Store, gone: DataFrame | None = None) -> tuple[dict[str, str | None], int]:
+    """Parts of the index with the chunks of the documents in rows replaced, and those of the documents gone dropped.
 
-
-def write_index(rows: DataFrame, path: str, gone: DataFrame | None = None) -> int:
-    """Replace the chunks of the documents in rows, and drop those of the documents gone (doc_id), in one commit.
-
-    Only the partitions of these documents are read and rewritten. Gives the chunk count of rows' documents, which
-    must be that of rows.
+    Gives the parts for a commit and the number of chunks of rows' documents, which must be that of rows. Only the
+    parts of these documents (at most 256) are read, and written anew beside the old ones: nothing changes before
+    the commit.
     """
-    spark = rows.sparkSession
-    rows, path_of_rows = staged(rows.withColumn("part", _part()), "index-rows")
+    rows, path_of_rows = staged(rows.withColumn("part", part_of()), "index-rows")
     ids = rows.select("doc_id") if gone is None else rows.select("doc_id").unionByName(gone.select("doc_id"))
-    ids, path_of_ids = staged(ids.distinct().withColumn("part", _part()), "index-ids")
-    whole, path_of_whole = rows, None
-    if exists(spark, path):
-        touched = spark.read.schema(rows.schema).parquet(path).join(ids.select("part").distinct(), "part", "left_semi")
-        whole, path_of_whole = staged(rows.unionByName(touched.join(ids.select("doc_id"), "doc_id", "left_anti").select(*rows.columns)), "index-whole")
-        # A partition that nothing is left in is not overwritten: at most 256 names.
-        for r in touched.select("part").distinct().join(whole.select("part").distinct(), "part", "left_anti").collect():
-            dropped(spark, f"{path}/part={r.part}")
-    whole.repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-    due = rows.count()
-    count = spark.read.schema(rows.schema).parquet(path).join(rows.select("doc_id").distinct(), "doc_id", "left_semi").count() if exists(spark, path) else 0
-    for used in (path_of_rows, path_of_ids, path_of_whole):
-        if used:
-            dropped(spark, used)
+    ids, path_of_ids = staged(ids.distinct().withColumn("part", part_of()), "index-ids")
+    touched = [r.part for r in ids.select("part").distinct().collect()]
+    schema = rows.drop("part").schema
+    kept = store.read("index", schema, touched).join(ids.select("doc_id"), "doc_id", "left_anti").withColumn("part", part_of())
+    whole = rows.unionByName(kept.select(*rows.columns))
+    new = store.written(whole.repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(8))), "part")
+    due, count = rows.count(), 0
+    if new:
+        held = store.spark.read.schema(schema).parquet(*[f"{store.path}/{f}" for f in new.values()])
+        count = held.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").count()
+    for used in (path_of_rows, path_of_ids):
+        dropped(store.spark, used)
     if count != due:
         raise ValueError(f"{count} chunks in the index, {due} expected")
+    return dict.fromkeys(touched) | new, count
+
+
+def write_index(rows: DataFrame, path: str, gone: DataFrame | None = None) -> int:
+    """Replace and drop chunks of the store at path in one version of its own; gives the number of chunks written."""
+    store = Store(rows.sparkSession, path)
+    parts, count = staged_index(rows, store, gone)
+    store.commit({"index": parts, "search": {"all": None}})
     return count
 
 

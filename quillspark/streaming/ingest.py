@@ -7,6 +7,7 @@ document has no summary and stands for itself. A file that cannot be parsed fail
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import fields, rules, text as tx
 from quillspark.operators import entities as ent, layout, registry, retrieval
-from quillspark.session import exists, staged
+from quillspark.session import staged
 from quillspark.sources import files, sinks
+from quillspark.sources.snapshots import Store
 
 
 @dataclass(frozen=True)
@@ -67,44 +69,59 @@ def indexed(docs: DataFrame, scanned: DataFrame, models: Models = Models()) -> t
     return sinks.index_rows(good, chunks.drop("embed_body", "table_html"), vectors), about
 
 
-def imported(scanned: DataFrame, index_path: str, known: DataFrame, force: bool = False, models: Models = Models()) -> tuple[DataFrame, DataFrame]:
+def imported(scanned: DataFrame, path: str, known: DataFrame | None = None, force: bool = False, models: Models = Models()) -> tuple[DataFrame, DataFrame]:
     """Import what is new among scanned files: the registry with them ready or failed, and the files with their actions.
 
-    A new version of a file replaces the documents of the same name, chunks and all.
+    A new version of a file replaces the documents of the same name, chunks and all. Chunks and registry of the store
+    at path change in one version: a failure before it leaves both as they were. known is the store's registry if not given.
     """
     spark = scanned.sparkSession
+    store = Store(spark, path)
+    known = known_documents(spark, path) if known is None else known
     docs, _ = staged(documents(scanned, known, force), "decisions")
     kept = registry.without_replaced(known, docs)
     rows, about = indexed(docs, scanned, models)
     about, _ = staged(about, "about")
-    sinks.write_index(rows, index_path, known.select("doc_id").join(kept.select("doc_id"), "doc_id", "left_anti"))
+    rows, _ = staged(rows, "new-chunks")
+    parts, _ = sinks.staged_index(rows, store, known.select("doc_id").join(kept.select("doc_id"), "doc_id", "left_anti"))
     done = docs.where("action <> 'skip'").dropDuplicates(["doc_id"]).join(about, "doc_id")
-    if exists(spark, index_path) and done.where("error = ''").limit(1).count():
-        counts = spark.read.parquet(index_path).join(done.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
-    else:
-        counts = spark.createDataFrame([], "doc_id string, chunk_count int")
-    done = done.join(counts, "doc_id", "left")
+    done = done.join(rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count")), "doc_id", "left")
     status = F.when(F.col("error") == "", "ready").otherwise("failed")
     values = done.withColumns({"status": status, "chunk_count": F.coalesce("chunk_count", F.lit(0))})
     columns = [c for c in ("doc_id", "file_name", "content_type", "document_title", "status", "chunk_count", "entity", "error") if c in known.columns]
-    return registry.updated(kept, values.select(*columns)), docs
+    files_ = store.written(registry.updated(kept, values.select(*columns)).select(*known.columns))
+    store.commit({"index": parts, "registry": files_, "search": {"all": None}})
+    return store.read("registry", known.schema), docs
 
 
-def import_folder(spark: SparkSession, root: str, index_path: str, known: DataFrame, force: bool = False, only: str | None = None, models: Models = Models()) -> DataFrame:
-    """Import what is new under root; gives the registry with the imported documents ready or failed."""
-    return imported(files.scan(spark, root, only), index_path, known, force, models)[0]
+def import_folder(spark: SparkSession, root: str, path: str, known: DataFrame | None = None, force: bool = False, only: str | None = None, models: Models = Models()) -> DataFrame:
+    """Import what is new under root into the store at path; gives the registry with the imported documents ready or failed."""
+    return imported(files.scan(spark, root, only), path, known, force, models)[0]
 
 
 def known_documents(spark: SparkSession, path: str) -> DataFrame:
-    """The registry at path; empty where there is none yet."""
-    return spark.read.schema(fields.REGISTRY).parquet(path) if exists(spark, path) else spark.createDataFrame([], fields.REGISTRY)
+    """The registry of the store at path; empty where there is none yet."""
+    return Store(spark, path).read("registry", fields.REGISTRY)
 
 
-def save_registry(rows: DataFrame, path: str) -> DataFrame:
-    """Write the registry anew; rows may have been read from path."""
-    rows, _ = staged(rows, "registry")
-    rows.write.mode("overwrite").parquet(path)
-    return rows
+def chunks_of(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks of the store at path."""
+    return Store(spark, path).read("index")
+
+
+def indexes_of(spark: SparkSession, path: str) -> retrieval.Indexes | None:
+    """The search indexes of the newest version of the store at path, if they have been built for it."""
+    store = Store(spark, path)
+    return retrieval.Indexes.open(spark, f"{store.path}/{store.tables['search']['all']}") if store.has("search") else None
+
+
+def built_indexes(spark: SparkSession, path: str) -> retrieval.Indexes:
+    """Index the chunks of the newest version for search, as a version of its own; a change of chunks takes them out again."""
+    store = Store(spark, path)
+    name = f"data/{uuid.uuid4().hex}"
+    found = retrieval.Indexes.build(store.read("index"), f"{store.path}/{name}")
+    store.commit({"search": {"all": name}})
+    return found
 
 
 def entities(known: DataFrame) -> DataFrame:
@@ -112,11 +129,11 @@ def entities(known: DataFrame) -> DataFrame:
     return ent.merge(known.where("status = 'ready'").select("doc_id", "file_name", "entity"))
 
 
-def import_stream(spark: SparkSession, root: str, index_path: str, checkpoint: str, registry_path: str | None = None, models: Models = Models()) -> object:
-    """A query that imports the files under root that no run before has seen, then ends.
+def import_stream(spark: SparkSession, root: str, path: str, checkpoint: str, models: Models = Models()) -> object:
+    """A query that imports the files under root that no run before has seen into the store at path, then ends.
 
-    With a registry, ready contents are skipped, files of known names replace what was there, and the registry is
-    written after each batch. A batch that is run again finds its documents ready and changes nothing.
+    Ready contents are skipped, and files of known names replace what was there. A batch that is run again finds its
+    documents ready and changes nothing.
     """
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").load(root)
 
@@ -124,9 +141,6 @@ def import_stream(spark: SparkSession, root: str, index_path: str, checkpoint: s
         name = F.element_at(F.split("path", "/"), -1)
         ext = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
         seen = rows.withColumns({"file_name": name, "file_ext": ext, "folder": F.lit(""), "file_hash": F.sha2("content", 256)}).where(ext.isin(rules.EXTENSIONS))
-        known = known_documents(rows.sparkSession, registry_path) if registry_path else spark.createDataFrame([], fields.REGISTRY)
-        now, _ = imported(seen, index_path, known, models=models)
-        if registry_path:
-            save_registry(now, registry_path)
+        imported(seen, path, models=models)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

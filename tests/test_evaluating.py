@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark import cli
 from quillspark.functions import fields, rules
 from quillspark.operators import evaluation, layout, sessions
+from quillspark.streaming import ingest
 from quillspark.plans import evaluating
 from tests.test_asking import folder
 
@@ -14,7 +15,7 @@ from tests.test_asking import folder
 def test_runs(spark, tmp_path):
     home = str(tmp_path / "home")
     cli.run(spark, cli.parser().parse_args(["--home", home, "ingest", str(folder(tmp_path))])).collect()
-    chunks, docs = spark.read.parquet(f"{home}/index"), cli.known(spark, home).withColumn("source_path", F.lit(""))
+    chunks, docs = ingest.chunks_of(spark, home), cli.known(spark, home).withColumn("source_path", F.lit(""))
     gold = [("华夏债券.md", "托管费 为 0.10%")]
     items = [
         ("one", "product", [("华夏债券 托管费", "answer", gold, ["0.10%"], [])], None, [], [], [], ""),
