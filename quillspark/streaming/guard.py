@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from quillspark.functions import rules
 from quillspark.operators.answers import Guard, GuardedStream
@@ -16,6 +17,9 @@ MARK = rules.META_MARK
 STATE = "tail string, done boolean, context string, waiting string"
 #: Milliseconds without a delta after which a stream that never ended is forgotten.
 ABANDONED = 3_600_000
+#: Milliseconds that a session is remembered after its last turn: thirty days.
+IDLE = 30 * 86_400_000
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 SHOWN = ["session_id", "seq", "shown", "hits"]
 
 
@@ -65,28 +69,58 @@ def chat_deltas(prompts: DataFrame, chat: Callable[[str], Iterable[str]]) -> Dat
     return prompts.select("session_id", "question", "prompt").mapInPandas(each, f"session_id {kind}, seq bigint, question string, delta string, last boolean")
 
 
-def guarded_stream(deltas: DataFrame, guard: Guard = Guard()) -> DataFrame:
-    """Deltas (session_id, seq, question, delta, last) as rows (session_id, seq, shown, hits), whatever batches they come in.
+def keyed_state(spark: SparkSession) -> None:
+    """Processors of keyed state need a store with column families; a session without a choice gets the one Spark has."""
+    if "RocksDB" not in spark.conf.get(PROVIDER, ""):
+        spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    The state of a session ends with its last delta, or when nothing has come for long.
-    """
 
-    def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("seq")
-        found, now = _stepped(rows, tuple(state.get) if state.exists else begun(rows["question"].iloc[0], guard), guard)
-        if rows["last"].fillna(False).astype(bool).any():
-            if state.exists:
-                state.remove()
+class Guarding(StatefulProcessor):
+    """What a stream has not shown yet, by session: ended by its last delta, or by a timer when nothing comes for long."""
+
+    def __init__(self, guard: Guard, abandoned: int) -> None:
+        self.guard, self.abandoned = guard, abandoned
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", f"{STATE}, seq bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values("seq")
+        now = tuple(self.held.get())[:-1] if self.held.exists() else begun(new["question"].iloc[0], self.guard)
+        found, now = _stepped(new, now, self.guard)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if new["last"].fillna(False).astype(bool).any():
+            self.held.clear()
         else:
-            state.update(now)
-            state.setTimeoutDuration(ABANDONED)
+            self.held.update((*now, int(new["seq"].iloc[-1])))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.abandoned)
         yield found
 
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.held.exists():
+            *now, seq = self.held.get()
+            self.held.clear()
+            _, shown, hits = step(tuple(now), "", True, self.guard)
+            if shown or hits:
+                yield pd.DataFrame([(key[0], seq, shown, hits)], columns=SHOWN)
+
+    def close(self) -> None:
+        pass
+
+
+def guarded_stream(deltas: DataFrame, guard: Guard = Guard(), abandoned: int = ABANDONED) -> DataFrame:
+    """Deltas (session_id, seq, question, delta, last) as rows (session_id, seq, shown, hits), whatever batches they come in.
+
+    The state of a session ends with its last delta. When nothing has come for abandoned milliseconds a timer ends it:
+    what was held back is checked and shown under the last seq. A batch's deltas of one session are in one task.
+    Timers keep a query busy, so that the trigger availableNow does not end: take a period, or once.
+    """
+    keyed_state(deltas.sparkSession)
     kind = deltas.schema["session_id"].dataType.simpleString()
-    return deltas.groupBy("session_id").applyInPandasWithState(each, f"session_id {kind}, seq bigint, shown string, hits array<string>", STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    shape = f"session_id {kind}, seq bigint, shown string, hits array<string>"
+    return deltas.groupBy("session_id").transformWithStateInPandas(Guarding(guard, abandoned), shape, "Append", "ProcessingTime")
 
 
 def guarded_batch(deltas: DataFrame, guard: Guard = Guard()) -> DataFrame:
@@ -100,24 +134,42 @@ def guarded_batch(deltas: DataFrame, guard: Guard = Guard()) -> DataFrame:
     return deltas.groupBy("session_id").applyInPandas(each, f"session_id {kind}, seq bigint, shown string, hits array<string>")
 
 
-def session_states(turns: DataFrame) -> DataFrame:
-    """Turns (session_id, seq, kind, entity_ids, candidate_ids, standalone_query) with the focus and the options each leaves."""
+class Conversing(StatefulProcessor):
+    """Focus, options and the last questions of a session; a session without turns for idle milliseconds is forgotten."""
+
+    def __init__(self, idle: int, turns: int) -> None:
+        self.idle, self.turns = idle, turns
 
-    def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        focus, options, query = state.get if state.exists else ([], [], None)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "focus array<string>, options array<string>, pending_query string", self.idle)
+        self.asked = handle.getListState("asked", "query string", self.idle)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        focus, options, query = self.state.get() if self.state.exists() else ([], [], None)
+        asked = [r[0] for r in self.asked.get()] if self.asked.exists() else []
         out = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
             asks, chosen = r.kind == "clarify", list(r.entity_ids)
             focus = chosen if chosen and not asks else list(focus)
             options = list(r.candidate_ids) if asks else []
             query = r.standalone_query if options else None
-            out.append((key[0], r.seq, focus, options, query))
-        state.update((focus, options, query))
-        yield pd.DataFrame(out, columns=["session_id", "seq", "focus", "options", "pending_query"])
+            out.append((key[0], r.seq, focus, options, query, asked))
+            asked = [*asked, r.standalone_query][-self.turns :]
+        self.state.update((list(focus), list(options), query))
+        self.asked.put([(q,) for q in asked])
+        yield pd.DataFrame(out, columns=["session_id", "seq", "focus", "options", "pending_query", "history"])
+
+    def close(self) -> None:
+        pass
+
 
+def session_states(turns: DataFrame, idle: int = IDLE, history: int = rules.HISTORY_TURNS) -> DataFrame:
+    """Turns (session_id, seq, kind, entity_ids, candidate_ids, standalone_query) with the focus and the options each leaves,
+    and the questions before it, history at most. The state of a session lives for idle milliseconds after its last turn."""
+    keyed_state(turns.sparkSession)
     kind = turns.schema["session_id"].dataType.simpleString()
-    shape = "focus array<string>, options array<string>, pending_query string"
-    return turns.groupBy("session_id").applyInPandasWithState(each, f"session_id {kind}, seq bigint, {shape}", shape, "append", GroupStateTimeout.NoTimeout)
+    shape = f"session_id {kind}, seq bigint, focus array<string>, options array<string>, pending_query string, history array<string>"
+    return turns.groupBy("session_id").transformWithStateInPandas(Conversing(idle, history), shape, "Append", "ProcessingTime")
 
 
 def shown_events(events: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from quillspark.functions import text as tx
 from quillspark.operators import answers
 from quillspark.plans import catalogue, registry
 from quillspark.sources import files, sinks
+from quillspark.sources.snapshots import Store
 from quillspark.streaming import guard as live
 from quillspark.streaming import ingest
 
@@ -62,11 +63,11 @@ def test_import_folder(spark, tmp_path):
     known = spark.createDataFrame([], "doc_id string, file_name string, content_type string, document_title string, status string, chunk_count int")
     first = spark.createDataFrame(ingest.import_folder(spark, str(root), index, known).collect(), known.schema)
     assert {(r.document_title, r.status) for r in first.collect()} == {("一", "ready"), ("二", "ready")} and all(r.chunk_count > 0 for r in first.collect())
-    before = spark.read.parquet(index).count()
+    before = ingest.chunks_of(spark, index).count()
     (root / "二.md").write_text("换了一段")
     second = ingest.import_folder(spark, str(root), index, first).collect()
     assert len(second) == 2 and {r.status for r in second} == {"ready"}
-    rows = spark.read.parquet(index)
+    rows = ingest.chunks_of(spark, index)
     assert rows.where(F.col("text").contains("换了")).count() == 1 and rows.count() == before
     assert rows.select("chunk_id").distinct().count() == rows.count() and rows.where(F.size("dense") == 256).count() == rows.count()
 
@@ -75,19 +76,19 @@ def test_import_stream(spark, tmp_path):
     root = tmp_path / "in"
     root.mkdir()
     (root / "a.md").write_text(TEXT)
-    registry_path = str(tmp_path / "registry")
-    run = lambda: ingest.import_stream(spark, str(root), str(tmp_path / "index"), str(tmp_path / "cp"), registry_path).awaitTermination(120)
+    store = str(tmp_path / "store")
+    run = lambda: ingest.import_stream(spark, str(root), store, str(tmp_path / "cp")).awaitTermination(120)
     run()
-    n = spark.read.parquet(str(tmp_path / "index")).select("doc_id").distinct().count()
+    n = ingest.chunks_of(spark, store).select("doc_id").distinct().count()
     (root / "b.md").write_text("另一个文件")
     (root / "c.md").write_text(TEXT)
     run()
-    known = ingest.known_documents(spark, registry_path)
+    known = ingest.known_documents(spark, store)
     assert n == 1 and {(r.file_name, r.status) for r in known.collect()} == {("a.md", "ready"), ("b.md", "ready")}
     (root / "a-2").mkdir()
     (root / "a-2" / "b.md").write_text("另一个文件的新版本")
     run()
-    rows = spark.read.parquet(str(tmp_path / "index"))
+    rows = ingest.chunks_of(spark, store)
     assert rows.select("doc_id").distinct().count() == 2 and rows.where(F.col("text").contains("新版本")).count() == 1
 
 
@@ -117,7 +118,7 @@ def test_import_makes_entities_and_summaries(spark, tmp_path):
     assert found["坏.md"].error == "ValueError: no such format" and found["坏.md"].chunk_count == 0
     assert (found["甲.md"].entity.type, found["甲.md"].entity.codes) == ("fund", ["123456"])
     assert (found["乙.md"].entity.type, found["乙.md"].entity.codes) == ("document", [])
-    index = spark.read.parquet(str(tmp_path / "index"))
+    index = ingest.chunks_of(spark, str(tmp_path / "index"))
     assert {r.text for r in index.where("kind = 'summary'").collect()} == {rules.SUMMARY_PREFIX + "讲的是甲", rules.SUMMARY_PREFIX + "讲的是乙"}
     merged = ingest.entities(now).collect()
     assert {r.id for r in merged} == {"123456", "乙"}
@@ -133,10 +134,10 @@ def test_index_partitions(spark, tmp_path):
     assert sinks.write_index(make([f"d{k}" for k in range(60)], "old"), path) == 120
     gone = spark.createDataFrame([("d1",), ("d2",)], "doc_id string")
     assert sinks.write_index(make(["d0"], "new"), path, gone) == 2
-    rows = spark.read.parquet(path)
+    rows = Store(spark, path).read("index")
     assert rows.count() == 116 and rows.where("text = 'new'").count() == 2 and rows.where("doc_id in ('d1', 'd2')").count() == 0
     assert sinks.write_index(make([], "none"), path, rows.select("doc_id").distinct()) == 0
-    assert sinks.write_index(make(["d5"], "again"), path) == 2 and spark.read.parquet(path).count() == 2
+    assert sinks.write_index(make(["d5"], "again"), path) == 2 and Store(spark, path).read("index", schema).count() == 2
 
 
 def test_index_rows(spark):
@@ -183,7 +184,7 @@ def streamed(spark, tmp_path, rows, function):
     ordered = rows.orderBy("seq")
     for k in range(3):
         ordered.where(F.floor(F.col("seq") / 3) == k).coalesce(1).write.mode("append").parquet(str(source))
-        query = function(spark.readStream.schema(rows.schema).parquet(str(source))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query = function(spark.readStream.schema(rows.schema).parquet(str(source))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
         query.awaitTermination(120)
     return spark.read.parquet(str(tmp_path / "out"))
 
