@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,9 +20,9 @@ def decisions(files: DataFrame, known: DataFrame, force: bool = False) -> DataFr
 
 
 def latest(rows: DataFrame, key: str = "file_name", order: str = "seen_at") -> DataFrame:
-    """The last row of each key; ties go by document id."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), F.desc("doc_id")))
-    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+    """The last row of each key; ties go by document id. Versions of a key are reduced to one before they are shuffled."""
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, F.struct(order, "doc_id")).alias("_last")).select("_last.*")
 
 
 def updated(known: DataFrame, changes: DataFrame) -> DataFrame:
