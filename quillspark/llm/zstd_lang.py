@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
-#: The bounded sample a dictionary is made of: texts of a language, by the hash of their ids, and characters of each,
-#: in a row from a place anywhere in the text that a hash of the id gives.
-SAMPLE_TEXTS, SAMPLE_CHARS, PARTS = 400, 600, 32
+#: The bounded sample a dictionary is made of: whole texts of a language, by a hash of id and text, at most so many of
+#: them and so many bytes together; a text over BUDGET bytes teaches nothing.
+SAMPLE_TEXTS, BUDGET, PARTS = 2000, 240_000, 32
 #: Level, and bytes that are compressed at once.
 LEVEL, BLOCK = 6, 1 << 13
 #: Saved bytes to odds, and the score below which a prediction is rejected as too narrow.
@@ -28,21 +28,31 @@ SHARPNESS, LEAST_SCORE = 0.35, 0.6
 
 
 def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """A dictionary per language from at most SAMPLE_TEXTS rows of each for which learn holds.
+    """A dictionary per language of whole texts, at most SAMPLE_TEXTS and BUDGET bytes, of rows for which learn holds.
 
-    Null texts and languages teach nothing; ties of the hash go by id. Only the sample reaches the driver. Repeated
-    rows may teach twice. An empty table gives no dictionaries; other columns are ignored.
+    Null texts and languages teach nothing; texts of least hash come first, and equal ones teach once. Sizes are ranked
+    before texts are read, so that only the sample's texts leave their tasks, for the driver. An empty table gives no
+    dictionaries; other columns are ignored.
     """
-    begin = F.pmod(F.xxhash64(id_col, F.lit(7)), F.greatest(F.lit(1), F.length(text_col) - SAMPLE_CHARS + 1)) + 1
-    rows = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("l"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.substring(F.col(text_col), begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("t")
+    size = F.octet_length(text_col)
+    rows = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (size <= BUDGET)).select(
+        F.col(lang_col).alias("l"), F.xxhash64(id_col, text_col).alias("h"), size.alias("size"), F.col(text_col).alias("t")
     )
     # The first of each part of a language, then of the language: its second task reads no more than PARTS samples.
-    ranked = rows.withColumn("part", F.pmod("h", F.lit(PARTS)))
+    ranked = rows.select("l", "h", "size", F.pmod("h", F.lit(PARTS)).alias("part"))
     for keys in (["l", "part"], ["l"]):
-        ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "i", "t"))).where(f"n <= {SAMPLE_TEXTS}")
+        ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "size"))).where(f"n <= {SAMPLE_TEXTS}")
+    last: dict[str, int] = {}
+    held: dict[str, int] = {}
+    for lang, h, n in sorted({(r.l, r.h, r.size) for r in ranked.collect()}):
+        held[lang] = held.get(lang, 0) + n
+        if held[lang] <= BUDGET:
+            last[lang] = h
+    if not last:
+        return {}
+    least = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
     out: dict[str, list[str]] = {}
-    for row in sorted(ranked.select("l", "n", "t").collect()):
+    for row in sorted(rows.where(F.col("h") <= F.element_at(least, F.col("l"))).select("l", "h", "t").distinct().collect()):
         out.setdefault(row.l, []).append(row.t)
     return {k: "\n".join(v).lower().encode() for k, v in sorted(out.items())}
 

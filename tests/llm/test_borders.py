@@ -63,10 +63,11 @@ def test_language_of_texts_around_200_bytes():
 
 
 def test_dictionaries_read_whole_texts(spark):
-    """A sample is taken anywhere in a long text, not at its beginning."""
-    rows = [(k, "x" * 5000 + "y" * 5000, "en") for k in range(60)]
+    """Texts of a sample are whole, and as many as the budget holds."""
+    rows = [(k, f"{k} " + "x" * 5000 + "y" * 5000, "en") for k in range(60)]
     known = zstd_lang.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))["en"]
-    assert known.count(b"x") and known.count(b"y") and len(known) == 60 * zstd_lang.SAMPLE_CHARS + 59
+    lines = known.decode().split("\n")
+    assert set(lines) <= {r[1] for r in rows} and len(lines) == len(set(lines)) == zstd_lang.BUDGET // 10_003
 
 
 def test_candidates_of_random_fingerprints(spark):

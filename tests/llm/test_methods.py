@@ -129,6 +129,7 @@ def test_language_fit_on_the_hard_table(spark):
     rows = [(None, "ein text", "de"), (1, None, "de"), (2, "a text", None), (3, "", "en"), (3, "", "en"), (4, "same text", "en"), (4, "same text", "en"), (5, "long " * 50_000, "en")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("h", F.lit("clash")).withColumn("t", F.lit("clash"))
     known = zstd_lang.fit(df, F.lit(True))
-    assert known["de"] == b"ein text" and known["en"].count(b"same text") == 2 and len(known["en"]) <= 4 * (zstd_lang.SAMPLE_CHARS + 1)
+    # Equal texts teach once, a text beyond the budget nothing.
+    assert known["de"] == b"ein text" and sorted(known["en"].split(b"\n")) == [b"", b"same text"]
     assert zstd_lang.fit(df.limit(0), F.lit(True)) == {}
     assert zstd_lang.Classifier({}).predict("text")[0] == zstd_lang.UNKNOWN
