@@ -8,11 +8,12 @@ import struct
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import fields, rules
 from quillspark.functions.lazy import lazy_udf
+from quillspark.session import staged
 
 SEPARATOR = re.compile(r"\s*:?-{3,}:?\s*\Z")
 
@@ -129,6 +130,20 @@ def templates(spark: SparkSession, folder: str) -> dict[str, str]:
     return {r["name"].removesuffix(".txt"): r["value"] for r in rows.collect()}
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line from 1, value of every line of text files, read in splits.
+
+    Lines are counted a split, counts are added up in the order of splits, and a line's number is the lines of the
+    splits before it and its place in its own. The sums are one row a split.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"), "value")
+    rows, _ = staged(read, "lines")
+    splits = rows.groupBy("path", "split").agg(F.count("*").alias("lines"), F.min("n").alias("first"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("path", "split", "first", before.alias("before"))
+    return rows.join(F.broadcast(splits), ["path", "split"]).select("path", (F.col("before") + F.col("n") - F.col("first") + 1).alias("line"), "value")
+
+
 def eval_items(spark: SparkSession, path: str) -> DataFrame:
     """Questions of a JSONL file with their line number and error, null where the line is good."""
 
@@ -148,7 +163,7 @@ def eval_items(spark: SparkSession, path: str) -> DataFrame:
                     out.append({"line": n, "error": error} | dict.fromkeys(names) | item)
             yield pd.DataFrame(out, columns=["line", "error", *names])
 
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "value")).select((F.col("n") + 1).alias("line"), "value")
+    lines = numbered_lines(spark, path).select(F.col("line").cast("int").alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
     return lines.mapInPandas(each, f"line int, error string, {fields.EVAL_ITEM}")
 
 
