@@ -100,6 +100,7 @@ def ask(
     """
     # What several later steps read is staged, so that no step runs twice.
     questions, _ = staged(questions, "questions")
+    entities, _ = staged(entities, "entities")
     chosen, _ = staged(clarified(questions, state, entities), "clarified")
     rest = questions.join(chosen, "request_id", "left_anti")
     if planner:
