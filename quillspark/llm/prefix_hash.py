@@ -5,8 +5,8 @@ every position. A span's hash is a difference of two entries, freed of its posit
 compare in constant time, and the longest common extension of two positions is a binary search.
 
 A fingerprint is the hash of the whole text, its length, and two bottom-k sketches of span hashes: of
-spans of LONG code points and of SHORT ones. Two fingerprints give the share of spans that their texts have in
-common, of LONG ones where both texts have LONG_FROM code points.
+spans of LONG code points and of SHORT ones (a text with fewer is one span). Two fingerprints give the shares of spans
+of either kind that their texts have in common, and their likeness is one weighted mean of both at every length.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from quillspark.session import partitions
 P = (1 << 31) - 1
 BASES = (1_000_003, 776_531_401)
 BLOCK = 1 << 16
-#: Span lengths and sketch size; texts of LONG_FROM code points are compared by their LONG spans.
-LONG, SHORT, KEEP, LONG_FROM = 16, 4, 64, 64
+#: Span lengths and sketch size; what share of the likeness LONG spans have, as short ones recur in unlike texts.
+LONG, SHORT, KEEP, LONG_SHARE = 16, 4, 64, 0.75
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 _p, _31 = np.uint64(P), np.uint64(31)
@@ -113,12 +113,20 @@ class Prefixes:
 
 
 def likeness(a: str, b: str) -> float:
-    """The share of spans in common (Dice) by two fingerprints, 0 to 1; 1 for equal ones, 0 with an empty text."""
+    """The weighted mean of the shares of LONG and of SHORT spans in common (Dice) by two fingerprints, 0 to 1.
+
+    Equal texts have 1, an empty text and another 0. The rule is the same for all lengths.
+    """
     if a == b:
         return 1.0
-    (_, n, long_a, short_a), (_, m, long_b, short_b) = a.split("-"), b.split("-")
-    x, y = (long_a, long_b) if min(int(n, 16), int(m, 16)) >= LONG_FROM else (short_a, short_b)
-    left, right = ({h[i : i + 8] for i in range(0, len(h), 8)} for h in (x, y))
+    (_, _, *left), (_, _, *right) = a.split("-"), b.split("-")
+    long, short = (_shared(x, y) for x, y in zip(left, right, strict=True))
+    return LONG_SHARE * long + (1 - LONG_SHARE) * short
+
+
+def _shared(a: str, b: str) -> float:
+    """Dice's coefficient of two sets by their sketches."""
+    left, right = ({h[i : i + 8] for i in range(0, len(h), 8)} for h in (a, b))
     if not left or not right:
         return 0.0
     smallest = sorted(left | right)[:KEEP]

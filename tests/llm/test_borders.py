@@ -14,16 +14,26 @@ from quillspark.session import staged  # noqa: E402
 
 
 def test_likeness_at_all_lengths():
+    """Three parts of the share of spans of 16 code points and one of spans of 4, for any two lengths, without a jump."""
     rng = np.random.default_rng(2)
     text = "".join(map(chr, rng.integers(97, 123, 3000)))
-    prints = {n: prefix_hash.Prefixes(text[:n]).fingerprint() for n in (40, 63, 64, 65, 255, 256, 257, 400)}
-    for n in prints:
-        for m in prints:
-            if n < m:
-                width = prefix_hash.LONG if n >= prefix_hash.LONG_FROM else prefix_hash.SHORT
-                true = 2 * (n - width + 1) / (n + m - 2 * width + 2)
-                found = prefix_hash.likeness(prints[n], prints[m])
-                assert 0 < found and abs(found - true) < 0.3
+    lengths = (3, 10, 17, 40, *range(58, 72), 255, 256, 257, 400)
+    prints = {n: prefix_hash.Prefixes(text[:n]).fingerprint() for n in lengths}
+    spans = lambda t, width: {t[i : i + width] for i in range(max(1, len(t) - width + 1))}
+
+    def dice(n, m, width):
+        one, two = spans(text[:n], width), spans(text[:m], width)
+        return 2 * len(one & two) / (len(one) + len(two))
+
+    for n in lengths:
+        for m in lengths:
+            true = 0.75 * dice(n, m, 16) + 0.25 * dice(n, m, 4)
+            assert abs(prefix_hash.likeness(prints[n], prints[m]) - true) < (0.25 if n != m else 1e-12)
+    last = None
+    for n in range(56, 76):  # the same edit on beginnings of one text
+        found = prefix_hash.likeness(*(prefix_hash.Prefixes(t).fingerprint() for t in (text[:n], text[: n - n // 4] + "_" * (n // 4))))
+        assert last is None or abs(found - last) < 0.08
+        last = found
     assert prefix_hash.likeness(prefix_hash.Prefixes("").fingerprint(), prints[40]) == 0
 
 

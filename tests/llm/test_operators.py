@@ -75,10 +75,11 @@ def test_fingerprints(docs, rows):
         same = next((k for k, (x, y) in enumerate(zip(text, new, strict=False)) if x != y), min(len(text), len(new)))
         assert r.common_prefix == same
         if len(text) > 400 and len(new) > 0.9 * len(text):
-            width = prefix_hash.LONG
-            one, two = ({t[i : i + width] for i in range(len(t) - width + 1)} for t in (text, new))
-            dice = 2 * len(one & two) / (len(one) + len(two))
-            assert abs(r.near_edited - dice) < 0.25
+            true = 0.0
+            for width, share in ((16, 0.75), (4, 0.25)):
+                one, two = ({t[i : i + width] for i in range(len(t) - width + 1)} for t in (text, new))
+                true += share * 2 * len(one & two) / (len(one) + len(two))
+            assert abs(r.near_edited - true) < 0.25
         assert 0 <= r.near_next <= 1
 
 
