@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import fields, rules
 from quillspark.functions import text as tx
 from quillspark.operators import answers
-from quillspark.plans import catalogue, registry
+from quillspark.plans import catalogue, registry, stored  # noqa: F401  stored adds its queries
 from quillspark.sources import files, sinks
 from quillspark.sources.snapshots import Store
 from quillspark.streaming import guard as live
