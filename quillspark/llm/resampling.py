@@ -22,10 +22,11 @@ from quillspark.session import staged
 
 #: Words of lower-cased UTF-8: digits, a-z and all that is not ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: A block ends after so many features or documents; a longer text is a block of its own.
-BLOCK_FEATURES, BLOCK_DOCS = 1 << 20, 4096
+#: A block ends after so many features or documents; a longer text is a block of its own. Blocks of a file: a reader
+#: holds all of them, and a task as many files as fit in a partition, with their cells still compressed.
+BLOCK_FEATURES, BLOCK_DOCS, FILE_BLOCKS = 1 << 16, 1024, 64
 #: Hashes of features that a task remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 
 
 class _Buckets(dict):
@@ -55,10 +56,11 @@ def features(found: list[bytes], longest: int) -> list[bytes]:
 
 
 def count_matrix(df: DataFrame, id_col: str, text_col: str, buckets: int, longest: int = 1) -> DataFrame:
-    """CSR blocks of the counts of features: ids, words (a document), starts, columns, counts; stored and read back.
+    """CSR blocks of the counts of features: ids, words (a document), starts, cells (columns, then counts); stored and read back.
 
     Null texts are empty rows of the matrix. Blocks are cut by numbers of features, so a task holds one block and one
-    text at most; a lost block is counted anew from its own rows.
+    text at most; a lost block is counted anew from its own rows. Cells are compressed by block and only unpacked block by
+    block, as Spark's readers and Arrow batches hold thousands of rows at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,10 +71,11 @@ def count_matrix(df: DataFrame, id_col: str, text_col: str, buckets: int, longes
             row = np.repeat(np.arange(len(ids), dtype=np.int64), lengths)
             cells, counts = np.unique(row * buckets + np.array(flat, np.int64), return_counts=True)
             starts = np.searchsorted(cells, np.arange(len(ids) + 1, dtype=np.int64) * buckets)
-            parts = [pa.array([ids], pa.list_(kind)), *(pa.array([a], pa.list_(t)) for a, t in ((np.array(sizes, np.int64), pa.int64()), (starts.astype(np.int64), pa.int64()), ((cells % buckets).astype(np.int32), pa.int32()), (counts.astype(np.int64), pa.int64())))]
+            packed = pa.compress(np.concatenate([cells % buckets, counts]).astype("<i4").tobytes(), codec="zstd", asbytes=True)
+            parts = [pa.array([ids], pa.list_(kind)), *(pa.array([a.astype(np.int64)], pa.list_(pa.int64())) for a in (np.array(sizes), starts)), pa.array([packed], pa.binary())]
             for some in (ids, sizes, lengths, flat):
                 some.clear()
-            return pa.RecordBatch.from_arrays(parts, names=["ids", "words", "starts", "columns", "counts"])
+            return pa.RecordBatch.from_arrays(parts, names=["ids", "words", "starts", "cells"])
 
         for batch in batches:
             kind = batch.schema.field(0).type
@@ -90,8 +93,18 @@ def count_matrix(df: DataFrame, id_col: str, text_col: str, buckets: int, longes
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    blocks = rows.mapInArrow(run, f"ids array<{kind}>, words array<bigint>, starts array<bigint>, columns array<int>, counts array<bigint>")
-    return staged(blocks, "csr", codec="zstd")[0]
+    blocks = rows.mapInArrow(run, f"ids array<{kind}>, words array<bigint>, starts array<bigint>, cells binary")
+    return staged(blocks, "csr", rows=FILE_BLOCKS)[0]
+
+
+def _cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """starts, columns and counts of each block of a batch."""
+    at, packed = batch.schema.get_field_index("starts"), batch.schema.get_field_index("cells")
+    for k in range(batch.num_rows):
+        starts = batch.column(at)[k].values.to_numpy()
+        n = int(starts[-1])
+        flat = np.frombuffer(pa.decompress(batch.column(packed)[k].as_buffer(), decompressed_size=8 * n, codec="zstd") if n else b"", "<i4")
+        yield starts, flat[:n], flat[n:].astype(np.int64)
 
 
 def column_sums(blocks: DataFrame, buckets: int) -> np.ndarray:
@@ -100,13 +113,13 @@ def column_sums(blocks: DataFrame, buckets: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            columns, counts = (batch.column(k).flatten().to_numpy() for k in (0, 1))
-            np.add.at(total, columns, counts)
+            for _, columns, counts in _cells(batch):
+                np.add.at(total, columns, counts)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["bucket", "n"])
 
     out = np.zeros(buckets, np.int64)
-    for bucket, n in blocks.select("columns", "counts").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n")).collect():
+    for bucket, n in blocks.select("starts", "cells").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n")).collect():
         out[bucket] = n
     return out
 
@@ -123,11 +136,10 @@ def weights(blocks: DataFrame, gain: np.ndarray, id_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids, sizes, starts, columns, counts = (batch.column(c)[k].values for c in range(5))
-                at, n = starts.to_numpy(), counts.to_numpy()
+            for k, (at, columns, n) in enumerate(_cells(batch)):
+                ids, sizes = (batch.column(c)[k].values for c in range(2))
                 ends = lambda v, at=at: np.concatenate(([0], np.cumsum(v)))[at]
-                held, sums = np.diff(ends(n)), np.diff(ends(n * gain[columns.to_numpy()]))
+                held, sums = np.diff(ends(n)), np.diff(ends(n * gain[columns]))
                 mean = np.where(held > 0, sums // np.maximum(held, 1), 0)
                 yield pa.RecordBatch.from_arrays([ids, sizes, pa.array(held), pa.array(mean)], names=[id_col, "n_words", "n_features", "weight"])
 

@@ -76,6 +76,17 @@ def test_resampling_blocks(docs, monkeypatch):
     assert rows[0] == rows[1] and len(rows[0]) == docs.count()
 
 
+def test_blocks_that_are_read_together_are_small(spark):
+    """A reader takes 4,096 blocks of a file at once, a task all files of a partition."""
+    rows = spark.range(1200).repartition(1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(100_000)).cast("string")))).alias("text"))
+    blocks = resampling.count_matrix(rows, "doc_id", "text", 10_000)
+    cells = F.sum(sum(F.length(c) if t == "binary" else F.size(c) * 8 for c, t in blocks.dtypes))
+    assert blocks.groupBy(F.input_file_name()).agg(cells.alias("n")).agg(F.max("n")).first()[0] < 8 << 20
+    gain = np.arange(10_000)
+    sums = resampling.column_sums(blocks, 10_000)
+    assert sums.sum() == 2_400_000 and resampling.weights(blocks, gain, "doc_id").agg(F.sum("n_features")).first()[0] == 2_400_000
+
+
 def test_resampling_hard(spark, hard):
     target = spark.createDataFrame([("some words",), (None,), ("",)], "text string")
     got = [tuple(r) for r in resampling.resample(hard, target, least_words=3, percent=70).collect()]
