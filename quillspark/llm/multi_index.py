@@ -16,10 +16,11 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.session import staged
+from quillspark.session import partitions, staged
 
 #: Vectors that rotations, widths and thresholds are learned on: those of least hash of their identifiers.
 SAMPLE = 8192
@@ -27,6 +28,10 @@ SAMPLE = 8192
 ROTATIONS, WORD, ROUNDS, TRIED = 6, 64, 30, 128
 #: Widths of substrings, widest first; the first that finds TARGET of the sample's neighbours is taken.
 WIDTHS, BITS, TARGET = (16, 14, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1), 1, 0.98
+#: Codes of a block and queries of a part, about; queries of a part that are looked up together.
+BLOCK, ASKED, TOGETHER = 8192, 4096, 64
+#: Columns of code words.
+WORDS = [f"w{r}" for r in range(ROTATIONS)]
 
 
 @dataclass
@@ -118,43 +123,78 @@ def _valid(vector: Column) -> Column:
 
 
 def _coded(rows: DataFrame, model: Model, room: int | None = None) -> DataFrame:
-    """_id, code words w0.., and keys of (_id, _v); with room also most, the Hamming distance within which about room of each are."""
-    words = [f"w{r}" for r in range(ROTATIONS)]
+    """_id and code words w0.. of (_id, _v); with room also most, the Hamming distance within which about room of each are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
                 codes = model.codes(np.array(part.column(1).to_pylist(), np.float64))
-                keys = model.keys(codes) if room is None else model.probes(codes)
-                columns = [part.column(0), *(pa.array(codes[:, r].view(np.int64)) for r in range(ROTATIONS)), pa.array(list(keys), pa.list_(pa.int64()))]
+                columns = [part.column(0), *(pa.array(codes[:, r].view(np.int64)) for r in range(ROTATIONS))]
                 if room is not None:
                     held = len(model.sample)
                     far = np.partition(_distances(codes, model.sample), room - 1, axis=1)[:, room - 1] if room <= held else np.full(len(codes), WORD * ROTATIONS)
                     columns.append(pa.array(far.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", *words, "keys", *(["most"] if room is not None else [])])
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", *WORDS, *(["most"] if room is not None else [])])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.select("_id", "_v").mapInArrow(run, f"_id {kind}, {', '.join(f'{w} bigint' for w in words)}, keys array<bigint>" + (", most int" if room is not None else ""))
+    return rows.select("_id", "_v").mapInArrow(run, f"_id {kind}, {', '.join(f'{w} bigint' for w in WORDS)}" + (", most int" if room is not None else ""))
 
 
-def _met(asked: DataFrame, held: DataFrame, model: Model) -> DataFrame:
-    """(query_id, _id) of codes that meet in a substring and are within the query's Hamming distance; each pair once."""
-    gap = [F.col(f"q_w{r}").bitwiseXOR(F.col(f"w{r}")) for r in range(ROTATIONS)]
-    part = (1 << model.width) - 1
-    close = [(F.bit_count(gap[s // model.per_word].bitwiseAND(F.lit(_signed(part << s % model.per_word * model.width)))) <= model.bits, s) for s in range(model.substrings)]
-    # Where probes hold all values of a substring, the first meets them all.
-    first = F.coalesce(*[F.when(near, F.lit(s)) for near, s in close]) if model.bits < model.width else F.lit(0)
-    words = [f"w{r}" for r in range(ROTATIONS)]
-    probes = asked.select(F.col("_id").alias("query_id"), *[F.col(w).alias(f"q_{w}") for w in words], "most", F.explode("keys").alias("key"))
-    homes = held.select("_id", *words, F.explode("keys").alias("key"))
-    whole = sum((F.bit_count(g) for g in gap), F.lit(0))
-    # Sizes are estimated as if explode made one row of each: neither side may be broadcast.
-    joined = probes.join(homes.hint("merge"), "key").where((F.col("query_id") != F.col("_id")) & (whole <= F.col("most")) & (first == F.shiftright("key", model.width)))
-    return joined.select("query_id", "_id")
+def _meetings(model: Model, asked: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in asked and in codes of those that meet in a substring, each pair once, some queries at a time.
 
-
-def _signed(word: int) -> int:
-    return word - (1 << 64) if word >> 63 else word
+    Each substring has an index of its own over the codes, which a query probes at all its values.
+    """
+    keys = model.keys(codes)
+    orders = [np.argsort(keys[:, s], kind="stable") for s in range(model.substrings)]
+    sorted_ = [keys[order, s] for s, order in enumerate(orders)]
+    for at in range(0, len(asked), TOGETHER):
+        probes = model.probes(asked[at : at + TOGETHER])
+        n = len(probes)
+        probes = probes.reshape(n, model.substrings, -1)
+        met = np.zeros(n * len(codes), bool)
+        for s, (order, values) in enumerate(zip(orders, sorted_, strict=True)):
+            probe = probes[:, s].ravel()
+            low = np.searchsorted(values, probe)
+            count = np.searchsorted(values, probe, side="right") - low
+            where = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            met[np.repeat(np.repeat(np.arange(n), probes.shape[2]) * len(codes), count) + order[where]] = True
+        row, place = np.divmod(np.flatnonzero(met), len(codes))
+        yield at + row, place
+
+
+def _met(asked: DataFrame, held: DataFrame, model: Model, every: bool = False) -> DataFrame:
+    """(query_id, _id) of codes that meet in a substring (or all, with every) and are within the query's Hamming distance; each pair once.
+
+    Blocks of codes meet parts of the queries, a task a pair of them: as many rows are shuffled as there are codes a part and
+    queries a block, and what meets is never a row before it is within the distance.
+    """
+    kind = held.schema["_id"].dataType.simpleString()
+    blocks, parts = max(1, ceil(held.count() / BLOCK)), max(1, ceil(asked.count() / ASKED))
+    dealt = lambda n: F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(each(blocks).alias("block"), dealt(parts).alias("part"), "_id", *WORDS, "most")
+    right = held.select(dealt(blocks).alias("block"), each(parts).alias("part"), "_id", *WORDS)
+
+    def pairs(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        q, c = (np.stack([t[w].to_numpy().view(np.uint64) for w in WORDS]) for t in (queries, rows))
+        most = queries["most"].to_numpy()
+        ids, others = queries["_id"].combine_chunks(), rows["_id"].combine_chunks()
+        own = pc.index_in(ids, value_set=others).fill_null(-1).to_numpy()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        all_pairs = ((np.full(c.shape[1], i), np.arange(c.shape[1])) for i in range(q.shape[1]))
+        for i, j in (all_pairs if every else _meetings(model, q.T, c.T)) if len(ids) and len(others) else ():
+            apart = np.zeros(len(i), np.int32)
+            for r in range(ROTATIONS):
+                apart += np.bitwise_count(q[r][i] ^ c[r][j])
+            kept = (apart <= most[i]) & (j != own[i])
+            found.append((i[kept], j[kept]))
+        i, j = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, np.int64) for n in range(2))
+        return pa.table([ids.take(pa.array(i)), others.take(pa.array(j))], names=["query_id", "_id"])
+
+    n = partitions(held.sparkSession)
+    left, right = (side.repartition(n, "block", "part").groupBy("block", "part") for side in (left, right))
+    return left.cogroup(right).applyInArrow(pairs, f"query_id {kind}, _id {kind}")
 
 
 def _ranked(pairs: DataFrame, held: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -199,10 +239,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, room: int = 600, id_col
     few = asked.join(found.groupBy("query_id").count().where(F.col("count") >= min(k, total - 1)), F.col("_id") == F.col("query_id"), "left_anti").select("_id", "_v")
     few, _ = staged(few, "short-queries")
     if not few.isEmpty():
-        # One substring of all its values: the radius grown to the whole code.
-        whole = Model(model.mean, model.turns, 1, 1, model.sample)
-        one = lambda c: c.withColumn("keys", F.slice("keys", 1, 2 if "most" in c.columns else 1))
-        all_pairs = _met(one(_coded(few, whole, len(model.sample) + 1)), one(_coded(held, whole)), whole)
+        all_pairs = _met(_coded(few, model, len(model.sample) + 1), index, model, every=True)
         rest, _ = staged(_ranked(all_pairs, held, few, k), "nearest-rest")
         found = found.join(few, F.col("query_id") == few["_id"], "left_anti").unionByName(rest)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("_id").cast(kind).alias(id_col), "score")

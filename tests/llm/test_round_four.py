@@ -132,6 +132,25 @@ def test_every_code_within_the_radius_meets(spark):
         assert met[near[q]].all()
 
 
+def test_codes_that_meet_are_no_rows_before_the_cut(spark, monkeypatch):
+    """Substrings so narrow that most pairs meet many times: what is joined are blocks, and the pairs are those of brute force."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(900, 16))
+    model = multi_index.fit(vectors, 5)
+    model.width = 4
+    monkeypatch.setattr(multi_index, "BLOCK", 100)
+    monkeypatch.setattr(multi_index, "ASKED", 20)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "_id bigint, _v array<double>")
+    found = multi_index._met(multi_index._coded(rows.where("_id % 10 = 0"), model, 200), multi_index._coded(rows, model), model)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    codes = model.codes(vectors)
+    apart = multi_index._distances(codes, codes)
+    met = np.stack([np.isin(model.keys(codes), model.probes(codes[q : q + 1])).any(axis=1) for q in range(0, 900, 10)])
+    most = np.partition(apart[::10], 199, axis=1)[:, 199:200]
+    expected = [(10 * q, i) for q, i in np.argwhere(met & (apart[::10] <= most)).tolist() if 10 * q != i]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
 def test_nearest_hard(spark):
     rng = random.Random(3)
     some = [(i, [rng.gauss(0, 1) for _ in range(8)], i) for i in range(1, 41)]
