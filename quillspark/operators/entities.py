@@ -177,8 +177,8 @@ def by_fuzzy(mentions: DataFrame, named: DataFrame, least: int = rules.FUZZY_LEA
     return best.withColumn("top", F.max("n").over(KEY("mention"))).where("n = top").select("mention", "id")
 
 
-def match(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """(mention, id) of distinct mentions: by code, else label, else label without boilerplate, else fuzzily.
+def match(mentions: DataFrame, entities: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """(mention, id) of distinct mentions: by code, else label, else label without boilerplate, else, with fuzzy, fuzzily.
 
     Every step searches texts for codes, labels or runs of characters by an automaton. Generic and empty mentions match nothing.
     """
@@ -190,7 +190,7 @@ def match(mentions: DataFrame, entities: DataFrame) -> DataFrame:
         lambda left: by_code(left, entities),
         lambda left: by_label(left, named),
         lambda left: by_label(shorter(left), named.where("type <> 'document'"), "core"),
-        lambda left: by_fuzzy(left, named),
+        *([lambda left: by_fuzzy(left, named)] if fuzzy else []),
     ]
     left, _ = staged(rows, "mentions")
     found = None
@@ -201,15 +201,16 @@ def match(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return found
 
 
-def resolve(requests: DataFrame, entities: DataFrame) -> DataFrame:
+def resolve(requests: DataFrame, entities: DataFrame, fuzzy: bool = True) -> DataFrame:
     """request_id, status, entity_ids, candidate_ids, unknown_mentions of requests (request_id, mentions array).
 
-    confirmed where a mention has one match, else ambiguous where one has several, else unknown, else none.
+    confirmed where a mention has one match, else ambiguous where one has several, else unknown, else none. Without fuzzy
+    mentions match by codes and labels only.
     """
     rows = requests.select("request_id", F.posexplode_outer("mentions").alias("at", "mention"))
     plain = F.upper(tx.strip(F.col("mention")))
     rows = rows.where(F.col("mention").isNull() | ~plain.isin(rules.GENERIC))
-    hits = match(rows.where("mention is not null"), entities).groupBy("mention").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    hits = match(rows.where("mention is not null"), entities, fuzzy).groupBy("mention").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     rows = rows.join(hits, "mention", "left").withColumn("n", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")))
     ordered = lambda when, value: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("at", value.alias("v"))))), lambda x: x["v"])
     ids = F.col("ids")
