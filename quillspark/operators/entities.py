@@ -70,11 +70,13 @@ def merge(docs: DataFrame) -> DataFrame:
 def begin_again(together: DataFrame) -> DataFrame:
     """Parts in which a document other than the first has neither the first one's name nor a code of an earlier document."""
     at = F.struct("file_name", "doc_id", "name", "codes")
-    rows = together.select("part", at.alias("at"), F.explode_outer("codes").alias("code"))
-    earliest = rows.where("code is not null").groupBy("code").agg(F.min("at").alias("first"))
-    linked = rows.join(earliest, "code", "left").groupBy("part", "at").agg(F.bool_or(F.col("first").isNotNull() & (F.struct("first.file_name", "first.doc_id") < F.struct("at.file_name", "at.doc_id"))).alias("linked"))
+    # Documents without codes take no part in the join by code: as nulls they would all be one task's.
+    coded = together.select("part", at.alias("at"), F.explode("codes").alias("code")).where("code is not null")
+    earliest = coded.groupBy("code").agg(F.min("at").alias("first"))
+    linked = coded.join(earliest, "code").where(F.struct("first.file_name", "first.doc_id") < F.struct("at.file_name", "at.doc_id")).select("part", "at").distinct()
     heads = together.groupBy("part").agg(F.min(at).alias("head"))
-    return linked.join(heads, "part").where(~F.col("linked") & (F.col("at") != F.col("head")) & (F.col("at.name") != F.col("head.name"))).select("part").distinct()
+    others = together.select("part", at.alias("at")).join(heads, "part").where((F.col("at") != F.col("head")) & (F.col("at.name") != F.col("head.name")))
+    return others.join(linked, ["part", "at"], "left_anti").select("part").distinct()
 
 
 def _added_up(rows: DataFrame) -> DataFrame:

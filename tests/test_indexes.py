@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import fields
 from quillspark.operators import dense_index, dictionary, retrieval, term_index
 from quillspark.operators import entities as ent
-from quillspark.session import new_path
+from quillspark.session import new_path, staged
 
 ENTITY = "doc_id string, file_name string, entity struct<type:string,name:string,codes:array<string>,aliases:array<string>>"
 
@@ -168,3 +168,37 @@ def test_one_giant_part_is_added_up(spark):
     together = df.select("doc_id", "file_name", "entity.*").join(ent.linked_parts(df), "doc_id")
     assert together.select("part").distinct().count() == 1 and ent.begin_again(together).count() == 0
     assert sorted(tuple(r) for r in ent.merge(df).collect()) == fold(docs)
+
+
+def test_documents_without_codes_meet_no_code(spark):
+    """Looking for parts that begin again, no outer join deals rows by a missing code: they would all be one task's."""
+    rows = [(f"d{i}", f"f{i:03}", ("company", f"n{i % 7}", ["c1"] if i % 7 == 0 else [], [])) for i in range(60)]
+    docs = spark.createDataFrame(rows, ENTITY)
+    together = docs.select("doc_id", "file_name", "entity.*").join(ent.linked_parts(docs), "doc_id")
+    again = ent.begin_again(staged(together, "together")[0])
+    assert "LeftOuter" not in again._jdf.queryExecution().optimizedPlan().toString()
+    assert again.count() == 0 and ent.merge(docs).count() == 7
+
+
+def test_pairs_of_rows_and_queries_are_made_some_at_a_time(spark, monkeypatch):
+    """A term of all queries and rows makes as many pairs as there are of them; results do not depend on how many are made at once."""
+    rng = np.random.default_rng(6)
+    rows = [(i, ["the", *(f"w{w}" for w in rng.integers(0, 40, 12))]) for i in range(300)]
+    held = spark.createDataFrame(rows, "chunk_id bigint, terms array<string>").repartition(2)
+    asked = spark.createDataFrame([(q, t, float(w)) for q in range(60) for t, w in (("the", 3), (f"w{q % 40}", 1), (f"w{(q + 7) % 40}", 2))], "query_id bigint, term string, weight double")
+    vectors = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(300)], "chunk_id bigint, dense array<float>").repartition(2)
+    questions = vectors.where("chunk_id < 60").withColumnRenamed("chunk_id", "query_id")
+    whole = [keyed(retrieval.term_search(asked, held, 9)), keyed(retrieval.term_search(asked, held, 9, common=True)), keyed(retrieval.dense_search(questions, vectors, 9))]
+    monkeypatch.setattr(retrieval, "SCORES", 70)
+    small = [keyed(retrieval.term_search(asked, held, 9)), keyed(retrieval.term_search(asked, held, 9, common=True)), keyed(retrieval.dense_search(questions, vectors, 9))]
+    assert whole == small and all(len(x) == 540 for x in whole)
+    score = lambda q, t: sum({"the": 3, f"w{q % 40}": 1, f"w{(q + 7) % 40}": 2}.get(x, 0) for x in t)
+    best = {q: sorted((-score(q, t), i) for i, t in rows)[:9] for q in range(60)}
+    assert [(q, n, i, float(-s)) for q in range(60) for n, (s, i) in enumerate(best[q], 1)] == whole[0]
+
+
+def test_counts_of_lists_are_maps_without_python_objects(spark):
+    texts = [("b a b",), ("",), (None,), ("a",), ("c " * 300,)]
+    got = [r.s for r in spark.createDataFrame(texts, "t string").coalesce(1).select(retrieval.sparse_vector(F.col("t")).alias("s")).collect()]
+    assert [sorted(round(v, 6) for v in m.values()) for m in got] == [[1.0, 2.0], [1e-6], [1e-6], [1.0], [300.0]]
+    assert got[1] == got[2] and list(got[1]) == [0]
