@@ -1,4 +1,4 @@
-"""Pandas UDFs that need no session until they are used."""
+"""Vectorised UDFs that need no session until they are used."""
 
 from __future__ import annotations
 
@@ -20,3 +20,16 @@ def lazy_udf(kind: str) -> Callable:
         return call
 
     return over
+
+
+def lazy_arrow_udf(kind: str) -> Callable:
+    """The same over Arrow arrays, where rows as Python objects would take too much memory."""
+
+    def over(f: Callable) -> Callable[..., Column]:
+        @wraps(f)
+        def call(*columns: Column | str) -> Column:
+            return F.arrow_udf(f, kind)(*columns)
+
+        return call
+
+    return over
