@@ -13,7 +13,7 @@ from functools import cache
 import numpy as np
 
 #: Slots of a table (a power of two), filled to half before it starts anew; code points cut at once.
-SLOTS, BLOCK = 1 << 20, 1 << 20
+SLOTS, BLOCK = 1 << 20, 1 << 18
 LETTER, NUMBER, SIGN, BLANK, OTHER_BLANK, NOTHING = range(6)
 LAST = 0x300  # stands for all signs beyond the simple letters
 #: What may follow an apostrophe as one word with it.

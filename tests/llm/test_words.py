@@ -1,5 +1,7 @@
 """The word table and both encoders against the tokenizers library, on random texts."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -35,3 +37,16 @@ def test_table_starts_anew(monkeypatch):
         begin, end = word_table.bare_words(codes, firsts)
         flat, count = table.values(table.find(text, codes, begin, end), 0)
         assert flat.tobytes().decode() == text.replace(" ", "") and count.tolist() == [2] * 60 and table.used <= 1 << 7
+
+
+def test_words_cut_at_once_take_little_memory():
+    """What a worker holds to cut a block: codes, classes, and prefix sums and powers for two hashes."""
+    text = " ".join(f"word{i % 5000}" for i in range(60_000))[: word_table.BLOCK]
+    table = word_table.WordTable(lambda words: [[[len(w)] for w in words]], [np.uint32])
+    tracemalloc.start()
+    word, codes, firsts = word_table.codes_of([text])
+    begin, end = word_table.bare_words(codes, firsts)
+    slot = table.find(word, codes, begin, end)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert slot is not None and peak < 48 << 20
