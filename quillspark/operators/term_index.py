@@ -14,6 +14,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from quillspark.session import staged
 
 #: Chunks of a block at least, and blocks of equal ones about at most; queries that meet a block at once.
 BLOCK, MOST_BLOCKS, ASKED = 512, 8192, 4096
+#: Weights of a block about at most: a task holds a block's.
+WEIGHTS = 1 << 19
 #: Blocks of a query that are scored first, and how far a bound may lie below a sum by rounding.
 FIRST, SLACK = 2, 1e-9
 
@@ -68,6 +71,22 @@ def block_hits(asked: DataFrame, held: DataFrame, k: int, common: bool) -> DataF
     return both.applyInArrow(scored, f"query_id {kind}, chunk_id {id_kind}, score double")
 
 
+def block_postings(rows: pa.Table) -> pa.Table:
+    """The postings of one block of chunks (block, place, terms, weights); pairs with a null term or weight are left out."""
+    lists, given = rows["terms"].combine_chunks(), pc.list_flatten(rows["weights"]).combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    place = np.repeat(rows["place"].to_numpy(), lists.value_lengths().to_numpy())
+    valid = pc.and_(coded.is_valid(), given.is_valid()).to_numpy(zero_copy_only=False)
+    term, weight, place = (x[valid] for x in (pc.fill_null(coded.indices, 0).to_numpy().astype(np.int64), given.to_numpy(zero_copy_only=False), place))
+    order = np.argsort(term * (1 + place.max(initial=0)) + place)
+    term, weight, place = term[order], weight[order], place[order]
+    begin = np.flatnonzero(np.diff(term, prepend=-1))
+    stops = pa.array(np.append(begin, len(term)).astype(np.int32))
+    greatest, least = (f.reduceat(weight, begin) if len(begin) else weight for f in (np.maximum, np.minimum))
+    columns = {"term": coded.dictionary.take(pa.array(term[begin])), "block": np.repeat(rows["block"].to_numpy()[:1], len(begin)), "greatest": greatest, "least": least}
+    return pa.table(columns | {"places": pa.ListArray.from_arrays(stops, pa.array(place.astype(np.int32))), "weights": pa.ListArray.from_arrays(stops, pa.array(weight))})
+
+
 @dataclass
 class TermIndex:
     """An index at a path: postings, and the chunks of each block with what filters ask for."""
@@ -81,27 +100,42 @@ class TermIndex:
 
         Rows with a null term or weight, and chunks without weights, are never found and left out.
         """
-        rows, _ = staged(weights.where("term is not null and weight is not null").select("chunk_id", "term", F.col("weight").cast("double").alias("weight")), "term-weights")
-        total = rows.groupBy("chunk_id").agg(F.sum(F.abs("weight")).alias("total"))
-        bands, _ = staged(total.select("chunk_id", F.floor(2 * F.log2(F.greatest("total", F.lit(1e-9)))).cast("int").alias("band")), "term-bands")
-        counts = sorted(((r.band, r["count"]) for r in bands.groupBy("band").count().collect()), reverse=True)
-        room = max(BLOCK, sum(n for _, n in counts) // MOST_BLOCKS)
+        rows = weights.where("term is not null and weight is not null").groupBy("chunk_id").agg(F.collect_list(F.struct("term", "weight")).alias("p"))
+        return cls.of_lists(rows.select("chunk_id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights")), chunks, path)
+
+    @classmethod
+    def of_lists(cls, listed: DataFrame, chunks: DataFrame, path: str) -> TermIndex:
+        """The same of listed (chunk_id, terms, weights: arrays of one length, a term once); lists of a repeated chunk_id are added up.
+
+        Lists are shuffled once, to their block, whose postings are made in one task.
+        """
+        total = F.aggregate("weights", F.lit(0.0), lambda s, w: s + F.coalesce(F.abs(w), F.lit(0.0)))
+        band = F.floor(2 * F.log2(F.greatest(total, F.lit(1e-9)))).cast("int").alias("band")
+        lists = listed.where("chunk_id is not null and size(terms) > 0").select("chunk_id", "terms", F.col("weights").cast("array<double>").alias("weights"))
+        lists, _ = staged(lists.select("*", F.size("terms").alias("size"), band), "term-lists")
+        again, _ = staged(lists.groupBy("chunk_id").count().where("count > 1").select("chunk_id"), "term-again")
+        if not again.isEmpty():
+            pairs = lists.join(again, "chunk_id", "left_semi").select("chunk_id", F.explode(F.arrays_zip("terms", "weights")).alias("p"))
+            sums = pairs.groupBy("chunk_id", F.col("p.terms").alias("term")).agg(F.sum("p.weights").alias("weight"))
+            sums = sums.groupBy("chunk_id").agg(F.collect_list(F.struct("term", "weight")).alias("p")).select("chunk_id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights"))
+            lists, _ = staged(lists.join(again, "chunk_id", "left_anti").unionByName(sums.select("*", F.size("terms").alias("size"), band)), "term-lists")
+        counts = sorted(((r.band, r.n, r.size) for r in lists.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()), reverse=True)
+        room = max(BLOCK, sum(n for _, n, _ in counts) // MOST_BLOCKS)
         begin, at = {}, 0
-        for band, n in counts:
-            begin[band] = (at, ceil(n / room))
-            at += ceil(n / room)
+        for number, n, size in counts:
+            begin[number] = (at, max(ceil(n / room), ceil(size / WEIGHTS)))
+            at += begin[number][1]
         # At most about two thousand bands: a double has no more halved powers of two.
-        known = cls._table(weights.sparkSession, [(b, *x) for b, x in begin.items()], "band int, first int, parts int")
-        placed = bands.join(F.broadcast(known), "band").select("chunk_id", (F.col("first") + F.pmod(F.xxhash64("chunk_id"), F.col("parts"))).cast("int").alias("block"))
+        known = F.broadcast(cls._table(listed.sparkSession, [(b, *x) for b, x in begin.items()], "band int, first int, parts int"))
+        block = (F.col("first") + F.pmod(F.xxhash64("chunk_id"), F.col("parts"))).cast("int").alias("block")
         place = (F.row_number().over(Window.partitionBy("block").orderBy("chunk_id")) - 1).alias("place")
-        placed, _ = staged(placed.select("*", place), "term-places")
-        postings = rows.join(placed, "chunk_id").groupBy("term", "block").agg(
-            F.sort_array(F.collect_list(F.struct("place", "weight"))).alias("p"), F.max("weight").alias("greatest"), F.min("weight").alias("least")
-        )
-        postings = postings.select("term", "block", "greatest", "least", F.transform("p", lambda x: x["place"]).alias("places"), F.transform("p", lambda x: x["weight"]).alias("weights"))
-        postings.repartition("term").sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
+        placed, _ = staged(lists.join(known, "band").select("chunk_id", block).select("*", place), "term-places")
+        rows = lists.join(known, "band").select("chunk_id", block, "terms", "weights").select("block", place, "terms", "weights")
+        kind = listed.schema["terms"].dataType.elementType.simpleString()
+        postings = rows.groupBy("block").applyInArrow(block_postings, f"term {kind}, block int, greatest double, least double, places array<int>, weights array<double>")
+        postings.write.parquet(f"{path}/postings")
         chunks.join(placed, "chunk_id").repartition("block").sortWithinPartitions("block", "place").write.parquet(f"{path}/chunks")
-        return cls(weights.sparkSession, path)
+        return cls(listed.sparkSession, path)
 
     @staticmethod
     def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -139,7 +173,7 @@ class TermIndex:
     def _scored(self, asked: DataFrame, pairs: DataFrame, k: int, where: Column | None, common: bool) -> DataFrame:
         """Hits of the pairs (query_id, block); a block that very many queries go to meets them in parts."""
         per_block = pairs.groupBy("block").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
-        per_block, _ = staged(per_block, "term-blocks")  # a row a block: fewer than MOST_BLOCKS and bands
+        per_block, _ = staged(per_block, "term-blocks")  # a row a block: fewer than MOST_BLOCKS, bands, and weights by WEIGHTS
         per_block = F.broadcast(per_block)
         left = pairs.join(per_block, "block").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
         left = left.join(asked, "query_id").select("block", "part", "query_id", "term", "weight")

@@ -24,8 +24,8 @@ def dense_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sparse_topk_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items against all documents by a stored inverted index that skips blocks."""
     docs = table(spark, sf_dir, "documents")
-    weights = retrieval.term_weights(docs, "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
-    index = TermIndex.build(weights, docs.select(F.col("doc_id").alias("chunk_id"), "lang"), new_path(spark, "term-index"))
+    listed = retrieval.term_lists(docs, "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
+    index = TermIndex.of_lists(listed, docs.select(F.col("doc_id").alias("chunk_id"), "lang").dropDuplicates(["chunk_id"]), new_path(spark, "term-index"))
     asked = retrieval.term_weights(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "query_id")
     return index.search(asked, 10)
 

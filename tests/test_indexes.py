@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import fields
 from quillspark.operators import dense_index, dictionary, retrieval, term_index
 from quillspark.operators import entities as ent
+from quillspark.plans import stored
 from quillspark.session import new_path, staged
 
 ENTITY = "doc_id string, file_name string, entity struct<type:string,name:string,codes:array<string>,aliases:array<string>>"
@@ -91,6 +92,48 @@ def test_term_index_is_exact(spark, monkeypatch):
     assert empty.search(queries).count() == 0
 
 
+def test_term_lists_stay_where_texts_are(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TEXT", 16)
+    texts = [(0, None), (1, ""), (2, " \t\x0b\n"), (3, "  Ab ab\u00a0x\x85y AB\x0cab "), (4, "İ ß ΑΣ ΑΣ 漢字 漢 字"), (5, "one " * 70 + "two"), (6, "\x1c \x00 a")]
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    listed = retrieval.term_lists(rows, "doc_id", "text")
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan  # not a row a term before texts are dealt to their blocks
+    got = {(r.doc_id, t): w for r in listed.collect() for t, w in zip(r.terms, r.weights, strict=True)}
+    assert got == {(r.doc_id, r.term): r.weight for r in retrieval.term_weights(rows, "doc_id", "text").collect()}
+    assert listed.count() == len(texts)
+
+
+def test_term_lists_of_an_index(spark, monkeypatch):
+    monkeypatch.setattr(term_index, "WEIGHTS", 100)
+    rng = random.Random(6)
+    lists = [(c, {f"t{rng.randrange(80)}": float(rng.randint(1, 9)) for _ in range(20)}) for c in range(120)]
+    lists += [(3, {"t1": 5.0, "new": 2.0}), (3, {"t1": 1.0}), (119, {"t2": 4.0}), (7, {}), (None, {"t1": 1.0})]
+    rows = [(c, [*w, None], [*w.values(), 1.0]) if w else (c, [], []) for c, w in lists] + [(200, None, None), (201, ["t1"], [None])]
+    listed = spark.createDataFrame(rows, "chunk_id bigint, terms array<string>, weights array<double>")
+    index = term_index.TermIndex.of_lists(listed, spark.range(300).select(F.col("id").alias("chunk_id")), new_path(spark, "term-index"))
+    postings = spark.read.parquet(f"{index.path}/postings")
+    assert postings.groupBy("block").agg(F.sum(F.size("places")).alias("n")).where("n > 200").isEmpty()
+    asked = spark.createDataFrame([(q, f"t{q}", 1.0) for q in range(40)] + [(40, "new", 1.0)], "query_id bigint, term string, weight double")
+    sums = {}
+    for c, w in lists:
+        for t, x in w.items():
+            sums[t, c] = sums.get((t, c), 0) + x
+    want = []
+    for q, t in [*((q, f"t{q}") for q in range(40)), (40, "new")]:
+        best = sorted((-x, c) for (u, c), x in sums.items() if u == t and c is not None)[:6]
+        want += [(q, n, c, -x) for n, (x, c) in enumerate(best, 1)]
+    assert keyed(index.search(asked, 6)) == sorted(want)
+
+
+def test_stored_search_of_repeated_documents(spark, tmp_path):
+    docs = [(1, "aa bb", "en"), (1, "aa aa", "de"), (2, "aa aa", "en"), (3, None, "en")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(9, "AA")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = stored.sparse_topk_stored(spark, str(tmp_path))
+    assert keyed(got) == [(9, 1, 1, 3.0), (9, 2, 2, 2.0)]
+
+
 def test_search_by_indexes(spark):
     rows = [(f"c{k}", f"d{k % 7}", "text" if k % 2 else "table", f"word{k % 5} other{k % 3} common") for k in range(60)]
     chunks = spark.createDataFrame(rows, "chunk_id string, doc_id string, kind string, text string").withColumn("content_type", F.lit("t"))
