@@ -62,8 +62,11 @@ def merge(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     rows = rows.withColumns({"codes": F.coalesce("codes", none), "aliases": F.coalesce("aliases", none)})
     together, _ = staged(rows.join(linked_parts(docs.where("entity is not null")), "doc_id"), "entity-documents")
-    folded, _ = staged(begin_again(together), "entity-folds")
-    whole = _added_up(together.join(folded, "part", "left_anti"))
+    # Of documents with the same name and codes the first one decides: the others have its codes, or like it the first name.
+    kinds = together.groupBy("part", "name", "codes").agg(F.min(F.struct("file_name", "doc_id", "type")).alias("k"))
+    kinds, _ = staged(kinds.select("part", "name", "codes", "k.*"), "entity-kinds")
+    folded, _ = staged(begin_again(kinds), "entity-folds")
+    whole = _added_up(*(df.join(folded, "part", "left_anti") for df in (together, kinds)))
     return whole.unionByName(together.join(folded, "part", "left_semi").groupBy("part").applyInPandas(folded_part, fields.ENTITY))
 
 
@@ -79,15 +82,21 @@ def begin_again(together: DataFrame) -> DataFrame:
     return others.join(linked, ["part", "at"], "left_anti").select("part").distinct()
 
 
-def _added_up(rows: DataFrame) -> DataFrame:
-    """Each part as one entity: name and type of its first document, lists in order of documents and places in them."""
+def _added_up(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Each part as one entity: name and type of its first document, lists in order of documents and places in them.
+
+    kinds: of each part, name and codes the first document. Values are added up from the first documents of their lists.
+    """
     at = F.struct("file_name", "doc_id", "name", "codes", "type")
-    heads = rows.groupBy("part").agg(F.min(at).alias("head"))
-    listed = lambda n, values: F.transform(values, lambda v, i: F.struct(F.lit(n).alias("list"), v.alias("value"), i.alias("i")))
-    every = rows.select("part", "file_name", "doc_id", F.inline(F.concat(listed(0, F.col("codes")), listed(1, F.col("aliases")), listed(2, F.array("doc_id")))))
+    heads = kinds.groupBy("part").agg(F.min(at).alias("head"))
+    named = rows.groupBy("part", "aliases").agg(F.min(F.struct("file_name", "doc_id")).alias("k")).select("part", "aliases", "k.*")
+    listed = lambda df, n, values: df.select("part", "file_name", "doc_id", F.lit(n).alias("list"), F.posexplode(values).alias("i", "value"))
+    every = listed(kinds, 0, "codes").unionByName(listed(named, 1, "aliases"))
     once = every.groupBy("part", "list", "value").agg(F.min(F.struct("file_name", "doc_id", "i")).alias("k"))
-    lists = once.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("list", "k", "value"))).alias("all"))
-    of = lambda n: F.transform(F.filter("all", lambda x: x["list"] == n), lambda x: x["value"])
+    # A document is in few rows of a part: they are not added up before they are listed.
+    docs = rows.select("part", F.lit(2).alias("list"), F.col("doc_id").alias("value"), F.struct("file_name", "doc_id", F.lit(0).alias("i")).alias("k"))
+    lists = once.unionByName(docs).groupBy("part").agg(F.sort_array(F.collect_list(F.struct("list", "k", "value"))).alias("all"))
+    of = lambda n: F.array_distinct(F.transform(F.filter("all", lambda x: x["list"] == n), lambda x: x["value"]))
     found = heads.join(lists, "part").select(F.col("head.name").alias("name"), F.col("head.type").alias("type"), *[of(n).alias(c) for n, c in enumerate(("codes", "aliases", "doc_ids"))])
     return found.select(F.coalesce(F.array_min("codes"), "name").alias("id"), "name", "type", "codes", "aliases", "doc_ids")
 

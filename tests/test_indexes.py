@@ -245,3 +245,20 @@ def test_counts_of_lists_are_maps_without_python_objects(spark):
     got = [r.s for r in spark.createDataFrame(texts, "t string").coalesce(1).select(retrieval.sparse_vector(F.col("t")).alias("s")).collect()]
     assert [sorted(round(v, 6) for v in m.values()) for m in got] == [[1.0, 2.0], [1e-6], [1e-6], [1.0], [300.0]]
     assert got[1] == got[2] and list(got[1]) == [0]
+
+
+def test_merging_looks_at_each_name_and_codes_once(spark, monkeypatch):
+    seen, plain = [], ent.begin_again
+    monkeypatch.setattr(ent, "begin_again", lambda rows: seen.append(rows.count()) or plain(rows))
+    rng = random.Random(11)
+    rows = []
+    for k in range(900):
+        n = rng.randrange(30)
+        codes = [] if n % 7 == 0 else [f"own{n}", f"all{n // 5}", *([f"own{n}"] if n % 4 == 0 else [])]
+        rows.append((f"d{k}", f"f{rng.randrange(400):04}", ("company", f"n{n if n % 3 else 0}", codes, [f"a{rng.randrange(4)}" for _ in range(rng.randrange(3))])))
+    docs = spark.createDataFrame(rows, ENTITY)
+    got = sorted((r.id, r.name, r.codes, r.doc_ids) for r in ent.merge(docs).collect())
+    pdf = docs.select("doc_id", "file_name", "entity.*").toPandas().assign(part="all")
+    want = ent.folded_part(pdf)
+    assert got == sorted((r.id, r.name, r.codes, r.doc_ids) for r in want.itertuples())
+    assert seen == [docs.select("entity.name", "entity.codes").distinct().count()] and seen[0] < 60
