@@ -219,21 +219,32 @@ def resolve(requests: DataFrame, entities: DataFrame, fuzzy: bool = True) -> Dat
     mentions match by codes and labels only.
     """
     rows = requests.select("request_id", F.posexplode_outer("mentions").alias("at", "mention"))
+    asked = rows.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "mention"))), lambda x: x["mention"]).alias("mentions"))
+    return asked.join(resolve_lists(asked.select("mentions"), entities, fuzzy), "mentions").drop("mentions")
+
+
+def resolve_lists(lists: DataFrame, entities: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """mentions, status, entity_ids, candidate_ids, unknown_mentions of the distinct lists of mentions, as resolve has them.
+
+    A name that many requests ask for and many entities share is listed once a list, not once a request: who needs less
+    than all its candidates takes that from here before requests are joined.
+    """
+    rows = lists.select("mentions").distinct().select("mentions", F.posexplode_outer("mentions").alias("at", "mention"))
+    every, _ = staged(rows, "lists")
     plain = F.upper(tx.strip(F.col("mention")))
-    rows = rows.where(F.col("mention").isNull() | ~plain.isin(rules.GENERIC))
-    hits = match(rows.where("mention is not null"), entities, fuzzy).groupBy("mention").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    rows = every.where(F.col("mention").isNotNull() & ~plain.isin(rules.GENERIC))
+    hits = match(rows, entities, fuzzy).groupBy("mention").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     rows = rows.join(hits, "mention", "left").withColumn("n", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")))
     ordered = lambda when, value: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("at", value.alias("v"))))), lambda x: x["v"])
     ids = F.col("ids")
-    all_requests = requests.select("request_id").distinct()
-    found = rows.where("mention is not null").groupBy("request_id").agg(
+    found = rows.groupBy("mentions").agg(
         F.array_distinct(F.flatten(ordered(F.col("n") == 1, ids))).alias("one"), F.array_distinct(F.flatten(ordered(F.col("n") > 1, ids))).alias("many"),
         ordered(F.col("n") == 0, F.col("mention")).alias("unknown_mentions"),
     )
     none = F.array().cast("array<string>")
-    found = all_requests.join(found, "request_id", "left").select("request_id", *[F.coalesce(c, none).alias(c) for c in ("one", "many", "unknown_mentions")])
+    found = every.select("mentions").distinct().join(found, "mentions", "left").select("mentions", *[F.coalesce(c, none).alias(c) for c in ("one", "many", "unknown_mentions")])
     status = F.when(F.size("one") > 0, "confirmed").when(F.size("many") > 0, "ambiguous").when(F.size("unknown_mentions") > 0, "unknown").otherwise("none")
-    return found.select("request_id", status.alias("status"), F.col("one").alias("entity_ids"), F.when(F.size("one") == 0, F.col("many")).otherwise(none).alias("candidate_ids"), "unknown_mentions")
+    return found.select("mentions", status.alias("status"), F.col("one").alias("entity_ids"), F.when(F.size("one") == 0, F.col("many")).otherwise(none).alias("candidate_ids"), "unknown_mentions")
 
 
 def pick_option(reply: str, options: list[dict]) -> int | None:

@@ -350,3 +350,24 @@ def test_resolve_status_equals_its_sql_for_long_numbers(spark, tmp_path):
     for name in ("customer", "supplier"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     assert sorted(map(tuple, catalogue.QUERIES["resolve_status"](spark, str(tmp_path)).collect())) == sorted(con.sql(catalogue.ORACLES["resolve_status"]).fetchall())
+
+
+def test_candidates_of_a_shared_name_are_not_listed_for_every_customer(spark, tmp_path):
+    """A quarter of the customers means all suppliers: they get a count, and the list is never theirs, also of keys that are null or repeated."""
+    spark.createDataFrame([(n, 1) for n in (*range(120), 6, None, None)], "c_custkey bigint, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(n, f"Supplier#{n:09}", 1) for n in range(90)], "s_suppkey bigint, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    for name in ("customer", "supplier"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = catalogue.QUERIES["resolve_status"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(con.sql(catalogue.ORACLES["resolve_status"]).fetchall(), key=str)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_requests_of_one_list_of_mentions_get_the_same(spark):
+    """Lists with nulls, without anything, and in parts of one request; known ids come in the order of their mentions."""
+    known = spark.createDataFrame(BASE, fields.ENTITY)
+    asked = [(1, ["华夏债券C", "华夏的那只基金"]), (2, ["华夏的那只基金"]), (3, None), (4, []), (5, [None, "宁德时代", None]), (6, ["华夏的那只基金"]), (7, ["茅台", "001003"]), (8, ["001003", "茅台"]), (9, ["宁德时代"]), (9, ["茅台"]), (10, [None])]
+    found = {r.request_id: tuple(r)[1:] for r in ent.resolve(spark.createDataFrame(asked, "request_id int, mentions array<string>"), known).collect()}
+    alone, both, nothing = ("ambiguous", [], ["bond", "fcf"], []), ["maotai", "bond"], ("none", [], [], [])
+    assert found == {1: ("confirmed", ["bond"], [], []), 2: alone, 3: nothing, 4: nothing, 5: ("unknown", [], [], ["宁德时代"]), 6: alone, 7: ("confirmed", both, [], []), 8: ("confirmed", both[::-1], [], []), 9: ("confirmed", ["maotai"], [], ["宁德时代"]), 10: nothing}
