@@ -240,6 +240,15 @@ def test_pairs_of_rows_and_queries_are_made_some_at_a_time(spark, monkeypatch):
     assert [(q, n, i, float(-s)) for q in range(60) for n, (s, i) in enumerate(best[q], 1)] == whole[0]
 
 
+def test_rows_without_a_term_of_any_query_count_for_none(spark):
+    """Whole batches without one, too: of rows of other terms, of none, and of queries without rows."""
+    held = spark.createDataFrame([(1, ["b", "c"]), (2, []), (3, ["d"])], "chunk_id bigint, terms array<string>").coalesce(1)
+    asked = spark.createDataFrame([(1, "a", 1.0), (2, "x", 2.0)], "query_id bigint, term string, weight double")
+    assert retrieval.term_search(asked, held, 3).collect() == [] and retrieval.term_search(asked, held, 3, common=True).collect() == []
+    more = held.union(spark.createDataFrame([(4, ["x", "b"])], held.schema))
+    assert [tuple(r) for r in retrieval.term_search(asked, more, 3).select("query_id", "chunk_id", "score").collect()] == [(2, 4, 2.0)]
+
+
 def test_counts_of_lists_are_maps_without_python_objects(spark):
     texts = [("b a b",), ("",), (None,), ("a",), ("c " * 300,)]
     got = [r.s for r in spark.createDataFrame(texts, "t string").coalesce(1).select(retrieval.sparse_vector(F.col("t")).alias("s")).collect()]
